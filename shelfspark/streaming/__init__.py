@@ -1,0 +1,6 @@
+"""Streaming.
+
+The engine's reference workload is batch only: it has no stream source,
+watermark, window over event time, or stateful operator. Nothing is built here
+on purpose; every job in this package is a batch DataFrame job.
+"""
