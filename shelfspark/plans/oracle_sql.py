@@ -53,3 +53,144 @@ SQL["popular_trending_by_segment"] = with_(TXN, CUST, "n AS (SELECT max(ts) AS n
   WHERE t.ts IS NOT NULL AND c.segment IS NOT NULL AND t.product_id IS NOT NULL GROUP BY c.segment, t.product_id),
 s AS (SELECT segment, product_id, (recent - prior) / (prior + 1) AS score FROM a)""") + topk(
     "s", "segment", select="'segment:' || segment AS list_key, rank, product_id, round(score, 6) AS score")
+
+# ---------------------------------------------------------------- optional tables over the raw data
+SESS = """sess AS (SELECT event_id AS session_id, user_id AS customer_id,
+   CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id, ts
+   FROM events WHERE event_type IN ('view', 'click'))"""
+RET = """ret AS (SELECT l_orderkey AS transaction_id, l_partkey AS product_id, o_custkey AS customer_id,
+   CAST(l_shipdate AS DATE) AS return_date
+   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"""
+SRCH = """srch AS (SELECT user_id AS customer_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS query,
+   ts FROM events)"""
+PROMO = "promo AS (SELECT DISTINCT p_partkey AS product_id FROM part WHERE p_size <= 12)"
+
+# ---------------------------------------------------------------- sources / validation
+SQL["load_transactions"] = with_(TXN) + """SELECT transaction_id, customer_id, product_id, quantity, price,
+  ts AS "timestamp" FROM txn"""
+
+SQL["volume_gate"] = with_(TXN) + """SELECT *, value >= minimum AS passed FROM (
+  SELECT 1 AS check_order, 'transaction_rows' AS "check", (SELECT count(*) FROM txn) AS value, CAST(50 AS BIGINT) AS minimum
+  UNION ALL SELECT 2, 'unique_customers', (SELECT count(DISTINCT c_custkey) FROM customer), 5
+  UNION ALL SELECT 3, 'unique_products', (SELECT count(DISTINCT p_partkey) FROM part), 5)"""
+
+# ---------------------------------------------------------------- profile
+SQL["eda_summary"] = with_(TXN) + """SELECT count(*) AS n_transactions,
+  (SELECT count(DISTINCT c_custkey) FROM customer) AS n_customers,
+  (SELECT count(DISTINCT p_partkey) FROM part) AS n_products,
+  count(DISTINCT customer_id) AS n_customers_with_transactions,
+  count(DISTINCT product_id) AS n_products_with_transactions,
+  date_sub('day', min(ts), max(ts)) AS date_span_days,
+  round(count(customer_id)::DOUBLE / count(DISTINCT customer_id), 6) AS avg_transactions_per_customer,
+  round(avg(quantity), 6) AS avg_quantity, round(avg(price), 6) AS avg_price FROM txn"""
+
+SQL["eda_sparsity"] = with_(TXN, "p AS (SELECT count(*) AS n FROM (SELECT DISTINCT customer_id, product_id FROM txn))",
+                            "c AS (SELECT count(DISTINCT c_custkey) AS n FROM customer)",
+                            "q AS (SELECT count(DISTINCT p_partkey) AS n FROM part)") + """
+SELECT p.n AS n_interactions, round(CASE WHEN c.n = 0 OR q.n = 0 THEN 1.0
+  ELSE 1.0 - p.n::DOUBLE / (c.n::DOUBLE * q.n::DOUBLE) END, 6) AS sparsity FROM p, c, q"""
+
+SQL["eda_top_products"] = with_(TXN, """s AS (SELECT product_id, count(*) AS "count" FROM txn
+  WHERE product_id IS NOT NULL GROUP BY 1)""") + topk("s", "", score='"count"', select='rank, product_id, "count"')
+
+SQL["eda_weekly"] = with_(TXN, """w AS (SELECT CAST(ts AS DATE) + CAST((7 - isodow(ts)) % 7 AS INTEGER) AS period,
+  count(*) AS n FROM txn WHERE ts IS NOT NULL GROUP BY 1)""",
+  "s AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS DATE) AS period FROM w)") + \
+  'SELECT s.period, coalesce(w.n, 0) AS "count" FROM s LEFT JOIN w USING (period)'
+
+SQL["eda_price_histogram"] = with_(
+    TXN,
+    "st AS (SELECT min(price) AS lo, max(price) AS hi, count(DISTINCT price) AS nu FROM txn WHERE price IS NOT NULL)",
+    """e AS (SELECT *, least(10, nu) AS nb,
+   CASE WHEN lo = hi THEN lo - CASE WHEN lo <> 0 THEN abs(lo) * 0.001 ELSE 0.001 END ELSE lo END AS lo_e,
+   CASE WHEN lo = hi THEN hi + CASE WHEN hi <> 0 THEN abs(hi) * 0.001 ELSE 0.001 END ELSE hi END AS hi_e FROM st)""",
+    """e2 AS (SELECT *, (hi_e - lo_e) / nb AS step,
+   CASE WHEN lo = hi THEN lo_e ELSE lo - (hi - lo) * 0.001 END AS first_edge FROM e)""",
+    """b0 AS (SELECT t.price, CAST(least(greatest(ceil((t.price - lo_e) / step), 1), nb) AS BIGINT) AS b0, e2.*
+   FROM txn t, e2 WHERE t.price IS NOT NULL)""",
+    """b AS (SELECT b0 - CASE WHEN b0 > 1 AND price <= (b0 - 1) * step + lo_e THEN 1 ELSE 0 END
+   + CASE WHEN b0 < nb AND price > b0 * step + lo_e THEN 1 ELSE 0 END AS bin FROM b0)""",
+    "c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)",
+    "s AS (SELECT CAST(unnest(generate_series(1, nb)) AS BIGINT) AS bin, * EXCLUDE (nb), nb FROM e2)",
+) + """SELECT s.bin, round(CASE WHEN s.bin = 1 THEN first_edge ELSE (s.bin - 1) * step + lo_e END, 6) AS range_lo,
+  round(CASE WHEN s.bin = nb THEN hi_e ELSE s.bin * step + lo_e END, 6) AS range_hi,
+  coalesce(c.n, 0) AS "count" FROM s LEFT JOIN c ON s.bin = c.bin"""
+
+SQL["eda_basket_size"] = with_(TXN) + """SELECT basket_size, count(*) AS "count" FROM (
+  SELECT transaction_id, count(*) AS basket_size FROM txn WHERE transaction_id IS NOT NULL GROUP BY 1) GROUP BY 1"""
+
+SQL["eda_category"] = with_(TXN, PROD) + """SELECT p.category, count(*) AS "count"
+  FROM txn t JOIN prod p ON t.product_id = p.product_id WHERE p.category IS NOT NULL GROUP BY 1"""
+
+SQL["eda_segment"] = with_(TXN, CUST) + """SELECT c.segment, count(*) AS "count"
+  FROM txn t JOIN cust c ON t.customer_id = c.customer_id WHERE c.segment IS NOT NULL GROUP BY 1"""
+
+# ---------------------------------------------------------------- features
+_BEH = """beh AS (SELECT customer_id, coalesce(sum(price * quantity), 0) AS total_spend,
+   count(DISTINCT transaction_id) AS n_orders, count(DISTINCT product_id) AS n_distinct_products
+   FROM txn WHERE customer_id IS NOT NULL GROUP BY 1)"""
+_TMP = """tmp AS (SELECT customer_id, max(ts) AS last_purchase,
+   date_sub('day', max(ts), (SELECT max(ts) FROM txn WHERE ts IS NOT NULL AND customer_id IS NOT NULL)) AS recency_days
+   FROM txn WHERE ts IS NOT NULL AND customer_id IS NOT NULL GROUP BY 1)"""
+_NET = """net AS (SELECT coalesce(s.product_id, r.product_id) AS product_id,
+   coalesce(units_sold, 0) AS units_sold, coalesce(units_returned, 0) AS units_returned,
+   coalesce(units_sold, 0) - coalesce(units_returned, 0) AS net_demand
+   FROM (SELECT product_id, coalesce(sum(quantity), 0) AS units_sold FROM txn WHERE product_id IS NOT NULL GROUP BY 1) s
+   FULL OUTER JOIN (SELECT product_id, count(*)::DOUBLE AS units_returned FROM ret WHERE product_id IS NOT NULL GROUP BY 1) r
+   ON s.product_id = r.product_id)"""
+_PR = """pr AS (SELECT customer_id, sum(CASE WHEN product_id IN (SELECT product_id FROM promo) THEN 1 ELSE 0 END)::DOUBLE
+   / count(*) AS promo_purchase_rate FROM txn WHERE customer_id IS NOT NULL GROUP BY 1)"""
+_SI = "si AS (SELECT customer_id, count(query) AS n_searches FROM srch WHERE customer_id IS NOT NULL GROUP BY 1)"
+_SA = """sa AS (SELECT customer_id, product_id, count(*) AS session_views FROM sess
+   WHERE customer_id IS NOT NULL AND product_id IS NOT NULL GROUP BY 1, 2)"""
+_CF = """cf AS (SELECT p.product_id, f.freq AS category_freq FROM prod p LEFT JOIN (
+   SELECT category, count(*)::DOUBLE / (SELECT count(*) FROM prod WHERE category IS NOT NULL) AS freq
+   FROM prod WHERE category IS NOT NULL GROUP BY 1) f ON p.category = f.category)"""
+
+SQL["feat_behavioral"] = with_(TXN, _BEH) + """SELECT customer_id, round(total_spend, 6) AS total_spend, n_orders,
+  n_distinct_products FROM beh"""
+SQL["feat_temporal"] = with_(TXN, _TMP) + "SELECT customer_id, last_purchase, recency_days FROM tmp"
+SQL["feat_session_affinity"] = with_(SESS, _SA) + "SELECT * FROM sa"
+SQL["feat_net_demand"] = with_(TXN, RET, _NET) + """SELECT product_id, round(units_sold, 6) AS units_sold,
+  round(units_returned, 6) AS units_returned, round(net_demand, 6) AS net_demand FROM net"""
+SQL["feat_search_intent"] = with_(SRCH, _SI) + "SELECT * FROM si"
+SQL["feat_promo_rate"] = with_(TXN, PROMO, _PR) + """SELECT customer_id, round(promo_purchase_rate, 6)
+  AS promo_purchase_rate FROM pr"""
+SQL["feat_category_freq"] = with_(PROD, _CF) + "SELECT product_id, round(category_freq, 6) AS category_freq FROM cf"
+
+
+def _std_select(key: str, cols: list[str]) -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    outs = ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} < 1e-9 THEN 1 ELSE s_{c} END, 6) AS {c}" for c in cols)
+    return f"st AS (SELECT {stats} FROM raw)\nSELECT {key}, {outs} FROM raw, st"
+
+
+_CUST_COLS = ["total_spend", "n_orders", "n_distinct_products", "recency_days", "n_searches",
+              "promo_purchase_rate", "session_views"]
+SQL["side_features_customer"] = with_(
+    TXN, SESS, SRCH, PROMO, _BEH, _TMP, _PR, _SI, _SA,
+    "base AS (SELECT DISTINCT customer_id FROM txn WHERE customer_id IS NOT NULL)",
+    "sv AS (SELECT customer_id, sum(session_views) AS session_views FROM sa GROUP BY 1)",
+    """raw AS (SELECT b.customer_id,
+   coalesce(beh.total_spend, 0)::DOUBLE AS total_spend, coalesce(beh.n_orders, 0)::DOUBLE AS n_orders,
+   coalesce(beh.n_distinct_products, 0)::DOUBLE AS n_distinct_products,
+   coalesce(tmp.recency_days, 0)::DOUBLE AS recency_days, coalesce(si.n_searches, 0)::DOUBLE AS n_searches,
+   coalesce(pr.promo_purchase_rate, 0)::DOUBLE AS promo_purchase_rate,
+   coalesce(sv.session_views, 0)::DOUBLE AS session_views
+   FROM base b LEFT JOIN beh USING (customer_id) LEFT JOIN tmp USING (customer_id)
+   LEFT JOIN si USING (customer_id) LEFT JOIN pr USING (customer_id) LEFT JOIN sv USING (customer_id))""",
+    _std_select("customer_id", _CUST_COLS)[:_std_select("customer_id", _CUST_COLS).index("\nSELECT")],
+) + _std_select("customer_id", _CUST_COLS)[_std_select("customer_id", _CUST_COLS).index("\nSELECT") + 1:]
+
+_PROD_COLS = ["units_sold", "price", "category_freq", "net_demand"]
+SQL["side_features_product"] = with_(
+    TXN, PROD, RET, _NET, _CF,
+    """raw AS (SELECT s.product_id, coalesce(s.units_sold, 0)::DOUBLE AS units_sold,
+   coalesce(pp.price, 0)::DOUBLE AS price, coalesce(cfm.category_freq, 0)::DOUBLE AS category_freq,
+   coalesce(net.net_demand, 0)::DOUBLE AS net_demand
+   FROM (SELECT product_id, coalesce(sum(quantity), 0) AS units_sold FROM txn WHERE product_id IS NOT NULL GROUP BY 1) s
+   LEFT JOIN (SELECT product_id, max(price) AS price FROM prod GROUP BY 1) pp USING (product_id)
+   LEFT JOIN (SELECT product_id, max(category_freq) AS category_freq FROM cf GROUP BY 1) cfm USING (product_id)
+   LEFT JOIN net USING (product_id))""",
+    _std_select("product_id", _PROD_COLS)[:_std_select("product_id", _PROD_COLS).index("\nSELECT")],
+) + _std_select("product_id", _PROD_COLS)[_std_select("product_id", _PROD_COLS).index("\nSELECT") + 1:]

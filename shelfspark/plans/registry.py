@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfspark.operators import popular
+from shelfspark.operators import features, popular, profile
 from shelfspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +48,126 @@ def q_popular_trending(spark, sf):
 @register("popular_trending_by_segment")
 def q_popular_trending_by_segment(spark, sf):
     return popular.popular_trending(_core(spark, sf), overall=False)
+
+
+def _all(spark: SparkSession, sf: str) -> T.RetailTables:
+    return T.tpch_tables(spark, sf, optional=True)
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column (engines differ in the last bits of float sums)."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c)
+                       for c, t in df.dtypes])
+
+
+# ---------------------------------------------------------------- sources / validation
+
+@register("load_transactions")
+def q_load_transactions(spark, sf):
+    return T.tpch_transactions(spark, sf)
+
+
+@register("volume_gate")
+def q_volume_gate(spark, sf):
+    return T.volume_gate(_core(spark, sf))
+
+
+@register("schema_warnings")
+def q_schema_warnings(spark, sf):
+    return T.schema_warnings(spark, _core(spark, sf))
+
+
+# ---------------------------------------------------------------- profile
+
+@register("eda_summary")
+def q_eda_summary(spark, sf):
+    return round_doubles(profile.eda_summary(_core(spark, sf)))
+
+
+@register("eda_sparsity")
+def q_eda_sparsity(spark, sf):
+    return round_doubles(profile.eda_sparsity(_core(spark, sf)))
+
+
+@register("eda_top_products")
+def q_eda_top_products(spark, sf):
+    return profile.eda_top_products(_core(spark, sf))
+
+
+@register("eda_weekly")
+def q_eda_weekly(spark, sf):
+    return profile.eda_weekly(_core(spark, sf))
+
+
+@register("eda_price_histogram")
+def q_eda_price_histogram(spark, sf):
+    return profile.eda_price_histogram(_core(spark, sf), with_label=False)
+
+
+@register("eda_basket_size")
+def q_eda_basket_size(spark, sf):
+    return profile.eda_basket_size(_core(spark, sf))
+
+
+@register("eda_category")
+def q_eda_category(spark, sf):
+    return profile.category_breakdown(_core(spark, sf))
+
+
+@register("eda_segment")
+def q_eda_segment(spark, sf):
+    return profile.segment_breakdown(_core(spark, sf))
+
+
+@register("eda_optional_tables")
+def q_eda_optional_tables(spark, sf):
+    return profile.optional_tables_present(_all(spark, sf))
+
+
+# ---------------------------------------------------------------- features
+
+@register("feat_behavioral")
+def q_feat_behavioral(spark, sf):
+    return round_doubles(features.behavioral(T.tpch_transactions(spark, sf)))
+
+
+@register("feat_temporal")
+def q_feat_temporal(spark, sf):
+    return features.temporal(T.tpch_transactions(spark, sf))
+
+
+@register("feat_session_affinity")
+def q_feat_session_affinity(spark, sf):
+    return features.session_affinity(T.tpch_sessions(spark, sf))
+
+
+@register("feat_net_demand")
+def q_feat_net_demand(spark, sf):
+    return round_doubles(features.net_demand(T.tpch_transactions(spark, sf), T.tpch_returns(spark, sf)))
+
+
+@register("feat_search_intent")
+def q_feat_search_intent(spark, sf):
+    return features.search_intent(T.tpch_search_logs(spark, sf))
+
+
+@register("feat_promo_rate")
+def q_feat_promo_rate(spark, sf):
+    return round_doubles(features.promo_rate(T.tpch_transactions(spark, sf), T.tpch_promotions(spark, sf)))
+
+
+@register("feat_category_freq")
+def q_feat_category_freq(spark, sf):
+    return round_doubles(features.category_freq(T.tpch_products(spark, sf)))
+
+
+@register("side_features_customer")
+def q_side_features_customer(spark, sf):
+    cust, _, _, _ = features.side_features(_all(spark, sf))
+    return round_doubles(cust)
+
+
+@register("side_features_product")
+def q_side_features_product(spark, sf):
+    _, _, prod, _ = features.side_features(_all(spark, sf))
+    return round_doubles(prod)
