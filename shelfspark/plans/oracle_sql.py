@@ -194,3 +194,67 @@ SQL["side_features_product"] = with_(
    LEFT JOIN net USING (product_id))""",
     _std_select("product_id", _PROD_COLS)[:_std_select("product_id", _PROD_COLS).index("\nSELECT")],
 ) + _std_select("product_id", _PROD_COLS)[_std_select("product_id", _PROD_COLS).index("\nSELECT") + 1:]
+
+# ---------------------------------------------------------------- frequently bought together
+_NB = "nb AS (SELECT count(DISTINCT transaction_id) AS n FROM txn WHERE transaction_id IS NOT NULL)"
+
+
+def _basket_items(level: str) -> str:
+    lines = ("SELECT DISTINCT transaction_id, product_id FROM txn "
+             "WHERE transaction_id IS NOT NULL AND product_id IS NOT NULL")
+    if level == "product_id":
+        return f"b AS (SELECT transaction_id, product_id AS item FROM ({lines}))"
+    return (f"b AS (SELECT DISTINCT t.transaction_id, p.{level} AS item FROM ({lines}) t "
+            f"JOIN prod p ON t.product_id = p.product_id WHERE p.{level} IS NOT NULL)")
+
+
+def _pairs(level: str) -> list[str]:
+    return [TXN, PROD, _NB, _basket_items(level),
+            """fi AS (SELECT item, count(*) AS n_item FROM b GROUP BY item
+   HAVING count(*) >= 2 AND 100 * count(*) >= (SELECT n FROM nb))""",
+            "kb AS (SELECT * FROM b WHERE item IN (SELECT item FROM fi))",
+            """fp AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM kb x JOIN kb y
+   ON x.transaction_id = y.transaction_id AND x.item < y.item GROUP BY 1, 2
+   HAVING count(*) >= 2 AND 100 * count(*) >= (SELECT n FROM nb))""",
+            """pairs AS (SELECT fp.item_a, fp.item_b, fp.n_ab, a.n_item AS n_a, c.n_item AS n_b, nb.n
+   FROM fp JOIN fi a ON fp.item_a = a.item JOIN fi c ON fp.item_b = c.item, nb)"""]
+
+
+def _rules(metric: str) -> str:
+    keep = ("n * n_ab * 10 >= 10 * n_ante * n_cons" if metric == "lift" else "n_ab * 10 >= 3 * n_ante")
+    return f"""rules AS (SELECT antecedent, consequent, n_ab, n_ab::DOUBLE / n AS support,
+   n_ab::DOUBLE / n_ante AS confidence, (n * n_ab)::DOUBLE / (n_ante * n_cons)::DOUBLE AS lift FROM (
+   SELECT item_a AS antecedent, item_b AS consequent, n_ab, n_a AS n_ante, n_b AS n_cons, n FROM pairs
+   UNION ALL SELECT item_b, item_a, n_ab, n_b, n_a, n FROM pairs) WHERE {keep})"""
+
+
+def _cooc(only_missing: bool) -> str:
+    where = "WHERE x.item IN (SELECT item FROM missing) " if only_missing else ""
+    return f"""co AS (SELECT x.item, y.item AS recommended, count(*)::DOUBLE AS score, 'cooccurrence' AS source
+   FROM b x JOIN b y ON x.transaction_id = y.transaction_id AND x.item <> y.item {where}GROUP BY 1, 2)"""
+
+
+_FBT_OUT = ("SELECT item, rank, recommended, round(score, 6) AS score, source FROM (SELECT *, CAST(row_number() "
+            "OVER (PARTITION BY item ORDER BY round(score, 6) DESC, recommended) AS INTEGER) AS rank FROM u) "
+            "WHERE rank <= 10")
+
+
+def _fbt(level: str, metric: str) -> str:
+    return with_(*_pairs(level), _rules(metric),
+                 f"ranked AS (SELECT antecedent AS item, consequent AS recommended, {metric} AS score, "
+                 f"'rule_{metric}' AS source FROM rules)",
+                 "missing AS (SELECT DISTINCT item FROM b WHERE item NOT IN (SELECT antecedent FROM rules))",
+                 _cooc(True), "u AS (SELECT * FROM ranked UNION ALL SELECT * FROM co)") + _FBT_OUT
+
+
+SQL["baskets"] = with_(TXN, _basket_items("product_id")) + "SELECT transaction_id, item FROM b"
+SQL["frequent_pairs"] = with_(*_pairs("brand")) + "SELECT * FROM pairs"
+SQL["association_rules"] = with_(*_pairs("brand"), _rules("lift")) + """SELECT antecedent, consequent, n_ab,
+  round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules"""
+SQL["fbt_lift"] = _fbt("brand", "lift")
+SQL["fbt_lift_product"] = _fbt("product_id", "lift")
+SQL["fbt_confidence"] = _fbt("category", "confidence")
+SQL["fbt_fpgrowth"] = _fbt("brand", "lift")
+SQL["cooccurrence"] = with_(TXN, _basket_items("product_id"), _cooc(False)) + \
+    "SELECT item, recommended AS other, CAST(score AS BIGINT) AS n FROM co"
+SQL["fbt_cooccurrence"] = with_(TXN, _basket_items("product_id"), _cooc(False), "u AS (SELECT * FROM co)") + _FBT_OUT

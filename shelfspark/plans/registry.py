@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators import features, popular, profile
+from shelfspark.operators import baskets, features, popular, profile
 from shelfspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,53 @@ def q_side_features_customer(spark, sf):
 def q_side_features_product(spark, sf):
     _, _, prod, _ = features.side_features(_all(spark, sf))
     return round_doubles(prod)
+
+
+# ---------------------------------------------------------------- frequently bought together
+# Rules are mined at three item levels of the same code: products, brands and
+# categories (product attributes stand in for the item).
+
+@register("baskets")
+def q_baskets(spark, sf):
+    return baskets.basket_items(_core(spark, sf))
+
+
+@register("frequent_pairs")
+def q_frequent_pairs(spark, sf):
+    return baskets.frequent_pairs(_core(spark, sf), level="brand")
+
+
+@register("association_rules")
+def q_association_rules(spark, sf):
+    pairs = baskets.frequent_pairs(_core(spark, sf), level="brand")
+    return round_doubles(baskets.rules_from_pairs(pairs, "lift"))
+
+
+@register("fbt_lift")
+def q_fbt_lift(spark, sf):
+    return baskets.fbt_apriori_lift(_core(spark, sf), level="brand")
+
+
+@register("fbt_lift_product")
+def q_fbt_lift_product(spark, sf):
+    return baskets.fbt_apriori_lift(_core(spark, sf))
+
+
+@register("fbt_confidence")
+def q_fbt_confidence(spark, sf):
+    return baskets.fbt_apriori_confidence(_core(spark, sf), level="category")
+
+
+@register("fbt_fpgrowth")
+def q_fbt_fpgrowth(spark, sf):
+    return baskets.fbt_fpgrowth(_core(spark, sf), level="brand")
+
+
+@register("cooccurrence")
+def q_cooccurrence(spark, sf):
+    return baskets.cooccurrence(_core(spark, sf))
+
+
+@register("fbt_cooccurrence")
+def q_fbt_cooccurrence(spark, sf):
+    return baskets.fbt_cooccurrence(_core(spark, sf))
