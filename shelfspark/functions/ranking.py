@@ -45,3 +45,22 @@ def minmax_within(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
         out,
         F.when(hi - lo < F.lit(1e-9), F.lit(0.0)).otherwise((F.col(value) - lo) / (hi - lo)),
     )
+
+
+def dense_positions(df: DataFrame, order: Sequence[Column], out: str = "pos") -> DataFrame:
+    """Number rows 1..n in ``order`` without pulling them into one task.
+
+    The frame is sorted (range partitioning) and checkpointed so the order is
+    fixed; each row's position is its partition's offset (prefix sum of the
+    per-partition counts — one row per partition) plus its index inside the
+    partition, recovered from ``monotonically_increasing_id``.
+    """
+    ordered = (df.orderBy(*order)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mid", F.monotonically_increasing_id())).checkpoint()
+    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    idx = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (ordered.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_off") + idx + 1)
+            .drop("_pid", "_mid", "_off"))

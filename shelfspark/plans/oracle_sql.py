@@ -258,3 +258,52 @@ SQL["fbt_fpgrowth"] = _fbt("brand", "lift")
 SQL["cooccurrence"] = with_(TXN, _basket_items("product_id"), _cooc(False)) + \
     "SELECT item, recommended AS other, CAST(score AS BIGINT) AS n FROM co"
 SQL["fbt_cooccurrence"] = with_(TXN, _basket_items("product_id"), _cooc(False), "u AS (SELECT * FROM co)") + _FBT_OUT
+
+# ---------------------------------------------------------------- personalized: interactions, item-CF, content
+OWNED = """owned AS (SELECT customer_id, product_id, count(*) AS cnt FROM txn
+   WHERE customer_id IS NOT NULL AND product_id IS NOT NULL GROUP BY 1, 2)"""
+_NORMS = "nrm AS (SELECT product_id, sqrt(sum(cnt * cnt)) AS norm FROM owned GROUP BY 1)"
+_SIM = """sim AS (SELECT d.item_i, d.item_j, d.dot / (a.norm * b.norm) AS sim FROM (
+   SELECT x.product_id AS item_i, y.product_id AS item_j, sum(x.cnt * y.cnt) AS dot
+   FROM owned x JOIN owned y ON x.customer_id = y.customer_id GROUP BY 1, 2) d
+   JOIN nrm a ON a.product_id = d.item_i JOIN nrm b ON b.product_id = d.item_j)"""
+
+SQL["user_item_counts"] = with_(TXN, OWNED) + "SELECT * FROM owned"
+SQL["item_similarity"] = with_(TXN, OWNED, _NORMS, _SIM) + "SELECT item_i, item_j, round(sim, 6) AS sim FROM sim"
+SQL["item_cf_topk"] = with_(TXN, OWNED, _NORMS, _SIM, """sc AS (SELECT o.customer_id, s.item_j AS product_id,
+   sum(s.sim) AS score FROM owned o JOIN sim s ON o.product_id = s.item_i GROUP BY 1, 2)""",
+   """f AS (SELECT * FROM sc WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM owned o
+   WHERE o.customer_id = sc.customer_id AND o.product_id = sc.product_id))""") + topk(
+    "f", "customer_id", select="customer_id, rank, product_id, round(score, 6) AS score")
+
+_VEC = [
+    "sold AS (SELECT DISTINCT product_id FROM txn WHERE product_id IS NOT NULL)",
+    """base AS (SELECT s.product_id, coalesce(CAST(p.category AS VARCHAR), '__missing__') AS category,
+   coalesce(CAST(p.brand AS VARCHAR), '__missing__') AS brand, p.price FROM sold s LEFT JOIN prod p
+   ON s.product_id = p.product_id)""",
+    """filled AS (SELECT product_id, category, brand, coalesce(price, (SELECT avg(price) FROM base)) AS price
+   FROM base)""",
+    "st AS (SELECT avg(price) AS m, stddev_pop(price) AS s FROM filled)",
+    """vec AS (SELECT product_id, category, brand, (price - m) / (s + 1e-9) AS price_z FROM filled, st)""",
+    "vec2 AS (SELECT *, sqrt(2.0 + price_z * price_z) AS norm FROM vec)",
+]
+SQL["content_vectors"] = with_(TXN, PROD, *_VEC) + """SELECT product_id, category, brand,
+  round(price_z, 6) AS price_z, round(norm, 6) AS norm FROM vec2"""
+SQL["content_topk"] = with_(
+    TXN, PROD, *_VEC, OWNED,
+    """x AS (SELECT o.customer_id, o.cnt / v.norm AS w, v.category, v.brand, v.price_z
+   FROM owned o JOIN vec2 v USING (product_id))""",
+    "ac AS (SELECT customer_id, category, sum(w) AS a_category FROM x GROUP BY 1, 2)",
+    "ab AS (SELECT customer_id, brand, sum(w) AS a_brand FROM x GROUP BY 1, 2)",
+    "cw AS (SELECT customer_id, sum(w * price_z) AS W FROM x GROUP BY 1)",
+    """pn AS (SELECT customer_id, sqrt(sum(sq)) AS pnorm FROM (SELECT customer_id, W * W AS sq FROM cw
+   UNION ALL SELECT customer_id, a_category * a_category FROM ac
+   UNION ALL SELECT customer_id, a_brand * a_brand FROM ab) GROUP BY 1)""",
+    """cand AS (SELECT c.customer_id, v.product_id,
+   coalesce((c.W * v.price_z + coalesce(ac.a_category, 0) + coalesce(ab.a_brand, 0)) / (v.norm * pn.pnorm), 0) AS score
+   FROM cw c JOIN pn USING (customer_id) CROSS JOIN vec2 v
+   LEFT JOIN ac ON ac.customer_id = c.customer_id AND ac.category = v.category
+   LEFT JOIN ab ON ab.customer_id = c.customer_id AND ab.brand = v.brand
+   WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.customer_id = c.customer_id AND o.product_id = v.product_id))""",
+) + """SELECT customer_id, rank, product_id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (
+  PARTITION BY customer_id ORDER BY score DESC, product_id) AS INTEGER) AS rank FROM cand) WHERE rank <= 10"""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators import baskets, features, popular, profile
+from shelfspark.operators import baskets, content, features, interactions, item_cf, popular, profile
 from shelfspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,3 +221,33 @@ def q_cooccurrence(spark, sf):
 @register("fbt_cooccurrence")
 def q_fbt_cooccurrence(spark, sf):
     return baskets.fbt_cooccurrence(_core(spark, sf))
+
+
+# ---------------------------------------------------------------- personalized: interactions, item-CF, content
+
+@register("user_item_counts")
+def q_user_item_counts(spark, sf):
+    return interactions.user_item_counts(T.tpch_transactions(spark, sf))
+
+
+@register("item_similarity")
+def q_item_similarity(spark, sf):
+    counts = interactions.user_item_counts(T.tpch_transactions(spark, sf))
+    return round_doubles(item_cf.item_similarity(counts))
+
+
+@register("item_cf_topk")
+def q_item_cf_topk(spark, sf):
+    # every customer ranked by item-CF (the serving gate limits it to sparse customers)
+    return item_cf.item_cf_topk(T.tpch_transactions(spark, sf), max_items=None)
+
+
+@register("content_vectors")
+def q_content_vectors(spark, sf):
+    vec, _, _ = content.content_vectors(_core(spark, sf))
+    return round_doubles(vec)
+
+
+@register("content_topk")
+def q_content_topk(spark, sf):
+    return content.content_topk(_core(spark, sf))
