@@ -307,3 +307,56 @@ SQL["content_topk"] = with_(
    WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.customer_id = c.customer_id AND o.product_id = v.product_id))""",
 ) + """SELECT customer_id, rank, product_id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (
   PARTITION BY customer_id ORDER BY score DESC, product_id) AS INTEGER) AS rank FROM cand) WHERE rank <= 10"""
+
+# ---------------------------------------------------------------- evaluation
+FULL = TXN.replace("txn AS (", "full_txn AS (", 1)
+_HOLD = [
+    FULL,
+    """ls AS (SELECT customer_id, product_id, max(ts) AS last_seen FROM full_txn
+   WHERE customer_id IS NOT NULL AND product_id IS NOT NULL GROUP BY 1, 2)""",
+    """rk AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY last_seen ASC NULLS LAST, product_id) AS pos,
+   count(*) OVER (PARTITION BY customer_id) AS n FROM ls)""",
+    """test AS (SELECT customer_id, product_id FROM rk
+   WHERE n >= 2 AND pos > n - least(greatest(1, (2 * n + 5) // 10), n - 1))""",
+    """txn AS (SELECT * FROM full_txn t WHERE customer_id IS NOT NULL AND NOT EXISTS (
+   SELECT 1 FROM test x WHERE x.customer_id = t.customer_id AND x.product_id = t.product_id))""",
+]
+SQL["holdout_test"] = with_(*_HOLD) + "SELECT * FROM test"
+SQL["holdout_train"] = with_(*_HOLD) + """SELECT transaction_id, customer_id, product_id, quantity, price,
+  ts AS "timestamp" FROM txn"""
+
+
+def _metrics(recs_cte: str, label: str) -> str:
+    return f"""SELECT '{label}' AS list, k, round(avg(hits / k), 6) AS precision, round(avg(hits / n_rel), 6) AS recall,
+  round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n_customers FROM (
+  SELECT rel.n_rel::DOUBLE AS n_rel, kk.k::DOUBLE AS k0, kk.k,
+    coalesce((SELECT count(*) FROM test t JOIN {recs_cte} r ON t.customer_id = r.customer_id
+      AND t.product_id = r.product_id WHERE t.customer_id = rel.customer_id AND r.rank <= kk.k), 0)::DOUBLE AS hits
+  FROM (SELECT customer_id, count(*) AS n_rel FROM test GROUP BY 1) rel, (SELECT 5 AS k UNION ALL SELECT 10) kk)
+  GROUP BY k"""
+
+
+_BASE_RECS = ("""bl AS (SELECT rank, product_id FROM (SELECT *, CAST(row_number() OVER (ORDER BY round(score, 6) DESC,
+   product_id) AS INTEGER) AS rank FROM (SELECT product_id, coalesce(sum(quantity), 0) AS score FROM txn
+   WHERE product_id IS NOT NULL GROUP BY 1)) WHERE rank <= 10)""",
+              "blr AS (SELECT t.customer_id, b.product_id, b.rank FROM (SELECT DISTINCT customer_id FROM test) t, bl b)")
+SQL["eval_popularity_baseline"] = with_(*_HOLD, *_BASE_RECS) + _metrics("blr", "popularity_baseline")
+
+
+def _eval(model_ctes: list[str], recs_select: str) -> str:
+    return with_(*_HOLD, *_BASE_RECS, *model_ctes, f"recs AS ({recs_select})") + \
+        _metrics("recs", "model") + "\nUNION ALL\n" + _metrics("blr", "popularity_baseline")
+
+
+_ICF_RECS = topk("f", "customer_id", select="customer_id, rank, product_id")
+SQL["eval_item_cf"] = _eval([OWNED, _NORMS, _SIM, """sc AS (SELECT o.customer_id, s.item_j AS product_id,
+   sum(s.sim) AS score FROM owned o JOIN sim s ON o.product_id = s.item_i GROUP BY 1, 2)""",
+   """f AS (SELECT * FROM sc WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM owned o
+   WHERE o.customer_id = sc.customer_id AND o.product_id = sc.product_id))"""], _ICF_RECS)
+
+_CB = SQL["content_topk"]
+_CB_CTES = _CB[len("WITH "):_CB.index("SELECT customer_id, rank, product_id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (\n  PARTITION BY customer_id ORDER BY score DESC")].rstrip().rstrip(",")
+SQL["eval_content_based"] = with_(*_HOLD, *_BASE_RECS, PROD, _CB_CTES.split(TXN + ",\n", 1)[1].split(PROD + ",\n", 1)[1],
+    """recs AS (SELECT customer_id, rank, product_id FROM (SELECT *, CAST(row_number() OVER (
+  PARTITION BY customer_id ORDER BY score DESC, product_id) AS INTEGER) AS rank FROM cand) WHERE rank <= 10)""") + \
+    _metrics("recs", "model") + "\nUNION ALL\n" + _metrics("blr", "popularity_baseline")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators import baskets, content, features, interactions, item_cf, popular, profile
+from shelfspark.operators import baskets, content, evaluate, features, interactions, item_cf, popular, profile
 from shelfspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,3 +251,35 @@ def q_content_vectors(spark, sf):
 @register("content_topk")
 def q_content_topk(spark, sf):
     return content.content_topk(_core(spark, sf))
+
+
+# ---------------------------------------------------------------- evaluation (V1–V4)
+
+@register("holdout_test")
+def q_holdout_test(spark, sf):
+    _, test = evaluate.holdout_split(T.tpch_transactions(spark, sf))
+    return test
+
+
+@register("holdout_train")
+def q_holdout_train(spark, sf):
+    train, _ = evaluate.holdout_split(T.tpch_transactions(spark, sf))
+    return train
+
+
+@register("eval_popularity_baseline")
+def q_eval_popularity_baseline(spark, sf):
+    train, test = evaluate.holdout_split(T.tpch_transactions(spark, sf))
+    return round_doubles(evaluate.baseline_metrics(train, test).withColumn("list", F.lit("popularity_baseline"))
+                         .select("list", "k", "precision", "recall", "hit_rate", "n_customers"))
+
+
+@register("eval_item_cf")
+def q_eval_item_cf(spark, sf):
+    return round_doubles(evaluate.evaluate(
+        _core(spark, sf), lambda t: item_cf.item_cf_topk(t.transactions, max_items=None)))
+
+
+@register("eval_content_based")
+def q_eval_content_based(spark, sf):
+    return round_doubles(evaluate.evaluate(_core(spark, sf), content.content_topk))
