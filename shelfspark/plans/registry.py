@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators import baskets, content, evaluate, features, interactions, item_cf, popular, profile
+from shelfspark.operators import (baskets, content, evaluate, factorization, features, interactions, item_cf,
+                                  popular, profile, rerank)
 from shelfspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,3 +284,21 @@ def q_eval_item_cf(spark, sf):
 @register("eval_content_based")
 def q_eval_content_based(spark, sf):
     return round_doubles(evaluate.evaluate(_core(spark, sf), content.content_topk))
+
+
+# ---------------------------------------------------------------- matrix factorization (P2, P5, P9) — rows-only checks
+
+@register("als_topk")
+def q_als_topk(spark, sf):
+    return factorization.personalized_als_only(_core(spark, sf))
+
+
+@register("als_hybrid_topk")
+def q_als_hybrid_topk(spark, sf):
+    return rerank.personalized_als_neural_hybrid(_all(spark, sf))
+
+
+@register("negative_samples")
+def q_negative_samples(spark, sf):
+    inter = factorization.Interactions(T.tpch_transactions(spark, sf))
+    return inter.to_original(rerank.negative_samples(inter))
