@@ -55,9 +55,11 @@ def dense_positions(df: DataFrame, order: Sequence[Column], out: str = "pos") ->
     per-partition counts — one row per partition) plus its index inside the
     partition, recovered from ``monotonically_increasing_id``.
     """
-    ordered = (df.orderBy(*order)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id())).checkpoint()
+    from shelfspark.session import materialize
+
+    ordered = materialize(df.orderBy(*order)
+                          .withColumn("_pid", F.spark_partition_id())
+                          .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     idx = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)

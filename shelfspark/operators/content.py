@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.ranking import rounded
 from shelfspark.operators.interactions import user_item_counts
 from shelfspark.sources.tables import RetailTables
+from shelfspark.session import materialize
 
 # The level used for a missing one-hot value, and the std guard.
 MISSING_LEVEL = "__missing__"
@@ -108,7 +109,7 @@ def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
     purchases get no rows (the serving layer falls back to popular items).
     """
     vec, blocks, has_price = content_vectors(tables)
-    vec = vec.checkpoint()
+    vec = materialize(vec)
     owned = user_item_counts(tables.transactions)
     level_w, cust = _profile(owned, vec, blocks)
 

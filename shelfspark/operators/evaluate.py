@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators.popular import train_quantity_top
 from shelfspark.sources.tables import RetailTables
+from shelfspark.session import materialize
 
 # Metric cut-offs, hold-out share and minimum history.
 TOP_K_VALUES = (5, 10)
@@ -98,7 +99,7 @@ def evaluate(tables: RetailTables, recommender: Callable[[RetailTables], DataFra
     """
     train, test = holdout_split(tables.transactions)
     if materialize:
-        train, test = train.checkpoint(), test.checkpoint()
+        train, test = materialize(train), materialize(test)
     recs = recommender(tables.with_transactions(train))
     model = ranked_metrics(recs, test, ks).withColumn("list", F.lit("model"))
     base = baseline_metrics(train, test, ks).withColumn("list", F.lit("popularity_baseline"))

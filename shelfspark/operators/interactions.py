@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.ranking import dense_positions
+from shelfspark.session import materialize
 
 
 def user_item_counts(txn: DataFrame) -> DataFrame:
@@ -32,5 +33,5 @@ def int_ids(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFrame | N
         rng = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).first()[0]
         if rng is None or rng["lo"] is None or (rng["lo"] >= 0 and rng["hi"] < 2**31 - 1):
             return df.withColumn(out, F.col(col).cast("int")), None
-    mapping = dense_ids(df, col, out).checkpoint()
+    mapping = materialize(dense_ids(df, col, out))
     return df.join(mapping, col), mapping

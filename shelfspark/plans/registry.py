@@ -302,3 +302,8 @@ def q_als_hybrid_topk(spark, sf):
 def q_negative_samples(spark, sf):
     inter = factorization.Interactions(T.tpch_transactions(spark, sf))
     return inter.to_original(rerank.negative_samples(inter))
+
+
+@register("bpr_topk")
+def q_bpr_topk(spark, sf):
+    return factorization.personalized_bpr(_all(spark, sf))

@@ -27,9 +27,12 @@ def get_session(master: str | None = None, app_name: str = "shelfspark",
     On a cluster call it without ``master`` and let spark-submit decide.
     """
     builder = SparkSession.builder.appName(app_name)
+    conf = dict(DEFAULT_CONF)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+        if master.startswith("local"):
+            # single JVM: the driver heap is the only memory there is
+            conf.setdefault("spark.driver.memory", os.environ.get("SHELFSPARK_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -56,3 +59,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="shelfspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Reliable checkpoint without computing the plan twice.
+
+    ``checkpoint()`` runs one job to fill the checkpoint files and, unless the
+    data is cached, recomputes the plan to write them. Persisting first makes
+    the write read the cached blocks; the cache is dropped once the
+    checkpoint (in the shared ``spark.checkpoint.dir``) exists, so later stages
+    and retries after a lost executor read the checkpoint files.
+    """
+    from pyspark import StorageLevel
+
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist(blocking=False)
+    return out
