@@ -88,7 +88,7 @@ def baseline_metrics(train: DataFrame, test: DataFrame, ks: Sequence[int] = TOP_
 
 
 def evaluate(tables: RetailTables, recommender: Callable[[RetailTables], DataFrame],
-             ks: Sequence[int] = TOP_K_VALUES, materialize: bool = True) -> DataFrame:
+             ks: Sequence[int] = TOP_K_VALUES, checkpoint_split: bool = True) -> DataFrame:
     """V4: split, retrain ``recommender`` on train facts only, score it and the baseline.
 
     ``recommender`` maps tables to ``(customer_id, rank, product_id, ...)`` with
@@ -98,7 +98,7 @@ def evaluate(tables: RetailTables, recommender: Callable[[RetailTables], DataFra
     when nobody has a held-out item.
     """
     train, test = holdout_split(tables.transactions)
-    if materialize:
+    if checkpoint_split:
         train, test = materialize(train), materialize(test)
     recs = recommender(tables.with_transactions(train))
     model = ranked_metrics(recs, test, ks).withColumn("list", F.lit("model"))

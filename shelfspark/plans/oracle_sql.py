@@ -360,3 +360,44 @@ SQL["eval_content_based"] = with_(*_HOLD, *_BASE_RECS, PROD, _CB_CTES.split(TXN
     """recs AS (SELECT customer_id, rank, product_id FROM (SELECT *, CAST(row_number() OVER (
   PARTITION BY customer_id ORDER BY score DESC, product_id) AS INTEGER) AS rank FROM cand) WHERE rank <= 10)""") + \
     _metrics("recs", "model") + "\nUNION ALL\n" + _metrics("blr", "popularity_baseline")
+
+# ---------------------------------------------------------------- serving / export
+_POP_CTES = [TXN, "n AS (SELECT max(ts) AS now FROM txn)", f"""s AS (
+  SELECT product_id, coalesce(sum(quantity * {_REC_W}), 0) AS score
+  FROM txn, n WHERE product_id IS NOT NULL GROUP BY product_id)""",
+    "pop AS (" + topk("s", "", select="rank, product_id") + ")"]
+SQL["serve_personalized"] = with_(*_POP_CTES, CUST, OWNED, _NORMS, _SIM,
+    "sparse AS (SELECT customer_id FROM owned GROUP BY 1 HAVING count(*) <= 2)",
+    """sc AS (SELECT o.customer_id, s.item_j AS product_id, sum(s.sim) AS score
+   FROM (SELECT * FROM owned WHERE customer_id IN (SELECT customer_id FROM sparse)) o
+   JOIN sim s ON o.product_id = s.item_i GROUP BY 1, 2)""",
+    """f AS (SELECT * FROM sc WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM owned o
+   WHERE o.customer_id = sc.customer_id AND o.product_id = sc.product_id))""",
+    "pl AS (" + topk("f", "customer_id", select="customer_id, rank, product_id") + ")",
+    "req AS (SELECT DISTINCT customer_id FROM cust)") + """
+SELECT customer_id, rank, product_id, 'personalized' AS source FROM pl WHERE customer_id IN (SELECT customer_id FROM req)
+UNION ALL
+SELECT r.customer_id, p.rank, p.product_id, 'popularity_fallback' AS source FROM req r, pop p
+WHERE r.customer_id NOT IN (SELECT customer_id FROM pl)"""
+
+_FBT_CO = with_(TXN, _basket_items("product_id"), _cooc(False), "u AS (SELECT * FROM co)")[len("WITH "):].rstrip()
+SQL["serve_fbt"] = with_(_FBT_CO, PROD, "fl AS (" + _FBT_OUT + ")") + """SELECT item AS product_id, rank,
+  recommended AS recommended_id FROM fl WHERE item IN (SELECT product_id FROM prod)"""
+SQL["export_flat"] = with_(_FBT_CO, "fl AS (" + _FBT_OUT + ")") + """SELECT item, string_agg(CAST(recommended AS VARCHAR),
+  ', ' ORDER BY rank) AS recommendations FROM fl GROUP BY item"""
+_POP_ALL = [TXN, CUST, "n AS (SELECT max(ts) AS now FROM txn)", f"""s AS (
+  SELECT product_id, coalesce(sum(quantity * {_REC_W}), 0) AS score
+  FROM txn, n WHERE product_id IS NOT NULL GROUP BY product_id)""",
+    "po AS (" + topk("s", "", select="'overall' AS list_key, rank, product_id") + ")",
+    f"""ss AS (SELECT c.segment, t.product_id, coalesce(sum(t.quantity * {_REC_W}), 0) AS score
+  FROM txn t JOIN cust c ON t.customer_id = c.customer_id, n
+  WHERE c.segment IS NOT NULL AND t.product_id IS NOT NULL GROUP BY c.segment, t.product_id)""",
+    "ps AS (" + topk("ss", "segment", select="'segment:' || segment AS list_key, rank, product_id") + ")",
+    "lists AS (SELECT * FROM po UNION ALL SELECT * FROM ps)",
+    """req AS (SELECT DISTINCT segment, 'segment:' || segment AS list_key FROM (
+   SELECT segment FROM cust UNION ALL SELECT segment || '-unknown' FROM cust))"""]
+SQL["serve_popular"] = with_(*_POP_ALL) + """SELECT r.segment, l.rank, l.product_id, 'segment' AS source
+  FROM req r JOIN lists l ON r.list_key = l.list_key
+UNION ALL
+SELECT r.segment, l.rank, l.product_id, 'overall_fallback' AS source FROM req r, lists l
+  WHERE l.list_key = 'overall' AND r.list_key NOT IN (SELECT list_key FROM lists)"""

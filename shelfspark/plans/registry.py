@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import (baskets, content, evaluate, factorization, features, interactions, item_cf,
                                   popular, profile, rerank)
+from shelfspark.sources import results
 from shelfspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,3 +308,32 @@ def q_negative_samples(spark, sf):
 @register("bpr_topk")
 def q_bpr_topk(spark, sf):
     return factorization.personalized_bpr(_all(spark, sf))
+
+
+# ---------------------------------------------------------------- serving and export
+
+@register("serve_personalized")
+def q_serve_personalized(spark, sf):
+    t = _core(spark, sf)
+    # the reference's sparse-customer item-CF lists; every other customer is served the popular fallback
+    lists = item_cf.item_cf_topk(t.transactions)
+    return results.serve_personalized(t.customers, lists, popular.popular_recency(t, segments=False))
+
+
+@register("serve_fbt")
+def q_serve_fbt(spark, sf):
+    t = _core(spark, sf)
+    return results.serve_fbt(t.products, baskets.fbt_cooccurrence(t))
+
+
+@register("serve_popular")
+def q_serve_popular(spark, sf):
+    t = _core(spark, sf)
+    segs = t.customers.select("segment").union(
+        t.customers.select(F.concat(F.col("segment"), F.lit("-unknown")).alias("segment")))
+    return results.serve_popular(segs, popular.popular_recency(t))
+
+
+@register("export_flat")
+def q_export_flat(spark, sf):
+    return results.export_flat(baskets.fbt_cooccurrence(_core(spark, sf)), "item", "recommended")
