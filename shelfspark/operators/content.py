@@ -102,6 +102,80 @@ def _global_order(vec: DataFrame, order_cols: list) -> DataFrame:
                                       *[c for c in vec.columns if c in BLOCKS]), order_cols, "pos")
 
 
+GROUP_BUCKETS = 64
+
+
+def _reachable_groups(vec: DataFrame, blocks: list[str], level_w, cust: DataFrame, owned: DataFrame):
+    """(customer, group) rows for every (category, brand) group sharing a level with the
+    customer's purchases, with the group weight a, W, ‖P‖ and owned-in-group count;
+    plus per-customer product counts over those groups. Bounded by customers × groups."""
+    groups = vec.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n_g"))
+    parts = [level_w[b].select("customer_id", b).join(groups.select(*blocks), b) for b in blocks]
+    cg = parts[0]
+    for p in parts[1:]:
+        cg = cg.unionByName(p)
+    cg = cg.distinct()
+    a = F.lit(0.0)
+    for b in blocks:
+        cg = cg.join(level_w[b], ["customer_id", b], "left")
+        a = a + F.coalesce(F.col(f"a_{b}"), F.lit(0.0))
+    own_g = (owned.join(vec.select("product_id", *blocks), "product_id")
+             .groupBy("customer_id", *blocks).agg(F.count(F.lit(1)).alias("o_g")))
+    cg = (cg.withColumn("a_g", a).join(cust.select("customer_id", "W", "pnorm"), "customer_id")
+          .join(own_g, ["customer_id", *blocks], "left").join(groups, blocks)
+          .select("customer_id", *blocks, "a_g", "W", "pnorm", F.coalesce("o_g", F.lit(0)).alias("o_g"), "n_g"))
+    cg = materialize(cg)
+    s1 = cg.groupBy("customer_id").agg(F.sum("n_g").alias("_s1"))
+    return cg, s1
+
+
+def _group_windows(vec: DataFrame, blocks: list[str], cg: DataFrame, k: int, has_price: bool) -> DataFrame:
+    """Score the z-window around each (customer, group) peak; exact for the top K + owned of each group.
+
+    Positions order a group by (z, id). The peak position q (products with z ≤ z*) is
+    bracketed by a per-group bucket grid (cumulative counts, GROUP_BUCKETS + 1 rows per
+    group), the window is widened by the bracket, and its left end is moved to the start
+    of its run of equal z (equal z ties break by id, which the position order reverses
+    on the rising side).
+    """
+    gw = Window.partitionBy(*blocks)
+    pg = (vec.withColumn("pos", F.row_number().over(gw.orderBy(F.col("price_z").asc(), F.col("product_id").asc())))
+          .withColumn("zmin", F.min("price_z").over(gw)).withColumn("zmax", F.max("price_z").over(gw))
+          .withColumn("run_start", F.min("pos").over(Window.partitionBy(*blocks, "price_z"))))
+    step = (F.col("zmax") - F.col("zmin")) / GROUP_BUCKETS
+    bucket = F.when(step > 0, F.least(F.greatest(F.floor((F.col("price_z") - F.col("zmin")) / step),
+                                                 F.lit(0)), F.lit(GROUP_BUCKETS - 1))).otherwise(F.lit(0))
+    pg = materialize(pg.withColumn("bucket", bucket.cast("int")))
+    stats = pg.groupBy(*blocks).agg(F.first("zmin").alias("zmin"), F.first("zmax").alias("zmax"))
+    per_b = pg.groupBy(*blocks, "bucket").agg(F.count(F.lit(1)).alias("nb_"))
+    grid = (stats.select(*blocks, F.explode(F.sequence(F.lit(0), F.lit(GROUP_BUCKETS))).alias("bucket"))
+            .join(per_b, [*blocks, "bucket"], "left")
+            .withColumn("cum", F.coalesce(F.sum("nb_").over(
+                Window.partitionBy(*blocks).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
+                F.lit(0)))
+            .select(*blocks, "bucket", "cum"))
+    nb = float(len(blocks))
+    zstar = F.col("W") * F.lit(nb) / F.col("a_g") if has_price else F.lit(0.0)
+    c = cg.join(stats, blocks).withColumn("_zs", zstar)
+    c = c.withColumn("_b", F.when(step > 0, F.least(F.greatest(F.floor((F.col("_zs") - F.col("zmin")) / step),
+                                                            F.lit(0)), F.lit(GROUP_BUCKETS - 1)))
+                     .otherwise(F.lit(0)).cast("int"))
+    lo = grid.select(*blocks, F.col("bucket").alias("_b"), F.col("cum").alias("_lo"))
+    hi = grid.select(*blocks, (F.col("bucket") - 1).alias("_b"), F.col("cum").alias("_hi"))
+    c = c.join(lo, [*blocks, "_b"]).join(hi, [*blocks, "_b"])
+    span = F.lit(k) + F.col("o_g")
+    c = (c.withColumn("_l", F.greatest(F.lit(1).cast("long"), (F.col("_lo") - span + 1).cast("long")))
+         .withColumn("_r", F.least(F.col("n_g").cast("long"), (F.col("_hi") + span).cast("long"))))
+    starts = pg.select(*blocks, F.col("pos").alias("_l"), F.col("run_start"))
+    c = c.join(starts, [*blocks, "_l"]).withColumn("_l", F.col("run_start").cast("long"))
+    win = c.select("customer_id", *blocks, "a_g", "W", "pnorm",
+                   F.explode(F.sequence(F.col("_l"), F.col("_r"))).alias("pos"))
+    got = win.join(pg.select(*blocks, F.col("pos").cast("long").alias("pos"), "product_id", "price_z", "norm"),
+                   [*blocks, "pos"])
+    score = (F.col("a_g") + F.col("W") * F.col("price_z")) / (F.col("norm") * F.col("pnorm"))
+    return got.select("customer_id", "product_id", F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
 def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
     """Top-K un-owned products per customer by cosine to the purchase-weighted content profile.
 
@@ -126,22 +200,15 @@ def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
             out = out.join(level_w[b], ["customer_id", b], "left")
         return out.select("customer_id", "product_id", score.alias("score"))
 
-    # 1) products sharing a level with an owned product: equi-joins, each (customer, product) once
-    shared = []
-    for i, b in enumerate(blocks):
-        c = level_w[b].select("customer_id", b).join(vec.select("product_id", "price_z", "norm", *blocks), b)
-        for prev in blocks[:i]:  # already produced through an earlier block
-            c = c.join(level_w[prev].select("customer_id", prev), ["customer_id", prev], "left_anti")
-        shared.append(c.select("customer_id", "product_id", "price_z", "norm", *blocks))
+    # 1) products sharing a level with an owned product. Inside one (category, brand)
+    #    group the score (a + W z) / sqrt(nb + z^2) is unimodal in z with its peak at
+    #    z* = nb W / a, so a customer's best products of the group form a contiguous
+    #    run of the z-ordered group around z*: K + owned-in-group on each side suffice.
     cands = []
-    if shared:
-        s1 = shared[0]
-        for s in shared[1:]:
-            s1 = s1.unionByName(s)
-        cands.append(scored(s1))
-        s1_count = s1.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_s1"))
-    else:
-        s1_count = None
+    s1_count = None
+    if blocks:
+        cg, s1_count = _reachable_groups(vec, blocks, level_w, cust, owned)
+        cands.append(_group_windows(vec, blocks, cg, k, has_price))
 
     # 2) products sharing nothing: score monotone in z, so a prefix of one global order suffices
     n_products = vec.select(F.count(F.lit(1))).scalar()
