@@ -18,15 +18,19 @@ from shelfspark.plans.registry import QUERIES  # noqa: E402
 from shelfspark.session import get_session  # noqa: E402
 
 # Headline queries: every operator family (profile, features, popularity,
-# baskets, item-CF, content, hold-out evaluation, ALS) at the bench scale.
+# baskets, item-CF, content, hold-out evaluation, serving, ALS and the default
+# ALS + neural hybrid) at the bench scale. ``item_cf_topk`` ranks *every*
+# customer by item-CF (a correctness query; its work is Σ over owned items of
+# their co-bought items, 720M rows at sf0.1) — the pipelines run item-CF for
+# sparse customers only, which ``serve_personalized`` and the ALS variants time.
 HEADLINE = [
     "eda_summary", "eda_weekly", "eda_price_histogram", "eda_category",
     "feat_behavioral", "feat_net_demand", "side_features_customer",
     "popular_recency", "popular_recency_by_segment", "popular_trending_by_segment",
     "fbt_lift", "fbt_lift_product", "fbt_confidence", "fbt_cooccurrence",
-    "item_cf_topk", "content_topk",
-    "holdout_test", "eval_popularity_baseline",
-    "als_topk",
+    "content_topk", "eval_content_based",
+    "holdout_test", "eval_popularity_baseline", "serve_personalized", "serve_popular",
+    "als_topk", "als_hybrid_topk",
 ]
 
 

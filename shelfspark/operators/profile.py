@@ -112,9 +112,10 @@ def eda_price_histogram(tables: RetailTables, n_bins: int = N_BINS, with_label:
     linspace produces, so values on an edge land in the lower bin.
     """
     prices = tables.transactions.where(F.col("price").isNotNull()).select("price")
-    lo = prices.select(F.min("price")).scalar()
-    hi = prices.select(F.max("price")).scalar()
-    nu = prices.select(F.count_distinct("price")).scalar()
+    # one scalar subquery for all three statistics (one scan of the facts, reused by reference)
+    st = prices.select(F.struct(F.min("price").alias("lo"), F.max("price").alias("hi"),
+                                F.count_distinct("price").alias("nu"))).scalar()
+    lo, hi, nu = st.getField("lo"), st.getField("hi"), st.getField("nu")
     nb = F.least(F.lit(n_bins).cast("bigint"), nu)
     const = lo == hi
     lo_e = F.when(const, lo - F.when(lo != 0, F.abs(lo) * EDGE_ADJUST).otherwise(EDGE_ADJUST)).otherwise(lo)
