@@ -25,13 +25,17 @@ def top_k(df: DataFrame, keys: Sequence[str], score: str, item: str, k: int,
     """Keep the best ``k`` rows per ``keys`` and number them 1..k.
 
     ``row_number() <= k`` is planned as a WindowGroupLimit, so each partition
-    keeps at most k rows per key before the shuffle; with no keys this is a
-    global top-k whose partial limits run before the single-partition exchange.
+    keeps at most k rows per key before the shuffle; with no keys it is a
+    sort + limit (TakeOrderedAndProject), so no task ever holds more than k
+    rows per input partition.
     """
     order = rounded(score).asc() if ascending else rounded(score).desc()
-    w = Window.orderBy(order, F.col(item).asc())
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(order, F.col(item).asc())
+    if not keys:
+        # global top-k: sort + limit plans as TakeOrderedAndProject (a top-k per partition,
+        # then a merge of at most k rows per partition); only the k survivors are numbered
+        top = df.orderBy(order, F.col(item).asc()).limit(k)
+        return top.withColumn(rank_col, F.row_number().over(Window.orderBy(order, F.col(item).asc())))
+    w = Window.partitionBy(*keys).orderBy(order, F.col(item).asc())
     return (df.withColumn(rank_col, F.row_number().over(w))
               .where(F.col(rank_col) <= k))
 

@@ -72,6 +72,7 @@ def materialize(df):
     """
     from pyspark import StorageLevel
 
+    ensure_checkpoint_dir(df.sparkSession)
     df.persist(StorageLevel.MEMORY_AND_DISK)
     out = df.checkpoint(eager=True)
     df.unpersist(blocking=False)
