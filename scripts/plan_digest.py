@@ -28,7 +28,7 @@ def main():
         ops = {k: len(re.findall(k, plan)) for k in [
             "Exchange hashpartitioning", "Exchange SinglePartition", "Exchange rangepartitioning",
             "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
-            "BroadcastNestedLoopJoin", "CartesianProduct", "WindowGroupLimit", "HashAggregate",
+            "BroadcastNestedLoopJoin", "CartesianProduct", "WindowGroupLimit", "TakeOrderedAndProject", "HashAggregate",
             "Subquery", "BatchEvalPython", "ArrowEvalPython", "Generate"]}
         scans = sorted(set(re.findall(r"FileScan parquet [^\n]*?ReadSchema: struct<[^>]*>", plan)))
         out.append(f"## `{name}`")
