@@ -184,8 +184,12 @@ def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
     """
     vec, blocks, has_price = content_vectors(tables)
     vec = materialize(vec)
-    owned = user_item_counts(tables.transactions)
+    # the profile pieces are read by many branches below; store them once (small: per customer
+    # and level) so every branch reads the checkpoint instead of re-deriving them from the facts
+    owned = materialize(user_item_counts(tables.transactions))
     level_w, cust = _profile(owned, vec, blocks)
+    level_w = {b: materialize(f) for b, f in level_w.items()}
+    cust = materialize(cust)
 
     score_num = F.col("W") * F.col("price_z")
     for b in blocks:

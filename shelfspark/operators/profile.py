@@ -172,10 +172,13 @@ def segment_breakdown(tables: RetailTables, segment_col: str = "segment") -> Dat
 
 
 def optional_tables_present(tables: RetailTables) -> DataFrame:
-    """Which optional tables were supplied (schema-level, no job over data)."""
-    present = tables.present_optional()
-    return tables.transactions.sparkSession.createDataFrame(
-        [(n, n in present) for n in OPTIONAL_TABLES], "table string, present boolean")
+    """Which optional tables were supplied, with their row counts (0 when absent)."""
+    parts = []
+    for n in OPTIONAL_TABLES:
+        df = getattr(tables, n)
+        cnt = df.select(F.count(F.lit(1)).cast("bigint")).scalar() if df is not None else F.lit(0).cast("bigint")
+        parts.append(F.struct(F.lit(n).alias("table"), F.lit(df is not None).alias("present"), cnt.alias("n_rows")))
+    return tables.transactions.sparkSession.range(1).select(F.explode(F.array(*parts)).alias("t")).select("t.*")
 
 
 def run_eda(tables: RetailTables) -> dict[str, DataFrame]:

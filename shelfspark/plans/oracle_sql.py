@@ -401,3 +401,17 @@ SQL["serve_popular"] = with_(*_POP_ALL) + """SELECT r.segment, l.rank, l.product
 UNION ALL
 SELECT r.segment, l.rank, l.product_id, 'overall_fallback' AS source FROM req r, lists l
   WHERE l.list_key = 'overall' AND r.list_key NOT IN (SELECT list_key FROM lists)"""
+
+SQL["schema_warnings"] = """SELECT * FROM (
+  SELECT 'products' AS "table", 'category' AS "column", true AS present, (SELECT count(*) FROM part) AS n_rows,
+    (SELECT count(p_type) FROM part) AS n_non_null, CAST(NULL AS VARCHAR) AS warning
+  UNION ALL SELECT 'products', 'brand', true, (SELECT count(*) FROM part), (SELECT count(p_brand) FROM part), NULL
+  UNION ALL SELECT 'customers', 'segment', true, (SELECT count(*) FROM customer),
+    (SELECT count(c_mktsegment) FROM customer), NULL)"""
+SQL["eda_optional_tables"] = """SELECT * FROM (
+  SELECT 'sessions' AS "table", true AS present,
+    (SELECT count(*) FROM events WHERE event_type IN ('view', 'click')) AS n_rows
+  UNION ALL SELECT 'returns', true, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_returnflag = 'R')
+  UNION ALL SELECT 'search_logs', true, (SELECT count(*) FROM events)
+  UNION ALL SELECT 'promotions', true, (SELECT count(*) FROM part WHERE p_size <= 12))"""

@@ -133,9 +133,27 @@ def extension_warnings(products: DataFrame, customers: DataFrame) -> list[str]:
 
 
 def schema_warnings(spark: SparkSession, tables: RetailTables) -> DataFrame:
-    """S6 as a frame of warning strings."""
-    msgs = extension_warnings(tables.products, tables.customers)
-    return spark.createDataFrame([(m,) for m in msgs], "warning string")
+    """S6 as a frame: one row per retail extension column with its coverage.
+
+    ``(table, column, present, n_rows, n_non_null, warning)``; ``warning`` is the
+    soft-warning text when the column is absent (the warnings list is the
+    non-null ``warning`` values). Counts are one aggregation per table.
+    """
+    parts = []
+    for name, df, cols in (("products", tables.products, PRODUCT_EXTENSION),
+                           ("customers", tables.customers, CUSTOMER_EXTENSION)):
+        aggs = [F.count(F.lit(1)).cast("bigint").alias("n_rows")]
+        aggs += [F.count(F.col(c)).cast("bigint").alias(f"nn_{c}") for c in cols if c in df.columns]
+        st = df.select(F.struct(*aggs)).scalar()
+        for c in cols:
+            present = c in df.columns
+            parts.append(F.struct(
+                F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(present).alias("present"),
+                st.getField("n_rows").alias("n_rows"),
+                (st.getField(f"nn_{c}") if present else F.lit(0).cast("bigint")).alias("n_non_null"),
+                F.lit(None if present else f"retail pack: {name} missing optional column '{c}'")
+                .cast("string").alias("warning")))
+    return spark.range(1).select(F.explode(F.array(*parts)).alias("w")).select("w.*")
 
 
 def segment_key(customers: DataFrame) -> str | None:

@@ -49,3 +49,11 @@ def test_csv_load_roundtrip(spark, tmp_path, m1):
     assert t.present_optional() == ["returns", "search_logs", "promotions"]
     assert dict(t.transactions.dtypes)["timestamp"] == "timestamp"
     assert t.transactions.where(F.col("timestamp").isNull()).count() == 1
+
+
+def test_schema_warnings_frame(spark, m1):
+    from shelfspark.sources.tables import RetailTables
+    t = RetailTables(m1.transactions, m1.customers.drop("segment"), m1.products)
+    rows = {(r["table"], r["column"]): r for r in T.schema_warnings(spark, t).collect()}
+    assert rows[("products", "brand")]["n_non_null"] == 3 and rows[("products", "brand")]["warning"] is None
+    assert "segment" in rows[("customers", "segment")]["warning"]
