@@ -20,11 +20,12 @@ so only two kinds of candidate exist:
   enumerated by equi-joins of the customer's (level, weight) rows with the
   catalog on that level;
 * all other products, whose score ``W_c · z_j / (‖x_j‖‖P_c‖)`` is monotone in
-  ``z_j``. Their best ones are a prefix of one global list ordered by z (or by
-  id when ``W_c = 0``). The prefix needed is at most K plus the number of
-  products of the first kind, and customers whose owned levels already cover
-  the catalog skip it. The list positions come from a distributed sort and
-  per-partition offsets; the prefix is an equi-join on position.
+  ``z_j``. Their best ones are the first unshared products of one global list
+  ordered by z (or by id when ``W_c = 0``). The walk deepens by doubling and
+  only for customers still short of K, so each walks at most twice the depth
+  it needs; customers whose levels already reach the catalog skip it. List
+  positions come from a distributed sort and per-partition offsets; each walk
+  step is an equi-join on position.
 
 Ranking is by the exact score, then product id (not the package's rounded
 rule: the prefix argument needs score order to equal z order).
@@ -214,34 +215,11 @@ def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
         cg, s1_count = _reachable_groups(vec, blocks, level_w, cust, owned)
         cands.append(_group_windows(vec, blocks, cg, k, has_price))
 
-    # 2) products sharing nothing: score monotone in z, so a prefix of one global order suffices
-    n_products = vec.select(F.count(F.lit(1))).scalar()
-    plans = [("desc", [F.col("price_z").desc(), F.col("product_id").asc()], F.col("W") > 0),
-             ("asc", [F.col("price_z").asc(), F.col("product_id").asc()], F.col("W") < 0),
-             ("id", [F.col("product_id").asc()], F.col("W") == 0)] if has_price else \
-        [("id", [F.col("product_id").asc()], F.lit(True))]
-    depth_base = cust.select("customer_id", "W")
-    if s1_count is not None:
-        depth_base = depth_base.join(s1_count, "customer_id", "left")
-    else:
-        depth_base = depth_base.withColumn("_s1", F.lit(0))
-    if not blocks:  # owned products are then inside the walked list too
-        n_owned = owned.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_own"))
-        depth_base = depth_base.join(n_owned, "customer_id", "left")
-    else:
-        depth_base = depth_base.withColumn("_own", F.lit(0))
-    depth_base = depth_base.withColumn(
-        "_depth", F.least(n_products, F.lit(k) + F.coalesce(F.col("_s1"), F.lit(0)) + F.col("_own")))
-    depth_base = depth_base.where(F.coalesce(F.col("_s1"), F.lit(0)) < n_products)
-    for _, order, cond in plans:
-        lst = _global_order(vec, order)
-        walk = (depth_base.where(cond)
-                .select("customer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_depth").cast("long")))
-                        .alias("pos")))
-        c = walk.join(lst.select("pos", "product_id", "price_z", "norm", *blocks), "pos")
-        for b in blocks:
-            c = c.join(level_w[b].select("customer_id", b), ["customer_id", b], "left_anti")
-        cands.append(scored(c.select("customer_id", "product_id", "price_z", "norm", *blocks)))
+    # 2) products sharing nothing: score monotone in z, so the best ones are the first
+    #    "sharing nothing" products of one global order (by z, or by id when W = 0).
+    #    The walk deepens by doubling, only for customers that still lack K of them, so
+    #    a customer walks at most twice the depth it needs (≤ log2(catalog / K) rounds).
+    cands.append(_walk_unshared(vec, blocks, has_price, level_w, cust, owned, s1_count, k, scored))
 
     allc = cands[0]
     for c in cands[1:]:
@@ -251,3 +229,47 @@ def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
     ranked = allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("customer_id", F.col("rank").cast("int").alias("rank"), "product_id",
                          rounded("score").alias("score"))
+
+
+def _walk_unshared(vec, blocks, has_price, level_w, cust, owned, s1_count, k, scored) -> DataFrame:
+    """Candidates sharing no level with the customer's purchases (see ``content_topk``)."""
+    n_products = vec.count()
+    plans = [([F.col("price_z").desc(), F.col("product_id").asc()], F.col("W") > 0),
+             ([F.col("price_z").asc(), F.col("product_id").asc()], F.col("W") < 0),
+             ([F.col("product_id").asc()], F.col("W") == 0)] if has_price else \
+        [([F.col("product_id").asc()], F.lit(True))]
+    lists = [(_global_order(vec, order), cond) for order, cond in plans]
+    remaining = cust.select("customer_id", "W")
+    if s1_count is not None:  # customers whose levels reach the whole catalog have nothing to walk
+        remaining = (remaining.join(s1_count, "customer_id", "left")
+                     .where(F.coalesce(F.col("_s1"), F.lit(0)) < n_products).select("customer_id", "W"))
+    remaining = materialize(remaining)
+    spark = vec.sparkSession
+    found = spark.createDataFrame([], "customer_id " + dict(cust.dtypes)["customer_id"] + ", n long")
+    parts, lo, hi = [], 0, 2 * k
+    while lo < n_products and not remaining.isEmpty():
+        hi = min(hi, n_products)
+        walk = remaining.select("customer_id", "W", F.explode(F.sequence(F.lit(lo + 1).cast("long"),
+                                                                           F.lit(hi).cast("long"))).alias("pos"))
+        segs = [walk.where(cond).join(lst.select("pos", "product_id", "price_z", "norm", *blocks), "pos")
+                for lst, cond in lists]
+        seg = segs[0]
+        for x in segs[1:]:
+            seg = seg.unionByName(x)
+        for b in blocks:
+            seg = seg.join(level_w[b].select("customer_id", b), ["customer_id", b], "left_anti")
+        if not blocks:  # without one-hot blocks every product is unshared, owned ones included
+            seg = seg.join(owned.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
+        seg = materialize(seg.select("customer_id", "product_id", "price_z", "norm", *blocks))
+        parts.append(seg)
+        found = materialize(found.unionByName(seg.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")))
+                            .groupBy("customer_id").agg(F.sum("n").alias("n")))
+        remaining = materialize(remaining.join(found.where(F.col("n") >= k), "customer_id", "left_anti"))
+        lo, hi = hi, hi * 2
+    if not parts:
+        return spark.createDataFrame([], "customer_id " + dict(cust.dtypes)["customer_id"] + ", product_id "
+                                     + dict(vec.dtypes)["product_id"] + ", score double")
+    allp = parts[0]
+    for x in parts[1:]:
+        allp = allp.unionByName(x)
+    return scored(allp)
