@@ -6,9 +6,11 @@ is ``overall`` or ``segment:<value>``.
 Plan shape: one pass over the facts with map-side partial aggregation per
 product (or per segment and product), so the shuffle carries at most
 ``#products`` rows per map task; ``now`` is a scalar subquery (no join).
-The per-segment lists join the facts to ``customers`` on ``customer_id``;
-Spark broadcasts that side only when its measured size is under the
-broadcast threshold, otherwise it is a shuffle join.
+The per-segment lists first reduce the facts to per-(customer, product)
+partial sums (so a customer holding a third of all rows becomes at most one
+row per product), then join ``customers`` on ``customer_id`` and re-aggregate
+per (segment, product); Spark broadcasts the customers side only when its
+measured size is under the broadcast threshold, otherwise it is a shuffle join.
 """
 
 from __future__ import annotations
@@ -33,11 +35,16 @@ def _now(txn: DataFrame) -> Column:
     return txn.select(F.max("timestamp")).scalar()
 
 
-def _segmented(txn: DataFrame, customers: DataFrame, segment_col: str) -> DataFrame:
-    """Facts with the customer's segment; rows with no / null segment are dropped (they form no list)."""
+def _segmented(partials: DataFrame, customers: DataFrame, segment_col: str) -> DataFrame:
+    """Attach each customer's segment to per-(customer, product) partial sums.
+
+    Callers pre-aggregate the facts per (customer, product) first, so a customer
+    holding a large share of all rows reaches this join as at most one row per
+    product. Rows with no / null segment are dropped (they form no list).
+    """
     seg = (customers.where(F.col(segment_col).isNotNull())
            .select("customer_id", F.col(segment_col).alias("_segment")))
-    return txn.join(seg, "customer_id")
+    return partials.join(seg, "customer_id")
 
 
 def _finish(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -76,8 +83,10 @@ def popular_recency(tables: RetailTables, segment_col: str | None = "segment", t
     if overall:
         parts.append(_finish(_recency_scores(txn, [], now, halflife_days), [], top_k_))
     if segments and segment_col and segment_col in tables.customers.columns:
-        seg = _segmented(txn, tables.customers, segment_col)
-        parts.append(_finish(_recency_scores(seg, ["_segment"], now, halflife_days), ["_segment"], top_k_))
+        partial = _recency_scores(txn.where(F.col("customer_id").isNotNull()), ["customer_id"], now, halflife_days)
+        seg = (_segmented(partial, tables.customers, segment_col)
+               .groupBy("_segment", "product_id").agg(F.sum("score").alias("score")))
+        parts.append(_finish(seg, ["_segment"], top_k_))
     return _union(parts)
 
 
@@ -109,8 +118,12 @@ def popular_trending(tables: RetailTables, segment_col: str | None = "segment",
     if overall:
         parts.append(_finish(_velocity_scores(txn, [], now), [], top_k_))
     if segments and segment_col and segment_col in tables.customers.columns:
-        seg = _segmented(txn, tables.customers, segment_col)
-        parts.append(_finish(_velocity_scores(seg, ["_segment"], now), ["_segment"], top_k_))
+        partial = (_velocity_scores(txn.where(F.col("customer_id").isNotNull()), ["customer_id"], now)
+                   .drop("score"))
+        seg = (_segmented(partial, tables.customers, segment_col)
+               .groupBy("_segment", "product_id").agg(F.sum("recent").alias("recent"), F.sum("prior").alias("prior"))
+               .withColumn("score", F.try_divide(F.col("recent") - F.col("prior"), F.col("prior") + 1)))
+        parts.append(_finish(seg, ["_segment"], top_k_))
     return _union(parts)
 
 
