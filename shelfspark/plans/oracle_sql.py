@@ -415,3 +415,15 @@ SQL["eda_optional_tables"] = """SELECT * FROM (
     WHERE l_returnflag = 'R')
   UNION ALL SELECT 'search_logs', true, (SELECT count(*) FROM events)
   UNION ALL SELECT 'promotions', true, (SELECT count(*) FROM part WHERE p_size <= 12))"""
+
+SQL["minmax_blend"] = with_(TXN, "n AS (SELECT max(ts) AS now FROM txn)", f"""s AS (
+  SELECT customer_id, product_id, count(*)::DOUBLE AS mf, sum({_REC_W}) AS nn
+  FROM txn, n WHERE customer_id IS NOT NULL AND product_id IS NOT NULL GROUP BY 1, 2)""",
+  """m AS (SELECT *, min(mf) OVER w AS mf_lo, max(mf) OVER w AS mf_hi, min(nn) OVER w AS nn_lo,
+   max(nn) OVER w AS nn_hi FROM s WINDOW w AS (PARTITION BY customer_id))""",
+  """b AS (SELECT customer_id, product_id,
+   (CASE WHEN mf_hi - mf_lo < 1e-9 THEN 0.0 ELSE (mf - mf_lo) / (mf_hi - mf_lo) END) * 0.5
+   + (CASE WHEN nn_hi - nn_lo < 1e-9 THEN 0.0 ELSE (nn - nn_lo) / (nn_hi - nn_lo) END) * 0.5 AS score FROM m)""") + topk(
+    "b", "customer_id", select="customer_id, rank, product_id, round(score, 6) AS score")
+SQL["result_tables_roundtrip"] = SQL["popular_recency"].replace(
+    "SELECT 'overall' AS list_key, rank, product_id, round(score, 6) AS score FROM", "SELECT * FROM (SELECT 'overall' AS list_key, rank, product_id, round(score, 6) AS score FROM") + ") UNION ALL " + SQL["popular_recency_by_segment"][len("WITH "):].join(["SELECT * FROM (WITH ", ")"])

@@ -337,3 +337,50 @@ def q_serve_popular(spark, sf):
 @register("export_flat")
 def q_export_flat(spark, sf):
     return results.export_flat(baskets.fbt_cooccurrence(_core(spark, sf)), "item", "recommended")
+
+
+# ---------------------------------------------------------------- blend, ALS evaluation, run bookkeeping
+
+@register("minmax_blend")
+def q_minmax_blend(spark, sf):
+    """P6/F12 blend arithmetic on two real per-(customer, product) signals: purchase rows and recency weight."""
+    t = _core(spark, sf)
+    txn = t.transactions.where(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull())
+    now = txn.select(F.max("timestamp")).scalar()
+    sig = txn.groupBy("customer_id", "product_id").agg(
+        F.count(F.lit(1)).cast("double").alias("mf_score"),
+        F.sum(popular.recency_weight(F.col("timestamp"), now)).alias("nn_score"))
+    return rerank.blend(sig)
+
+
+@register("eval_als")
+def q_eval_als(spark, sf):
+    return round_doubles(evaluate.evaluate(_core(spark, sf), lambda t: factorization.personalized_als_only(t)))
+
+
+@register("run_metrics")
+def q_run_metrics(spark, sf):
+    train, test = evaluate.holdout_split(T.tpch_transactions(spark, sf))
+    m = evaluate.baseline_metrics(train, test).withColumn("list", F.lit("popularity_baseline"))
+    return results.metrics_rows("sf-run", m)
+
+
+@register("latest_run")
+def q_latest_run(spark, sf):
+    train, test = evaluate.holdout_split(T.tpch_transactions(spark, sf))
+    m = evaluate.baseline_metrics(train, test).withColumn("list", F.lit("popularity_baseline"))
+    runs = results.metrics_rows("run-a", m).unionByName(
+        results.metrics_rows("run-b", m).withColumn("computed_at", F.col("computed_at") + F.expr("INTERVAL 1 SECOND")))
+    return results.latest_run(runs)
+
+
+@register("result_tables_roundtrip")
+def q_result_tables_roundtrip(spark, sf):
+    """Write the popular lists as a run under the shared checkpoint folder and read that run back."""
+    import uuid
+
+    from shelfspark.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/results-{uuid.uuid4().hex}"
+    results.write_result(popular.popular_recency(_core(spark, sf)), base, "popular", "r1")
+    return results.read_result(spark, base, "popular", "r1").drop("run_id")
