@@ -427,3 +427,22 @@ SQL["minmax_blend"] = with_(TXN, "n AS (SELECT max(ts) AS now FROM txn)", f"""s
     "b", "customer_id", select="customer_id, rank, product_id, round(score, 6) AS score")
 SQL["result_tables_roundtrip"] = SQL["popular_recency"].replace(
     "SELECT 'overall' AS list_key, rank, product_id, round(score, 6) AS score FROM", "SELECT * FROM (SELECT 'overall' AS list_key, rank, product_id, round(score, 6) AS score FROM") + ") UNION ALL " + SQL["popular_recency_by_segment"][len("WITH "):].join(["SELECT * FROM (WITH ", ")"])
+
+SQL["load_tables"] = """SELECT * FROM (
+  SELECT 'transactions' AS "table", (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS n_rows
+  UNION ALL SELECT 'customers', (SELECT count(*) FROM customer)
+  UNION ALL SELECT 'products', (SELECT count(*) FROM part)
+  UNION ALL SELECT 'sessions', (SELECT count(*) FROM events WHERE event_type IN ('view', 'click'))
+  UNION ALL SELECT 'returns', (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_returnflag = 'R')
+  UNION ALL SELECT 'search_logs', (SELECT count(*) FROM events)
+  UNION ALL SELECT 'promotions', (SELECT count(*) FROM part WHERE p_size <= 12))"""
+
+SQL["rank_metrics"] = with_(*_HOLD, CUST, "n AS (SELECT max(ts) AS now FROM txn)", f"""ss AS (
+  SELECT c.segment, t.product_id, coalesce(sum(t.quantity * {_REC_W}), 0) AS score
+  FROM txn t JOIN cust c ON t.customer_id = c.customer_id, n
+  WHERE c.segment IS NOT NULL AND t.product_id IS NOT NULL GROUP BY c.segment, t.product_id)""",
+    "ps AS (" + topk("ss", "segment", select="segment, rank, product_id") + ")",
+    """recs AS (SELECT c.customer_id, p.rank, p.product_id FROM (SELECT DISTINCT customer_id FROM test) x
+   JOIN cust c ON c.customer_id = x.customer_id JOIN ps p ON p.segment = c.segment)""") + \
+    _metrics("recs", "model").replace("SELECT 'model' AS list, k,", "SELECT k,")

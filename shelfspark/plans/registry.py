@@ -384,3 +384,40 @@ def q_result_tables_roundtrip(spark, sf):
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/results-{uuid.uuid4().hex}"
     results.write_result(popular.popular_recency(_core(spark, sf)), base, "popular", "r1")
     return results.read_result(spark, base, "popular", "r1").drop("run_id")
+
+
+@register("load_tables")
+def q_load_tables(spark, sf):
+    """Every logical table of the test-data mapping with its row count (one aggregation each)."""
+    t = _all(spark, sf)
+    parts = [F.struct(F.lit(n).alias("table"), df.select(F.count(F.lit(1)).cast("bigint")).scalar().alias("n_rows"))
+             for n, df in t.as_dict().items()]
+    return spark.range(1).select(F.explode(F.array(*parts)).alias("t")).select("t.*")
+
+
+@register("rank_metrics")
+def q_rank_metrics(spark, sf):
+    """V2 on its own: each held-out customer is served the train-split recency list of their segment."""
+    t = _core(spark, sf)
+    train, test = evaluate.holdout_split(t.transactions)
+    lists = popular.popular_recency(t.with_transactions(train), overall=False)
+    seg = t.customers.select("customer_id", F.concat(F.lit("segment:"), F.col("segment")).alias("list_key"))
+    recs = (test.select("customer_id").distinct().join(seg, "customer_id")
+            .join(lists.select("list_key", "rank", "product_id"), "list_key"))
+    return round_doubles(evaluate.ranked_metrics(recs, test))
+
+
+@register("rerank_train")
+def q_rerank_train(spark, sf):
+    """Fit the re-rank scorer; report per label the rows and mean predicted probability of a purchase."""
+    from pyspark.ml.functions import vector_to_array
+
+    t = _all(spark, sf)
+    inter = factorization.Interactions(t.transactions)
+    model = factorization.train_als(inter)
+    scorer, side = rerank.train_scorer(inter, model, t)
+    pos = inter.counts.select("uid", "iid", F.lit(1.0).alias("label"))
+    neg = rerank.negative_samples(inter).withColumn("label", F.lit(0.0))
+    scored = scorer.transform(rerank._feature_frame(pos.unionByName(neg), model, inter, *side))
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.avg(vector_to_array("probability")[1]).alias("mean_p_purchase"))
