@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.ranking import rounded, top_k
+from shelfspark.session import materialize
 from shelfspark.sources.tables import RetailTables
 
 # Support floor (1 % of baskets, at least 2 baskets) and rule thresholds.
@@ -66,12 +67,13 @@ def item_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("item").agg(F.count(F.lit(1)).cast("bigint").alias("n_item"))
 
 
-def frequent_pairs(tables: RetailTables, level: str = "product_id", min_count: int | None = None) -> DataFrame:
+def frequent_pairs(tables: RetailTables, level: str = "product_id", min_count: int | None = None,
+                   items: DataFrame | None = None) -> DataFrame:
     """B2: frequent itemsets of size 2 with their counts: ``item_a < item_b, n_ab, n_a, n_b, n``.
 
     ``min_count`` replaces the default support rule (max(2/n, 0.01)) by a plain basket count.
     """
-    items = basket_items(tables, level)
+    items = items if items is not None else basket_items(tables, level)
     n = basket_count(tables)
     freq = item_counts(items).where(_is_frequent(F.col("n_item"), n, min_count))
     kept = items.join(freq.select("item"), "item", "left_semi")
@@ -114,13 +116,14 @@ def rules_from_pairs(pairs: DataFrame, metric: str = "lift", threshold: float |
         .alias("lift"))
 
 
-def cooccurrence(tables: RetailTables, level: str = "product_id", only: DataFrame | None = None) -> DataFrame:
+def cooccurrence(tables: RetailTables, level: str = "product_id", only: DataFrame | None = None,
+                 items: DataFrame | None = None) -> DataFrame:
     """Number of distinct baskets holding both ``item`` and ``other`` (item ≠ other).
 
     ``only`` (a frame with an ``item`` column) restricts the left item before
     the self-join, so pairs are produced just for those items.
     """
-    items = basket_items(tables, level)
+    items = items if items is not None else basket_items(tables, level)
     left = items if only is None else items.join(only.select("item"), "item", "left_semi")
     x, y = left.alias("x"), items.alias("y")
     return (x.join(y, (F.col("x.transaction_id") == F.col("y.transaction_id")) & (F.col("x.item") != F.col("y.item")))
@@ -134,13 +137,15 @@ def _ranked(df: DataFrame, score: str, source: str, k: int) -> DataFrame:
                     rounded("score").alias("score"), F.lit(source).alias("source"))
 
 
-def fbt_from_rules(tables: RetailTables, rules: DataFrame, metric: str, level: str, k: int) -> DataFrame:
+def fbt_from_rules(tables: RetailTables, rules: DataFrame, metric: str, level: str, k: int,
+                   items: DataFrame | None = None) -> DataFrame:
     """B5–B7 + B9: per antecedent top-K by the metric; items with no rule get top-K co-occurrence."""
     ranked = _ranked(rules.select(F.col("antecedent").alias("item"), F.col("consequent").alias("recommended"),
                                   metric), metric, f"rule_{metric}", k)
-    all_items = basket_items(tables, level).select("item").distinct()
+    items = items if items is not None else basket_items(tables, level)
+    all_items = items.select("item").distinct()
     missing = all_items.join(rules.select(F.col("antecedent").alias("item")), "item", "left_anti")
-    co = cooccurrence(tables, level, only=missing)
+    co = cooccurrence(tables, level, only=missing, items=items)
     fallback = _ranked(co.select("item", F.col("other").alias("recommended"), "n"), "n", "cooccurrence", k)
     return ranked.unionByName(fallback)
 
@@ -148,8 +153,11 @@ def fbt_from_rules(tables: RetailTables, rules: DataFrame, metric: str, level: s
 def fbt_apriori(tables: RetailTables, metric: str = "lift", k: int = TOP_K, level: str = "product_id",
                 min_count: int | None = None) -> DataFrame:
     """Apriori-style rules (itemsets of size ≤ 2) ranked by ``metric``, with the co-occurrence fallback."""
-    rules = rules_from_pairs(frequent_pairs(tables, level, min_count), metric)
-    return fbt_from_rules(tables, rules, metric, level, k)
+    # the distinct (basket, item) rows feed the item counts, both pair self-join sides and the
+    # fallback: store them once so the facts are scanned and joined once
+    items = materialize(basket_items(tables, level))
+    rules = rules_from_pairs(frequent_pairs(tables, level, min_count, items=items), metric)
+    return fbt_from_rules(tables, rules, metric, level, k, items=items)
 
 
 def fbt_apriori_lift(tables: RetailTables, k: int = TOP_K, level: str = "product_id") -> DataFrame:
