@@ -5,6 +5,7 @@ Every query reads the whole test-data tables through ``shelfspark.sources.tables
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query; every registered query runs with the session time zone pinned to UTC
+    (whole-day differences between naive timestamps must not cross a DST change)."""
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf)
+        QUERIES[name] = run
+        return run
     return deco
 
 
