@@ -56,11 +56,12 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``df`` that stay, with its columns."""
     cols = df.columns
-    keyed = df.select(packed(df), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
+    keyed = df.select(packed(df), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("tag"),
+                      normalised(F.col(text_col)).alias("t"))
     hashes = written(keyed.select(F.xxhash64("t").alias("h")), "dedup")
-    flagged = flag(keyed.select("row", "id", F.sha2("t", 256).alias("sha"), F.xxhash64("t").alias("h")), F.col("h"),
+    flagged = flag(keyed.select("row", "id", "tag", F.sha2("t", 256).alias("sha"), F.xxhash64("t").alias("h")), F.col("h"),
                    repeated_filters(hashes, "h", max_bits), "maybe")
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.monotonically_increasing_id())
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("tag"))
     first = flagged.where("maybe").groupBy("sha").agg(F.min_by("row", order).alias("row"))
     kept = flagged.where(~F.col("maybe")).select("row").unionByName(first.select("row"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in cols])
