@@ -77,7 +77,7 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     chunk = F.concat(F.lit("c"), F.pmod(F.xxhash64("grp"), F.lit(items)))
     item = F.when(heavy, F.concat(F.lit("g"), F.hex("grp"))).otherwise(chunk)
     sums = groups.select(item.alias("item"), "size").groupBy("item").agg(F.sum("size").alias("size"))
-    placed = written(sums.coalesce(1).mapInArrow(_differencing(shards), "item string, shard int"), "shard-items")
+    placed = written(sums.repartition(1).mapInArrow(_differencing(shards), "item string, shard int"), "shard-items")
     alone = placed.where("item like 'g%'").select(F.unhex(F.substring("item", 2, 64)).alias("grp"), F.col("shard").alias("own"))
     chunks = placed.where("item like 'c%'").select(F.col("item").alias("chunk"), F.col("shard").alias("shared"))
     found = (rows.join(F.broadcast(alone), "grp", "left").withColumn("chunk", chunk)
