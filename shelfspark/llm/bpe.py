@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import text_or_empty
 
 ROOT, NONE = 0, -1
-MAX_STATES, LAZY, MAX_WORDS, LONG_TEXT, CHUNK = 50_000, 3, 400_000, 1 << 20, 4096
+MAX_STATES, LAZY, MAX_WORDS, LONG_TEXT, CHUNK = 50_000, 3, 250_000, 1 << 20, 4096
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -45,26 +45,27 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {v: k for k, v in ranks.items()}
-        self.child: dict[int, int] = {}
-        self.accepts = [NONE]
-        self.inner = [True]
+        #: A trie node is (its children by byte, its token or NONE, its number); the root has number 0.
+        self.nodes = [({}, NONE, ROOT)]
         for word, rank in ranks.items():
-            node = ROOT
-            for b in word:
-                self.inner[node] = True
-                nxt = self.child.get(node << 8 | b)
-                if nxt is None:
-                    nxt = self.child[node << 8 | b] = len(self.accepts)
-                    self.accepts.append(NONE)
-                    self.inner.append(False)
-                node = nxt
-            self.accepts[node] = rank
-        self.related: dict[tuple[int, int], bool] = {}
+            kids = self.nodes[ROOT][0]
+            for b in word[:-1]:
+                kids = self._node(kids, b)[0]
+            kids_of, _, number = self._node(kids, word[-1])
+            kids[word[-1]] = self.nodes[number] = (kids_of, rank, number)
+        #: For each token, and NONE at the start of a piece, which tokens may follow it; filled as needed.
+        self.follows: dict[int, dict[int, bool]] = {t: {} for t in (NONE, *self.token)}
         self.states = [((ROOT, NONE, ()),)]
         self.number = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
         self.missed = [LAZY]  # how often a state lacked a move; the start builds its moves at once
 
+    def _node(self, kids: dict, byte: int) -> tuple:
+        if byte not in kids:
+            kids[byte] = ({}, NONE, len(self.nodes))
+            self.nodes.append(kids[byte])
+        return kids[byte]
+
     def merged(self, data: bytes) -> list[bytes]:
         """The merges applied one by one, lowest rank first. Only used on pairs of tokens, to compile the relation."""
         parts = [data[i:i + 1] for i in range(len(data))]
@@ -76,28 +77,24 @@ class Transducer:
         return parts
 
     def _related(self, a: int, b: int) -> bool:
-        known = self.related.get((a, b))
-        if known is None:
-            if len(self.related) > 8 * MAX_STATES:
-                self.related.clear()
-            left, right = self.token[a] if a != NONE else b"", self.token[b]
-            known = self.related[a, b] = self.merged(left + right) == ([left, right] if left else [right])
+        left, right = self.token[a] if a != NONE else b"", self.token[b]
+        known = self.follows[a][b] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple]:
         """(next state, tokens emitted). Open tokens stand with the longest first."""
-        child, accepts, inner, related = self.child.get, self.accepts, self.inner, self.related.get
         last, still = None, []
-        for item in self.states[state]:
-            node = child(item[0] << 8 | byte)
+        for at, before, decided in self.states[state]:
+            node = self.nodes[at][0].get(byte)
             if node is None:
                 continue
-            if last is None and (t := accepts[node]) >= 0:
-                ok = related((item[1], t))
-                if ok or ok is None and self._related(item[1], t):
-                    last = (ROOT, t, (*item[2], t))
-            if inner[node]:
-                still.append((node, item[1], item[2]))
+            kids, t, at = node
+            if last is None and t >= 0:
+                ok = self.follows[before].get(t)
+                if ok or ok is None and self._related(before, t):
+                    last = (ROOT, t, (*decided, t))
+            if kids:
+                still.append((at, before, decided))
         still.append(last)
         if len(still) == 1:
             emitted = last[2]
@@ -144,28 +141,29 @@ class Transducer:
 
     def _simulate(self, state: int, data: bytes) -> list[int]:
         """The same moves without building states: the open tokens' decided ones are linked lists."""
-        child, accepts, inner, related = self.child.get, self.accepts, self.inner, self.related.get
-        items = []
-        for node, before, decided in self.states[state]:
+        nodes, follows = self.nodes, self.follows
+        root, items = nodes[ROOT][0], []
+        for at, before, decided in self.states[state]:
             link = None
             for t in decided:
                 link = (link, t)
-            items.append((node, before, link))
+            items.append((nodes[at][0], before, follows[before], link))
         for byte in data:
             last, still = None, []
-            for item in items:
-                node = child(item[0] << 8 | byte)
+            for kids, before, after, link in items:
+                node = kids.get(byte)
                 if node is None:
                     continue
-                if last is None and (t := accepts[node]) >= 0:
-                    ok = related((item[1], t))
-                    if ok or ok is None and self._related(item[1], t):
-                        last = (ROOT, t, (item[2], t))
-                if inner[node]:
-                    still.append((node, item[1], item[2]))
+                kids, t, _ = node
+                if last is None and t >= 0:
+                    ok = after.get(t)
+                    if ok or ok is None and self._related(before, t):
+                        last = (root, t, follows[t], (link, t))
+                if kids:
+                    still.append((kids, before, after, link))
             still.append(last)
             items = still
-        out, link = [], items[-1][2]
+        out, link = [], items[-1][3]
         while link:
             link, t = link
             out.append(t)
@@ -191,16 +189,22 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the words before the last clearing: frequent ones come back from here
 
     def _pieces(self, text: str) -> tuple[int, ...]:
         encode = self.transducer.encode
+        if text[1:].isalpha() and text[0] == " ":  # letters throughout: one piece
+            return encode(text.encode())
         found = self.pattern.findall(text) if len(text) < LONG_TEXT else (m[0] for m in self.pattern.finditer(text))
         return tuple(chain.from_iterable(encode(piece.encode()) for piece in found))
 
     def _remember(self, word: str) -> tuple[int, ...]:
-        ids = self._pieces(" " + word)
+        if word[-1] in ",." and (stem := word[:-1]).isalpha():  # a mark alone is a piece of its own
+            return (self.words.get(stem) or self._remember(stem)) + (self.transducer.ranks[word[-1].encode()],)
+        ids = self.older.get(word) or self._pieces(" " + word)
         if len(word) <= 64:
             if len(self.words) >= MAX_WORDS:
+                self.older = dict(self.words)
                 self.words.clear()
             self.words[word] = ids
         return ids
