@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, chat, exact_dedup, ngram_join, secret_scan, sharding, toxicity
+from shelfspark.llm import bpe, chat, exact_dedup, ngram_join, secret_scan, sharding, substring_dedup, toxicity
 from shelfspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,23 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+SQL["op1_ngram_join"] = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c, unnest(range(len(w))) AS i, len(w) AS n FROM d),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(CASE WHEN n = 1 THEN [a] WHEN n = 2 THEN [a, b] ELSE [a, b, c] END) AS g
+      FROM u WHERE i < greatest(1, n - 2)),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS MATERIALIZED (SELECT x.doc_id AS p, y.doc_id AS q FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+      JOIN z m ON m.doc_id = x.doc_id JOIN z n ON n.doc_id = y.doc_id
+      GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 90 * (m.n + n.n - count(*))),
+reach AS (SELECT p, q FROM e UNION SELECT reach.p, e.q FROM reach JOIN e ON reach.q = e.p)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, min(q)) AS component_id
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN reach ON reach.p = d.doc_id GROUP BY d.doc_id, z.n
+"""
+
+
 @register
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
@@ -77,6 +94,24 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op8_chat_formatting"] = chat.oracle(f"(-7, 0, 'user', '{FORGED}'), (-7, 1, 'assistant', '{FORGED}')")
 
 
+@register
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op9_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+     u AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d),
+     t AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM u),
+     p AS (SELECT *, i + 20 <= n AND row_number() OVER (PARTITION BY i + 20 <= n, win ORDER BY doc_id, i) > 1 AS again FROM t),
+     c AS (SELECT *, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM p),
+     g AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS k, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(k, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 @register
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
