@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, chat, exact_dedup, ngram_join, secret_scan, sharding, substring_dedup, toxicity
+from shelfspark.llm import ann, bpe, chat, exact_dedup, mixing, ngram_join, secret_scan, sharding, substring_dedup, toxicity
 from shelfspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,20 @@ def register(fn):
     return fn
 
 
+def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of the mix: language and quality of the labelled documents."""
+    name = F.concat(F.col("lang"), F.when(F.col("quality") > 0, "/good").otherwise("/poor"))
+    labels = labels.where("quality is not null").select("doc_id", "quality")
+    return docs.select("doc_id", "lang").join(labels, "doc_id").select("doc_id", name.alias("domain"))
+
+
+@register
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.learn(docs, domains(docs, table(spark, sf_dir, "labels")))
+    return mixing.rate_rows(docs, mixing.fit_rates(docs, model))
+
+
 #: The vocabulary that op3 and the pipeline encode with.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -32,7 +46,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op1_ngram_join"] = r"""
 WITH RECURSIVE
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-             '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c, unnest(range(len(w))) AS i, len(w) AS n FROM d),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(CASE WHEN n = 1 THEN [a] WHEN n = 2 THEN [a, b] ELSE [a, b, c] END) AS g
       FROM u WHERE i < greatest(1, n - 2)),
@@ -51,6 +65,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+@register
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 @register
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"))
@@ -101,7 +120,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_substring_dedup"] = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
      u AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d),
      t AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM u),
      p AS (SELECT *, i + 20 <= n AND row_number() OVER (PARTITION BY i + 20 <= n, win ORDER BY doc_id, i) > 1 AS again FROM t),

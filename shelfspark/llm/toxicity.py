@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import text_or_empty, written
+from shelfspark.llm.common import packed, text_or_empty, written
 
 SAMPLE, TRAIN_CHARS, LEAST_DOCS, LEAST_CHI2, RIDGE, STEPS = 4096, 32_768, 4, 10.83, 2e-4, 300
 MAX_WORDS, LONG_TEXT = 200_000, 1 << 20
@@ -207,6 +207,23 @@ def score_rows(df: DataFrame, model: dict[str, float], id_col: str = "doc_id", t
     return rows.mapInArrow(_scorer(shared, spans), f"id {rows.schema['id'].dataType.simpleString()}, {out}").withColumnRenamed("id", id_col)
 
 
+def _scored_rows(model):
+    def run(batches):
+        weights = Words(model.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([score(t.as_py(), weights) for t in batch.column("t")], pa.float64())],
+                                             ["row", "score"])
+    return run
+
+
+def drop_toxic(df: DataFrame, model: dict[str, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that score below the threshold, with its columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.select(packed(df), text_or_empty(text_col).alias("t"))
+    scored = rows.mapInArrow(_scored_rows(shared), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return scored.where(F.col("score") < threshold).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that is never learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
