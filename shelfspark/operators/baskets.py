@@ -11,11 +11,9 @@ Plan shape for the Apriori path (the default):
 3. a semi join keeps only frequent items before the pair self-join, so the
    pair step never sees an infrequent item;
 4. the self-join on ``transaction_id`` with ``a < b`` emits each basket's
-   pairs once; the distinct basket frame is shuffled once and reused by both
-   sides. A basket holding a large share of all rows makes one skewed join
-   key; AQE's skew-join handling splits that key's partition across tasks
-   (both sides skewed are split into a grid), so no task receives the whole
-   quadratic pair set of a hot basket.
+   pairs once. A large basket is cut into blocks of items and joined block by
+   block (``functions.pairs``), so no task receives the whole quadratic pair
+   set of a hot basket.
 Rules, thresholds and per-antecedent top-K are then small per-pair arithmetic
 and a WindowGroupLimit.
 
@@ -26,9 +24,12 @@ pairs are produced.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.pairs import block_join
 from shelfspark.functions.ranking import rounded, top_k
 from shelfspark.session import materialize
 from shelfspark.sources.tables import RetailTables
@@ -77,8 +78,7 @@ def frequent_pairs(tables: RetailTables, level: str = "product_id", min_count: i
     n = basket_count(tables)
     freq = item_counts(items).where(_is_frequent(F.col("n_item"), n, min_count))
     kept = items.join(freq.select("item"), "item", "left_semi")
-    x, y = kept.alias("x"), kept.alias("y")
-    pairs = (x.join(y, (F.col("x.transaction_id") == F.col("y.transaction_id")) & (F.col("x.item") < F.col("y.item")))
+    pairs = (block_join(kept, kept, "transaction_id", "item").where(F.col("x.item") < F.col("y.item"))
              .groupBy(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"))
              .agg(F.count(F.lit(1)).cast("bigint").alias("n_ab"))
              .where(_is_frequent(F.col("n_ab"), n, min_count)))
@@ -92,28 +92,29 @@ def rules_from_pairs(pairs: DataFrame, metric: str = "lift", threshold: float |
     """Both directions of every frequent pair with support, confidence and lift, thresholded.
 
     lift ≥ t is tested as ``n·n_ab ≥ t·n_a·n_b`` and confidence ≥ t as
-    ``n_ab ≥ t·n_a`` on exact integers when ``t`` is a simple fraction.
+    ``n_ab ≥ t·n_a``, ``t`` being the fraction that its decimal digits say, on exact integers.
     """
     fwd = pairs.select(F.col("item_a").alias("antecedent"), F.col("item_b").alias("consequent"),
                        "n_ab", F.col("n_a").alias("n_ante"), F.col("n_b").alias("n_cons"), "n")
     bwd = pairs.select(F.col("item_b").alias("antecedent"), F.col("item_a").alias("consequent"),
                        "n_ab", F.col("n_b").alias("n_ante"), F.col("n_a").alias("n_cons"), "n")
     r = fwd.unionByName(bwd)
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    double = lambda c: F.col(c).cast("double")
     if metric == "lift":
-        t = LIFT_THRESHOLD if threshold is None else threshold
-        keep = F.col("n").cast("decimal(38,0)") * F.col("n_ab") * 10 >= \
-            F.lit(int(round(t * 10))) * F.col("n_ante").cast("decimal(38,0)") * F.col("n_cons")
+        t = Fraction(str(LIFT_THRESHOLD if threshold is None else threshold))
+        keep = wide("n") * wide("n_ab") * t.denominator >= wide("n_ante") * wide("n_cons") * t.numerator
     elif metric == "confidence":
-        t = CONFIDENCE_THRESHOLD if threshold is None else threshold
-        keep = F.col("n_ab") * 10 >= F.lit(int(round(t * 10))) * F.col("n_ante")
+        t = Fraction(str(CONFIDENCE_THRESHOLD if threshold is None else threshold))
+        keep = wide("n_ab") * t.denominator >= wide("n_ante") * t.numerator
     else:
         raise ValueError(f"unknown rule metric {metric!r}")
     return r.where(keep).select(
         "antecedent", "consequent", "n_ab",
         (F.col("n_ab") / F.col("n")).alias("support"),
         (F.col("n_ab") / F.col("n_ante")).alias("confidence"),
-        ((F.col("n") * F.col("n_ab")).cast("double") / (F.col("n_ante") * F.col("n_cons")).cast("double"))
-        .alias("lift"))
+        # each factor is widened before the product: the products of two counts outgrow a bigint
+        ((double("n") * double("n_ab")) / (double("n_ante") * double("n_cons"))).alias("lift"))
 
 
 def cooccurrence(tables: RetailTables, level: str = "product_id", only: DataFrame | None = None,
@@ -125,8 +126,7 @@ def cooccurrence(tables: RetailTables, level: str = "product_id", only: DataFram
     """
     items = items if items is not None else basket_items(tables, level)
     left = items if only is None else items.join(only.select("item"), "item", "left_semi")
-    x, y = left.alias("x"), items.alias("y")
-    return (x.join(y, (F.col("x.transaction_id") == F.col("y.transaction_id")) & (F.col("x.item") != F.col("y.item")))
+    return (block_join(left, items, "transaction_id", "item").where(F.col("x.item") != F.col("y.item"))
             .groupBy(F.col("x.item").alias("item"), F.col("y.item").alias("other"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 

@@ -50,8 +50,9 @@ def get_session(master: str | None = None, app_name: str = "shelfspark",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when none is configured.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as is;
-    the local fallback exists for tests and single-machine runs.
+    On a cluster ``spark.checkpoint.dir`` must name shared storage: a folder of one machine
+    would be lost to the others, so a missing setting is an error there. Only a local
+    master gets a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; on {sc.master} it must name a folder all executors share")
         configured = tempfile.mkdtemp(prefix="shelfspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -80,3 +83,36 @@ def materialize(df):
     out = df.checkpoint(eager=True)
     df.unpersist(blocking=False)
     return out
+
+
+def stored(df, name: str = "table"):
+    """Write ``df`` to the shared checkpoint folder as Parquet and read it back: one job, and the lineage is cut.
+
+    The folder goes when the session's file system closes, or earlier by ``forget``.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df) -> None:
+    """Delete the folder of a stored frame that nothing reads any more."""
+    remove(df.sparkSession, df.stored_at)
+
+
+def delete_on_exit(spark, path: str) -> None:
+    _fs(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def remove(spark, path: str) -> None:
+    _fs(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _fs(spark, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
