@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.ranking import dense_positions
@@ -21,17 +21,27 @@ def dense_ids(ids: DataFrame, col: str, out: str) -> DataFrame:
     return dense_positions(d, [F.col(col).asc()], "_p").select(col, (F.col("_p") - 1).cast("int").alias(out))
 
 
-def int_ids(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFrame | None]:
-    """Integer ids for MLlib: reuse ``col`` when it is already an int-range integral type, else map densely.
-
-    Returns the frame with ``out`` added and the mapping (None when ids were reused).
-    """
-    t = dict(df.dtypes)[col]
-    if t in ("int", "smallint", "tinyint"):
-        return df.withColumn(out, F.col(col).cast("int")), None
-    if t == "bigint":
-        rng = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).first()[0]
-        if rng is None or rng["lo"] is None or (rng["lo"] >= 0 and rng["hi"] < 2**31 - 1):
-            return df.withColumn(out, F.col(col).cast("int")), None
+def int_ids(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Number ``col`` densely as ``out`` (MLlib needs int ids): the frame with ``out``, and the mapping."""
     mapping = materialize(dense_ids(df, col, out))
     return df.join(mapping, col), mapping
+
+
+def draw_unowned(pos: DataFrame, idx: DataFrame, draws: DataFrame) -> DataFrame:
+    """For every draw ``(uid, h, tag)`` one product the customer does not own, uniform in ``h``: ``(uid, tag, iid)``.
+
+    ``pos`` holds the owned pairs ``(uid, iid)`` and ``idx`` numbers all products 0..n-1. The draw is the r-th product not
+    owned, r = h mod their number, found exactly: with owned numbers a_0 < a_1 < ..., it is r plus the count of j with
+    a_j - j <= r, a running count over owned numbers and draws in one order. So nothing is drawn twice or
+    given up, however much of the catalog a customer owns; one owning all of it gets no row. A customer's rows are bounded by the
+    catalog, as pairs are distinct.
+    """
+    n_items = idx.count()
+    by = Window.partitionBy("uid")
+    gaps = pos.join(idx, "iid").select("uid", (F.col("_idx") - F.row_number().over(by.orderBy("_idx")) + 1).cast("long").alias("v"),
+                                       F.lit(0).alias("kind"), F.lit(None).cast(draws.schema["tag"].dataType).alias("tag"))
+    free = pos.groupBy("uid").agg((F.lit(n_items) - F.count(F.lit(1))).alias("free"))
+    asked = draws.join(free, "uid").where("free > 0").select("uid", F.pmod("h", "free").alias("v"), F.lit(1).alias("kind"), "tag")
+    passed = F.sum(1 - F.col("kind")).over(by.orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = gaps.unionByName(asked).withColumn("passed", passed).where("kind = 1")
+    return found.select("uid", "tag", (F.col("v") + F.col("passed")).cast("int").alias("_idx")).join(idx, "_idx").select("uid", "tag", "iid")
