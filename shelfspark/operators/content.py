@@ -48,11 +48,11 @@ TOP_K = 10
 BLOCKS = ("category", "brand")
 
 
-def content_vectors(tables: RetailTables, check_unique: bool = False) -> tuple[DataFrame, list[str], bool]:
+def content_vectors(tables: RetailTables, check_unique: bool = True) -> tuple[DataFrame, list[str], bool]:
     """``(product_id, <block levels...>, price_z, norm)`` for every product in the facts.
 
     Returns the frame, the one-hot block columns used, and whether a price term exists.
-    With ``check_unique`` a catalog listing a product twice raises ``ValueError``.
+    A catalog listing a product twice raises ``ValueError`` (unless ``check_unique`` is off).
     """
     products = tables.products
     blocks = [b for b in BLOCKS if b in products.columns]

@@ -50,10 +50,9 @@ def holdout_split(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
     return train, test
 
 
-def ranked_metrics(recs: DataFrame, test: DataFrame, ks: Sequence[int] = TOP_K_VALUES) -> DataFrame:
-    """V2: ``(k, precision, recall, hit_rate, n_customers)`` for a ranked list ``(customer_id, rank, product_id)``."""
+def _metrics(hit: DataFrame, test: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """``(k, precision, recall, hit_rate, n_customers)`` from the held-out pairs with the rank of each one that is listed."""
     rel = test.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    hit = test.join(recs.select("customer_id", "product_id", "rank"), ["customer_id", "product_id"], "left")
     per = hit.groupBy("customer_id").agg(
         *[F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"h{k}") for k in ks])
     per = rel.join(per, "customer_id", "left")
@@ -66,6 +65,11 @@ def ranked_metrics(recs: DataFrame, test: DataFrame, ks: Sequence[int] = TOP_K_V
         F.count(F.lit(1)).cast("bigint").alias("n_customers")))
 
 
+def ranked_metrics(recs: DataFrame, test: DataFrame, ks: Sequence[int] = TOP_K_VALUES) -> DataFrame:
+    """V2: ``(k, precision, recall, hit_rate, n_customers)`` for a ranked list ``(customer_id, rank, product_id)``."""
+    return _metrics(test.join(recs.select("customer_id", "product_id", "rank"), ["customer_id", "product_id"], "left"), test, ks)
+
+
 def baseline_metrics(train: DataFrame, test: DataFrame, ks: Sequence[int] = TOP_K_VALUES) -> DataFrame:
     """V3: the same top-max(k) Σ-quantity list for every test customer, owned items not removed.
 
@@ -73,18 +77,7 @@ def baseline_metrics(train: DataFrame, test: DataFrame, ks: Sequence[int] = TOP_
     product only; nothing is replicated per customer.
     """
     top = train_quantity_top(train, max(ks))
-    rel = test.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    hit = test.join(F.broadcast(top.select("product_id", "rank")), "product_id", "left")
-    per = hit.groupBy("customer_id").agg(
-        *[F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"h{k}") for k in ks])
-    per = rel.join(per, "customer_id", "left")
-    long = per.select("n_rel", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.coalesce(F.col(f"h{k}"), F.lit(0)).alias("hits")) for k in ks])).alias("m"))
-    return (long.groupBy(F.col("m.k").alias("k")).agg(
-        F.avg(F.col("m.hits") / F.col("m.k")).alias("precision"),
-        F.avg(F.col("m.hits") / F.col("n_rel")).alias("recall"),
-        F.avg(F.when(F.col("m.hits") > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
-        F.count(F.lit(1)).cast("bigint").alias("n_customers")))
+    return _metrics(test.join(F.broadcast(top.select("product_id", "rank")), "product_id", "left"), test, ks)
 
 
 def evaluate(tables: RetailTables, recommender: Callable[[RetailTables], DataFrame],

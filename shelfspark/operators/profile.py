@@ -9,6 +9,9 @@ so the join sees at most one row per key instead of one per line item.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +102,20 @@ def eda_weekly(tables: RetailTables) -> DataFrame:
             .select("period", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("count")))
 
 
-def _label_edge(x: Column) -> Column:
-    return F.when(F.abs(x) >= 1, F.round(x, 3)).otherwise(x)
+def edge_labels(edges: list[float]) -> list[str]:
+    """``left-right`` of neighbouring edges, two decimals, of edges rounded to 3 decimals (below 1: to 3 significant
+    digits), or to more where that would make two of them equal."""
+    def cut(x: float, digits: int) -> float:
+        if x == 0 or not math.isfinite(x):
+            return x
+        whole = abs(x) >= 1
+        return float(np.round(x, digits if whole else digits - 1 - math.floor(math.log10(abs(x)))))
+
+    for digits in range(3, 20):
+        shown = [cut(x, digits) for x in edges]
+        if len(set(shown)) == len(edges):
+            break
+    return [f"{x:.2f}-{y:.2f}" for x, y in zip(shown, shown[1:])]
 
 
 def eda_price_histogram(tables: RetailTables, n_bins: int = N_BINS, with_label: bool = True) -> DataFrame:
@@ -110,39 +125,35 @@ def eda_price_histogram(tables: RetailTables, n_bins: int = N_BINS, with_label:
     0.1 % of the range; a constant price gives one bin of ±0.1 % around it.
     Bin membership is decided against the same edges ``lo + i·step`` a
     linspace produces, so values on an edge land in the lower bin.
+
+    Three numbers (least and largest price, distinct prices) reach the driver; the edges are constants of the one
+    counting pass, and the result has at most ``n_bins`` rows.
     """
-    prices = tables.transactions.where(F.col("price").isNotNull()).select("price")
-    # one scalar subquery for all three statistics (one scan of the facts, reused by reference)
-    st = prices.select(F.struct(F.min("price").alias("lo"), F.max("price").alias("hi"),
-                                F.count_distinct("price").alias("nu"))).scalar()
-    lo, hi, nu = st.getField("lo"), st.getField("hi"), st.getField("nu")
-    nb = F.least(F.lit(n_bins).cast("bigint"), nu)
-    const = lo == hi
-    lo_e = F.when(const, lo - F.when(lo != 0, F.abs(lo) * EDGE_ADJUST).otherwise(EDGE_ADJUST)).otherwise(lo)
-    hi_e = F.when(const, hi + F.when(hi != 0, F.abs(hi) * EDGE_ADJUST).otherwise(EDGE_ADJUST)).otherwise(hi)
-    step = (hi_e - lo_e) / nb
-    first_edge = F.when(const, lo_e).otherwise(lo - (hi - lo) * EDGE_ADJUST)
-
-    p = F.col("price")
-    b0 = F.least(F.greatest(F.ceil((p - lo_e) / step), F.lit(1)), nb)
-    b = (b0 - F.when((b0 > 1) & (p <= (b0 - 1) * step + lo_e), 1).otherwise(0)
-         + F.when((b0 < nb) & (p > b0 * step + lo_e), 1).otherwise(0))
-    counts = prices.groupBy(b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-
-    spine = (tables.transactions.sparkSession.range(1)
-             .select(F.explode(F.sequence(F.lit(1).cast("bigint"), nb)).alias("bin"))
-             .where(nb.isNotNull()))
-    i = F.col("bin")
-    left = F.when(i == 1, first_edge).otherwise((i - 1) * step + lo_e)
-    right = F.when(i == nb, hi_e).otherwise(i * step + lo_e)
-    out = (spine.join(counts, "bin", "left")
-           .select("bin", F.round(left, 6).alias("range_lo"), F.round(right, 6).alias("range_hi"),
-                   F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("count"),
-                   left.alias("_l"), right.alias("_r")))
-    if with_label:
-        out = out.withColumn("range", F.format_string("%.2f-%.2f", _label_edge(F.col("_l")),
-                                                      _label_edge(F.col("_r"))))
-    return out.drop("_l", "_r")
+    spark = tables.transactions.sparkSession
+    prices = tables.transactions.where(F.col("price").isNotNull()).select(F.col("price").cast("double").alias("price"))
+    lo, hi, distinct = prices.agg(F.min("price"), F.max("price"), F.count_distinct("price")).first()
+    schema = "bin long, range_lo double, range_hi double, range string"
+    nb = min(n_bins, distinct)
+    if not nb:
+        spine, bins = spark.createDataFrame([], schema), F.lit(1)
+    else:
+        first = lo - (hi - lo) * EDGE_ADJUST
+        if lo == hi:
+            wide = abs(lo) * EDGE_ADJUST if lo else EDGE_ADJUST
+            first = lo = lo - wide
+            hi += wide
+        step = (hi - lo) / nb
+        edges = [first, *(i * step + lo for i in range(1, nb)), hi]
+        spine = spark.createDataFrame([(i + 1, edges[i], edges[i + 1], label) for i, label in enumerate(edge_labels(edges))], schema)
+        p = F.col("price")
+        b = F.least(F.greatest(F.ceil((p - lo) / step), F.lit(1)), F.lit(nb))
+        bins = (b - F.when((b > 1) & (p <= (b - 1) * step + lo), 1).otherwise(0)
+                + F.when((b < nb) & (p > b * step + lo), 1).otherwise(0))
+    counts = prices.groupBy(bins.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    out = spine.join(counts, "bin", "left").select(
+        "bin", F.round("range_lo", 6).alias("range_lo"), F.round("range_hi", 6).alias("range_hi"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("count"), "range")
+    return out if with_label else out.drop("range")
 
 
 def eda_basket_size(tables: RetailTables) -> DataFrame:

@@ -114,7 +114,9 @@ SQL["eda_price_histogram"] = with_(
     "s AS (SELECT CAST(unnest(generate_series(1, nb)) AS BIGINT) AS bin, * EXCLUDE (nb), nb FROM e2)",
 ) + """SELECT s.bin, round(CASE WHEN s.bin = 1 THEN first_edge ELSE (s.bin - 1) * step + lo_e END, 6) AS range_lo,
   round(CASE WHEN s.bin = nb THEN hi_e ELSE s.bin * step + lo_e END, 6) AS range_hi,
-  coalesce(c.n, 0) AS "count" FROM s LEFT JOIN c ON s.bin = c.bin"""
+  coalesce(c.n, 0) AS "count",
+  format('{:.2f}-{:.2f}', round(CASE WHEN s.bin = 1 THEN first_edge ELSE (s.bin - 1) * step + lo_e END, 3),
+         round(CASE WHEN s.bin = nb THEN hi_e ELSE s.bin * step + lo_e END, 3)) AS range FROM s LEFT JOIN c ON s.bin = c.bin"""
 
 SQL["eda_basket_size"] = with_(TXN) + """SELECT basket_size, count(*) AS "count" FROM (
   SELECT transaction_id, count(*) AS basket_size FROM txn WHERE transaction_id IS NOT NULL GROUP BY 1) GROUP BY 1"""
@@ -208,20 +210,18 @@ def _basket_items(level: str) -> str:
             f"JOIN prod p ON t.product_id = p.product_id WHERE p.{level} IS NOT NULL)")
 
 
-def _pairs(level: str) -> list[str]:
+def _pairs(level: str, support: str = "count(*) >= 2 AND 100 * count(*) >= (SELECT n FROM nb)") -> list[str]:
     return [TXN, PROD, _NB, _basket_items(level),
-            """fi AS (SELECT item, count(*) AS n_item FROM b GROUP BY item
-   HAVING count(*) >= 2 AND 100 * count(*) >= (SELECT n FROM nb))""",
+            f"fi AS (SELECT item, count(*) AS n_item FROM b GROUP BY item HAVING {support})",
             "kb AS (SELECT * FROM b WHERE item IN (SELECT item FROM fi))",
-            """fp AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM kb x JOIN kb y
-   ON x.transaction_id = y.transaction_id AND x.item < y.item GROUP BY 1, 2
-   HAVING count(*) >= 2 AND 100 * count(*) >= (SELECT n FROM nb))""",
+            f"""fp AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM kb x JOIN kb y
+   ON x.transaction_id = y.transaction_id AND x.item < y.item GROUP BY 1, 2 HAVING {support})""",
             """pairs AS (SELECT fp.item_a, fp.item_b, fp.n_ab, a.n_item AS n_a, c.n_item AS n_b, nb.n
    FROM fp JOIN fi a ON fp.item_a = a.item JOIN fi c ON fp.item_b = c.item, nb)"""]
 
 
-def _rules(metric: str) -> str:
-    keep = ("n * n_ab * 10 >= 10 * n_ante * n_cons" if metric == "lift" else "n_ab * 10 >= 3 * n_ante")
+def _rules(metric: str, keep: str | None = None) -> str:
+    keep = keep or ("n * n_ab * 10 >= 10 * n_ante * n_cons" if metric == "lift" else "n_ab * 10 >= 3 * n_ante")
     return f"""rules AS (SELECT antecedent, consequent, n_ab, n_ab::DOUBLE / n AS support,
    n_ab::DOUBLE / n_ante AS confidence, (n * n_ab)::DOUBLE / (n_ante * n_cons)::DOUBLE AS lift FROM (
    SELECT item_a AS antecedent, item_b AS consequent, n_ab, n_a AS n_ante, n_b AS n_cons, n FROM pairs
@@ -239,8 +239,8 @@ _FBT_OUT = ("SELECT item, rank, recommended, round(score, 6) AS score, source FR
             "WHERE rank <= 10")
 
 
-def _fbt(level: str, metric: str) -> str:
-    return with_(*_pairs(level), _rules(metric),
+def _fbt(level: str, metric: str, *support: str) -> str:
+    return with_(*_pairs(level, *support), _rules(metric),
                  f"ranked AS (SELECT antecedent AS item, consequent AS recommended, {metric} AS score, "
                  f"'rule_{metric}' AS source FROM rules)",
                  "missing AS (SELECT DISTINCT item FROM b WHERE item NOT IN (SELECT antecedent FROM rules))",
@@ -255,6 +255,11 @@ SQL["fbt_lift"] = _fbt("brand", "lift")
 SQL["fbt_lift_product"] = _fbt("product_id", "lift")
 SQL["fbt_confidence"] = _fbt("category", "confidence")
 SQL["fbt_fpgrowth"] = _fbt("brand", "lift")
+_TWO = "count(*) >= 2"
+SQL["frequent_pairs_product"] = with_(*_pairs("product_id", _TWO)) + "SELECT * FROM pairs"
+SQL["association_rules_product"] = with_(*_pairs("product_id", _TWO), _rules("confidence", "n_ab * 20 >= n_ante")) + """
+SELECT antecedent, consequent, n_ab, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules"""
+SQL["fbt_lift_product_min2"] = _fbt("product_id", "lift", _TWO)
 SQL["cooccurrence"] = with_(TXN, _basket_items("product_id"), _cooc(False)) + \
     "SELECT item, recommended AS other, CAST(score AS BIGINT) AS n FROM co"
 SQL["fbt_cooccurrence"] = with_(TXN, _basket_items("product_id"), _cooc(False), "u AS (SELECT * FROM co)") + _FBT_OUT
@@ -446,3 +451,49 @@ SQL["rank_metrics"] = with_(*_HOLD, CUST, "n AS (SELECT max(ts) AS now FROM txn)
     """recs AS (SELECT c.customer_id, p.rank, p.product_id FROM (SELECT DISTINCT customer_id FROM test) x
    JOIN cust c ON c.customer_id = x.customer_id JOIN ps p ON p.segment = c.segment)""") + \
     _metrics("recs", "model").replace("SELECT 'model' AS list, k,", "SELECT k,")
+
+
+# ---------------------------------------------------------------- gated item-CF, sub-day times
+_GATED = "owned WHERE customer_id IN (SELECT customer_id FROM owned GROUP BY 1 HAVING count(*) <= 25)"
+SQL["item_cf_topk_gated"] = SQL["item_cf_topk"].replace("FROM owned o JOIN sim", f"FROM (SELECT * FROM {_GATED}) o JOIN sim")
+SQL["serve_personalized_gated"] = SQL["serve_personalized"].replace("HAVING count(*) <= 2)", "HAVING count(*) <= 25)")
+_EV = """txn AS (SELECT event_id AS transaction_id, user_id AS customer_id,
+   CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id, 1.0 AS quantity, value AS price, ts
+   FROM events WHERE event_type = 'purchase')"""
+SQL["feat_temporal_events"] = SQL["feat_temporal"].replace(TXN, _EV)
+SQL["holdout_events"] = SQL["holdout_test"].replace(TXN, _EV)
+
+# ---------------------------------------------------------------- run bookkeeping with a given time
+SQL["run_metrics"] = with_(*_HOLD, *_BASE_RECS, "m AS (" + _metrics("blr", "popularity_baseline") + ")") + """
+SELECT 'sf-run' AS run_id, TIMESTAMP '2025-01-01 12:00:00' AS computed_at, list, k, x.metric, x.value FROM m,
+  LATERAL (SELECT 'precision' AS metric, precision AS value UNION ALL SELECT 'recall', recall UNION ALL SELECT 'hit_rate', hit_rate) x"""
+SQL["latest_run"] = "SELECT 'run-b' AS run_id, TIMESTAMP '2025-01-01 12:00:01' AS computed_at"
+
+# ---------------------------------------------------------------- models on fixed inputs
+_F = lambda c, k: f"((({c} * 31 + {k + 1} * 17 + {c} * {k} * 7) % 101) / 101.0::DOUBLE - 0.5)"
+SQL["mf_shortlist_fixed"] = with_(TXN, OWNED,
+    "u AS (SELECT customer_id FROM owned GROUP BY 1 HAVING count(*) >= 3)", "i AS (SELECT DISTINCT product_id FROM owned)",
+    f"""s AS (SELECT customer_id, product_id, {" + ".join(f"{_F('customer_id', k)}::FLOAT::DOUBLE * {_F('product_id', k)}::FLOAT::DOUBLE" for k in range(4))} AS score
+   FROM u, i WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.customer_id = u.customer_id AND o.product_id = i.product_id))""") + topk(
+    "s", "customer_id", select="customer_id, rank AS mf_rank, product_id, round(score, 5) AS mf_score")
+_DOT = " + ".join(f"p{k} * (q{k} - r{k})" for k in range(4))
+_MEAN = ", ".join(f"avg(g{k}) AS g{k}" for k in range(4))
+SQL["bpr_one_epoch"] = with_(TXN, OWNED,
+    "i AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS x FROM (SELECT DISTINCT product_id FROM owned))",
+    "o AS (SELECT customer_id, product_id, x, x - (row_number() OVER (PARTITION BY customer_id ORDER BY x) - 1) AS gap FROM owned JOIN i USING (product_id))",
+    "c AS (SELECT customer_id, (SELECT count(*) FROM i) - count(*) AS free FROM o GROUP BY 1)",
+    "d AS (SELECT customer_id, product_id, (customer_id * 7 + product_id * 13) % free AS r FROM o JOIN c USING (customer_id) WHERE free > 0)",
+    """n AS (SELECT d.customer_id, d.product_id, d.r + (SELECT count(*) FROM o WHERE o.customer_id = d.customer_id AND o.gap <= d.r) AS x FROM d)""",
+    "t AS (SELECT n.customer_id, n.product_id, i.product_id AS neg FROM n JOIN i USING (x))",
+    "f AS (SELECT *, " + ", ".join(f"{_F('customer_id', k)} AS p{k}, {_F('product_id', k)} AS q{k}, {_F('neg', k)} AS r{k}" for k in range(4)) + " FROM t)",
+    f"s AS (SELECT *, 1.0 / (1.0 + exp({_DOT})) AS g FROM f)",
+    "m AS (SELECT 0 AS side, customer_id AS original, " + ", ".join(f"g * (q{k} - r{k}) - 0.01 * p{k} AS g{k}" for k in range(4)) + " FROM s"
+    " UNION ALL SELECT 1, product_id, " + ", ".join(f"g * p{k} - 0.01 * q{k}" for k in range(4)) + " FROM s"
+    " UNION ALL SELECT 1, neg, " + ", ".join(f"-g * p{k} - 0.01 * r{k}" for k in range(4)) + " FROM s)",
+    f"a AS (SELECT side, original, count(*) AS n, {_MEAN} FROM m GROUP BY 1, 2)",
+    "e AS (SELECT DISTINCT 0 AS side, customer_id AS original FROM owned UNION ALL SELECT 1, product_id FROM i)") + "SELECT side, original, " + ", ".join(
+    f"round({_F('original', k)} + coalesce(0.1 * n / (1 + 0.1 * n) * g{k}, 0), 6) AS f{k}" for k in range(4)) + " FROM e LEFT JOIN a USING (side, original)"
+SQL["negative_sample_counts"] = with_(TXN, OWNED, "n AS (SELECT count(DISTINCT product_id) AS n FROM owned)") + """
+SELECT customer_id, 4 * count(*) AS n_negatives, 0 AS n_owned FROM owned, n GROUP BY customer_id, n.n HAVING count(*) < n.n"""
+SQL["csv_transactions"] = with_(TXN) + """SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows, round(sum(quantity), 6) AS quantity,
+  round(sum(price), 6) AS price, count(DISTINCT customer_id) AS n_customers FROM txn GROUP BY 1"""

@@ -110,7 +110,7 @@ def q_eda_weekly(spark, sf):
 
 @register("eda_price_histogram")
 def q_eda_price_histogram(spark, sf):
-    return profile.eda_price_histogram(_core(spark, sf), with_label=False)
+    return profile.eda_price_histogram(_core(spark, sf))
 
 
 @register("eda_basket_size")
@@ -365,30 +365,41 @@ def q_eval_als(spark, sf):
     return round_doubles(evaluate.evaluate(_core(spark, sf), lambda t: factorization.personalized_als_only(t)))
 
 
+def _stamp(when: str):
+    return F.lit(when).cast("timestamp_ntz")
+
+
 @register("run_metrics")
 def q_run_metrics(spark, sf):
     train, test = evaluate.holdout_split(T.tpch_transactions(spark, sf))
     m = evaluate.baseline_metrics(train, test).withColumn("list", F.lit("popularity_baseline"))
-    return results.metrics_rows("sf-run", m)
+    return results.metrics_rows("sf-run", m, _stamp("2025-01-01 12:00:00"))
 
 
 @register("latest_run")
 def q_latest_run(spark, sf):
     train, test = evaluate.holdout_split(T.tpch_transactions(spark, sf))
     m = evaluate.baseline_metrics(train, test).withColumn("list", F.lit("popularity_baseline"))
-    runs = results.metrics_rows("run-a", m).unionByName(
-        results.metrics_rows("run-b", m).withColumn("computed_at", F.col("computed_at") + F.expr("INTERVAL 1 SECOND")))
+    runs = results.metrics_rows("run-a", m, _stamp("2025-01-01 12:00:00")).unionByName(
+        results.metrics_rows("run-b", m, _stamp("2025-01-01 12:00:01")))
     return results.latest_run(runs)
 
 
-@register("result_tables_roundtrip")
-def q_result_tables_roundtrip(spark, sf):
-    """Write the popular lists as a run under the shared checkpoint folder and read that run back."""
+def _scratch(spark, name: str) -> str:
+    """A folder of its own under the shared checkpoint folder, which goes when the session's file system closes."""
     import uuid
 
-    from shelfspark.session import ensure_checkpoint_dir
+    from shelfspark.session import delete_on_exit, ensure_checkpoint_dir
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
 
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/results-{uuid.uuid4().hex}"
+
+@register("result_tables_roundtrip")
+def q_result_tables_roundtrip(spark, sf):
+    """Write the popular lists as a run under the shared checkpoint folder and read that run back."""
+    base = _scratch(spark, "results")
     results.write_result(popular.popular_recency(_core(spark, sf)), base, "popular", "r1")
     return results.read_result(spark, base, "popular", "r1").drop("run_id")
 
@@ -428,3 +439,110 @@ def q_rerank_train(spark, sf):
     scored = scorer.transform(rerank._feature_frame(pos.unionByName(neg), model, inter, *side))
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.avg(vector_to_array("probability")[1]).alias("mean_p_purchase"))
+
+
+# ---------------------------------------------------------------- rules and pairs on products; gated item-CF; sub-day times
+
+@register("frequent_pairs_product")
+def q_frequent_pairs_product(spark, sf):
+    return baskets.frequent_pairs(_core(spark, sf), min_count=2)
+
+
+@register("association_rules_product")
+def q_association_rules_product(spark, sf):
+    return round_doubles(baskets.rules_from_pairs(baskets.frequent_pairs(_core(spark, sf), min_count=2), "confidence", 0.05))
+
+
+@register("fbt_lift_product_min2")
+def q_fbt_lift_product_min2(spark, sf):
+    return baskets.fbt_apriori(_core(spark, sf), "lift", min_count=2)
+
+
+#: A gate that selects part of the customers of the test data, so that both branches of the gated paths have rows.
+GATE = 25
+
+
+@register("item_cf_topk_gated")
+def q_item_cf_topk_gated(spark, sf):
+    return item_cf.item_cf_topk(T.tpch_transactions(spark, sf), max_items=GATE)
+
+
+@register("serve_personalized_gated")
+def q_serve_personalized_gated(spark, sf):
+    t = _core(spark, sf)
+    return results.serve_personalized(t.customers, item_cf.item_cf_topk(t.transactions, max_items=GATE),
+                                      popular.popular_recency(t, segments=False))
+
+
+@register("feat_temporal_events")
+def q_feat_temporal_events(spark, sf):
+    return features.temporal(T.events_transactions(spark, sf))
+
+
+@register("holdout_events")
+def q_holdout_events(spark, sf):
+    _, test = evaluate.holdout_split(T.events_transactions(spark, sf))
+    return test
+
+
+# ---------------------------------------------------------------- models on fixed inputs, which SQL can state exactly
+
+def _fixed_factors(ids, col: str, original: str, rank: int = 4):
+    """Factors as a plain function of the original id and the component."""
+    comp = F.transform(F.sequence(F.lit(0), F.lit(rank - 1)),
+                       lambda k: F.pmod(F.col(original) * 31 + (k + 1) * 17 + F.col(original) * k * 7, F.lit(101)) / 101.0 - 0.5)
+    return ids.select(F.col(col).alias("id"), comp.alias("features"))
+
+
+def _fixed_model(inter):
+    users = inter.counts.select("uid", "customer_id").distinct()
+    items = inter.counts.select("iid", "product_id").distinct()
+    single = lambda df: df.select("id", F.col("features").cast("array<float>").alias("features"))
+    return factorization.FactorModel(4, single(_fixed_factors(users, "uid", "customer_id")), single(_fixed_factors(items, "iid", "product_id")))
+
+
+@register("mf_shortlist_fixed")
+def q_mf_shortlist_fixed(spark, sf):
+    """P5 with factors fixed by formula."""
+    inter = factorization.Interactions(T.tpch_transactions(spark, sf))
+    short = factorization.mf_shortlist(_fixed_model(inter), inter, k=2)
+    return inter.to_original(short).select("customer_id", F.col("mf_rank").cast("int").alias("mf_rank"), "product_id", F.round("mf_score", 5).alias("mf_score"))
+
+
+@register("bpr_one_epoch")
+def q_bpr_one_epoch(spark, sf):
+    """One epoch from factors and draws fixed by formula; the new customer and product factors."""
+    inter = factorization.Interactions(T.tpch_transactions(spark, sf))
+    pos = inter.counts.select("uid", "iid", "customer_id", "product_id")
+    idx = pos.select("iid").distinct().withColumn("_idx", F.col("iid"))
+    draws = pos.select("uid", (F.col("customer_id") * 7 + F.col("product_id") * 13).cast("long").alias("h"), F.col("iid").alias("tag"))
+    triples = interactions.draw_unowned(pos.select("uid", "iid"), idx, draws).select("uid", F.col("tag").alias("iid"), F.col("iid").alias("jid"))
+    users, items = pos.select("uid", "customer_id").distinct(), pos.select("iid", "product_id").distinct()
+    new = factorization.bpr_epoch(triples, _fixed_factors(users, "uid", "customer_id"), _fixed_factors(items, "iid", "product_id"), lr=0.1, reg=0.01)
+    names = (users.select(F.lit(0).alias("side"), F.col("uid").alias("id"), F.col("customer_id").alias("original"))
+             .unionByName(items.select(F.lit(1).alias("side"), F.col("iid").alias("id"), F.col("product_id").alias("original"))))
+    return new.join(names, ["side", "id"]).select("side", "original", *[F.round(F.col("features")[k], 6).alias(f"f{k}") for k in range(4)])
+
+
+@register("negative_sample_counts")
+def q_negative_sample_counts(spark, sf):
+    """N1 by customer: negatives drawn (four for each product bought), and how many of them are owned (none)."""
+    inter = factorization.Interactions(T.tpch_transactions(spark, sf))
+    neg = rerank.negative_samples(inter)
+    owned = inter.counts.select("uid", "iid", F.lit(1).alias("o"))
+    told = neg.join(owned, ["uid", "iid"], "left").groupBy("uid").agg(F.count(F.lit(1)).alias("n_negatives"), F.count("o").alias("n_owned"))
+    return told.join(inter.user_map, "uid").select("customer_id", "n_negatives", "n_owned")
+
+
+@register("csv_transactions")
+def q_csv_transactions(spark, sf):
+    """The tables written as CSV, as users give them, then loaded, checked and typed; the facts by day."""
+    base, t = _scratch(spark, "csv"), _core(spark, sf)
+    paths = {}
+    for name, df in t.as_dict().items():
+        paths[name] = f"{base}/{name}"
+        df.write.option("header", True).csv(paths[name])
+    txn = T.load_tables(spark, paths).transactions
+    return (txn.groupBy(F.to_date("timestamp").alias("day"))
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("quantity"), 6).alias("quantity"), F.round(F.sum("price"), 6).alias("price"),
+                 F.count_distinct("customer_id").alias("n_customers")))

@@ -16,7 +16,7 @@ customer without a personalized list — no cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: lists are served cut to this length.
@@ -25,9 +25,7 @@ SERVE_K = 10
 
 def write_result(df: DataFrame, base: str, table: str, run_id: str) -> None:
     """Write one result table for ``run_id``, replacing only that run's partition."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("run_id").parquet(f"{base.rstrip('/')}/{table}"))
 
 
@@ -36,12 +34,14 @@ def read_result(spark: SparkSession, base: str, table: str, run_id: str | None =
     return df if run_id is None else df.where(F.col("run_id") == run_id)  # partition pruning
 
 
-def metrics_rows(run_id: str, metrics: DataFrame) -> DataFrame:
-    """Long rows ``(run_id, computed_at, list, k, metric, value)`` from an evaluation frame."""
+def metrics_rows(run_id: str, metrics: DataFrame, computed_at: Column | None = None) -> DataFrame:
+    """Long rows ``(run_id, computed_at, list, k, metric, value)`` from an evaluation frame; ``computed_at``
+    defaults to now."""
+    computed_at = F.current_timestamp() if computed_at is None else computed_at
     long = metrics.select("list", "k", F.explode(F.array(
         *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
           for m in ("precision", "recall", "hit_rate")])).alias("m"))
-    return long.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("computed_at"),
+    return long.select(F.lit(run_id).alias("run_id"), computed_at.alias("computed_at"),
                        "list", "k", "m.metric", "m.value")
 
 
@@ -49,6 +49,12 @@ def append_metrics(df: DataFrame, base: str) -> None:
     df.write.mode("append").parquet(f"{base.rstrip('/')}/run_metrics")
 
 
+def read_metrics(spark: SparkSession, base: str, run_id: str | None = None) -> DataFrame:
+    """The stored metrics of a run, or of all."""
+    df = spark.read.parquet(f"{base.rstrip('/')}/run_metrics")
+    return df if run_id is None else df.where(F.col("run_id") == run_id)
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The run with the latest ``computed_at`` among completed runs (one row)."""
     done = runs.where(F.col("status") == "completed") if "status" in runs.columns else runs

@@ -76,16 +76,16 @@ def check_columns(tables: dict[str, DataFrame]) -> None:
     """Required tables present; required columns present in required and in given optional tables."""
     missing = [t for t in REQUIRED_TABLES if tables.get(t) is None]
     if missing:
-        raise ValidationError(f"Missing required file(s): {missing}")
+        raise ValidationError(f"no input for the required tables {missing}")
     for name in REQUIRED_TABLES:
         cols = [c for c in REQUIRED_COLUMNS[name] if c not in tables[name].columns]
         if cols:
-            raise ValidationError(f"'{name}' is missing required column(s): {cols}")
+            raise ValidationError(f"table {name} lacks the columns {cols}")
     for name in OPTIONAL_TABLES:
         if tables.get(name) is not None:
             cols = [c for c in OPTIONAL_COLUMNS[name] if c not in tables[name].columns]
             if cols:
-                raise ValidationError(f"optional file '{name}' uploaded but missing column(s): {cols}")
+                raise ValidationError(f"optional table {name} is given but lacks the columns {cols}")
 
 
 def volume_gate(tables: RetailTables, min_rows: int = MIN_TRANSACTION_ROWS,
@@ -114,9 +114,9 @@ def volume_gate(tables: RetailTables, min_rows: int = MIN_TRANSACTION_ROWS,
 def enforce_volume_gate(tables: RetailTables, **limits) -> None:
     """Raise ``ValidationError`` for the first failing volume check (three numbers reach the driver)."""
     msgs = {
-        "transaction_rows": "Need at least {m} transaction rows, got {v}",
-        "unique_customers": "Need at least {m} unique customers, got {v}",
-        "unique_products": "Need at least {m} unique products, got {v}",
+        "transaction_rows": "too few transaction rows: {v} of {m}",
+        "unique_customers": "too few distinct customers: {v} of {m}",
+        "unique_products": "too few distinct products: {v} of {m}",
     }
     for r in volume_gate(tables, **limits).orderBy("check_order").collect():
         if not r["passed"]:
@@ -125,9 +125,9 @@ def enforce_volume_gate(tables: RetailTables, **limits) -> None:
 
 def extension_warnings(products: DataFrame, customers: DataFrame) -> list[str]:
     """Soft warnings for missing retail extension columns (schema only, no job)."""
-    out = [f"retail pack: products missing optional column '{c}'" for c in PRODUCT_EXTENSION
+    out = [f"products has no column {c} (optional)" for c in PRODUCT_EXTENSION
            if c not in products.columns]
-    out += [f"retail pack: customers missing optional column '{c}'" for c in CUSTOMER_EXTENSION
+    out += [f"customers has no column {c} (optional)" for c in CUSTOMER_EXTENSION
             if c not in customers.columns]
     return out
 
@@ -151,7 +151,7 @@ def schema_warnings(spark: SparkSession, tables: RetailTables) -> DataFrame:
                 F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(present).alias("present"),
                 st.getField("n_rows").alias("n_rows"),
                 (st.getField(f"nn_{c}") if present else F.lit(0).cast("bigint")).alias("n_non_null"),
-                F.lit(None if present else f"retail pack: {name} missing optional column '{c}'")
+                F.lit(None if present else f"{name} has no column {c} (optional)")
                 .cast("string").alias("warning")))
     return spark.range(1).select(F.explode(F.array(*parts)).alias("w")).select("w.*")
 
