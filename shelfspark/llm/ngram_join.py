@@ -7,12 +7,13 @@ Sizes fall in bands of ratio BAND; a pair belongs to its smaller set's band, and
 it can be a pair's larger set there, in the band below. In a band the hash range is cut into r + 1 blocks, and the XOR
 of a set's hashes in each block is its sketch. An element moves one block only, so two linked sets agree in at least one
 block (pigeonhole): sets are joined on equal (band, block, XOR). Small sets can have nothing but empty blocks in common,
-so sets with few blocks and an empty one repeat this under other cuts. A second sketch, one parity bit for each of 4r
-hash classes, follows: its Hamming distance never exceeds the symmetric difference, so a candidate pair beyond r goes
+so sets with few blocks and an empty one repeat this under other cuts. A second sketch, one parity bit for each of 8r
+hash classes (1,024 at least), follows: its Hamming distance never exceeds the symmetric difference, so a candidate pair beyond r goes
 without its texts being read. What is left is verified on the texts.
 
 Sets with equal content are one node from the start. Of the nodes that share a key, each is paired with the smallest
-first; the pairs that verify give components; then only keys that still hold several components pair across these, all
+first; the pairs that verify give components. Keys that still hold several components pair each node with HUBS others drawn by
+hash, and what components remain in a key after that pair across, all
 of them, in tiles of at most TILE nodes. So copies cost no quadratic work and no link between different components is
 lost.
 
@@ -35,7 +36,7 @@ from shelfspark.llm.components import components
 from shelfspark.llm.packed import PACKED, Packer, bin_count, by_bin, runs, text_bytes
 from shelfspark.llm.text_hash import grams, mix, row_chunks, words
 
-BAND, CUTS, FEW_BLOCKS, TILE, LEAST_BITS = 1.5, 6, 24, 2048, 256
+BAND, CUTS, FEW_BLOCKS, TILE, HUBS, LEAST_BITS = 1.5, 6, 24, 2048, 2, 1024
 KEY = np.dtype([("key", "<u8"), ("node", "<i8")])
 
 
@@ -58,7 +59,7 @@ class Bands:
         return int((self.starts[band + 1] - 1) * (100 - self.percent) // self.percent)
 
     def bits(self, band: int) -> int:
-        return max(LEAST_BITS, -(-4 * self.most(band) // 64) * 64)
+        return max(LEAST_BITS, -(-8 * self.most(band) // 64) * 64)
 
 
 def sets_of(column: pa.Array, n: int):
@@ -228,12 +229,47 @@ class NgramJoin:
             self.rows.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("sketch").alias("sketch")),
             "node"), "nodes")
         star = written(self._sketched(star, nodes), "star")
-        first = written(self._verified(star, nodes), "links")
-        comps = components(first)
+        links = written(self._verified(star, nodes), "links")
+        comps, tried = components(links), star
+        for exact in (False, True):
+            held = self._mixed(shared, comps, nodes)
+            found = self._tiled(held) if exact else self._sketched(self._hubs(held), nodes)
+            more = written(found.join(tried, ["u", "v"], "left_anti"), "across")
+            new = written(self._verified(more, nodes), "links")
+            links, tried = links.unionByName(new), tried.unionByName(more)
+            comps = self._merged(comps, new)
+        return comps
+
+    def _merged(self, comps: DataFrame, new: DataFrame) -> DataFrame:
+        """The components after more links: only the graph of components is searched again."""
+        if not new.take(1):
+            return comps
+        name = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(x + "c"))
+        edges = (new.join(name("u"), "u", "left").join(name("v"), "v", "left")
+                 .select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")).where("u <> v"))
+        onto = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("onto"))
+        every = comps.unionByName(onto.select(F.col("comp").alias("node"), "comp")).distinct()
+        return written(every.join(onto, "comp", "left").select("node", F.coalesce("onto", "comp").alias("comp"))
+                       .groupBy("node").agg(F.min("comp").alias("comp")), "components")
+
+    def _mixed(self, shared: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The holders, with component, size and sketch, of the keys that still hold several components."""
         labelled = shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = (labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("m"))
                  .where("a <> b").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-        held = labelled.join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node")
+        return written(labelled.join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node"), "mixed")
+
+    def _hubs(self, held: DataFrame) -> DataFrame:
+        """Every holder of a key with HUBS others drawn by hash, where components differ. What links in a family of near
+        copies mostly shows up here, so that few pairs are left for the exact round."""
+        drawn = held.groupBy("key").agg(F.array(*[
+            F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp")))
+            for k in range(HUBS)]).alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("x")).select("key", "x.hub", "x.hub_comp")
+        return (held.select("key", "node", "comp").join(drawn, "key").where("comp <> hub_comp")
+                .select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct())
+
+    def _tiled(self, held: DataFrame) -> DataFrame:
+        """All pairs of different components that share a key and whose sketches allow a link."""
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         # a node meets every tile: as the left side with the tiles after its own, as the right side with those before
         met = held.withColumn("own", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -241,14 +277,8 @@ class NgramJoin:
                          F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
         met = written(met, "across-tiles")
         bins = max(1, met.count() // TILE)  # a bin holds some tiles, a tile at most two times TILE nodes or so
-        found = (met.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins))).groupBy("bin")
-                 .applyInArrow(_across(self.bands), "u long, v long").distinct())
-        more = written(found.join(star, ["u", "v"], "left_anti"), "across")
-        if not more.take(1):
-            self.links = first
-            return comps
-        self.links = written(first.unionByName(self._verified(more, nodes)), "links")
-        return components(self.links)
+        return (met.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins))).groupBy("bin")
+                .applyInArrow(_across(self.bands), "u long, v long").distinct())
 
     def _sketched(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(x + "n"), F.col("sketch").alias(x + "s"))
