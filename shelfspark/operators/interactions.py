@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.ranking import dense_positions
-from shelfspark.session import materialize
+from shelfspark.session import materialize, stored
 
 
 def user_item_counts(txn: DataFrame) -> DataFrame:
@@ -27,21 +27,27 @@ def int_ids(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFrame]:
     return df.join(mapping, col), mapping
 
 
-def draw_unowned(pos: DataFrame, idx: DataFrame, draws: DataFrame) -> DataFrame:
-    """For every draw ``(uid, h, tag)`` one product the customer does not own, uniform in ``h``: ``(uid, tag, iid)``.
+class Unowned:
+    """Uniform draws among the products that a customer does not own.
 
-    ``pos`` holds the owned pairs ``(uid, iid)`` and ``idx`` numbers all products 0..n-1. The draw is the r-th product not
+    ``pos`` holds the owned pairs ``(uid, iid)``, each once, with products numbered 0..n-1. A draw is the r-th product not
     owned, r = h mod their number, found exactly: with owned numbers a_0 < a_1 < ..., it is r plus the count of j with
     a_j - j <= r, a running count over owned numbers and draws in one order. So nothing is drawn twice or
     given up, however much of the catalog a customer owns; one owning all of it gets no row. A customer's rows are bounded by the
-    catalog, as pairs are distinct.
+    catalog, as pairs are distinct. What does not change between draws is stored once.
     """
-    n_items = idx.count()
-    by = Window.partitionBy("uid")
-    gaps = pos.join(idx, "iid").select("uid", (F.col("_idx") - F.row_number().over(by.orderBy("_idx")) + 1).cast("long").alias("v"),
-                                       F.lit(0).alias("kind"), F.lit(None).cast(draws.schema["tag"].dataType).alias("tag"))
-    free = pos.groupBy("uid").agg((F.lit(n_items) - F.count(F.lit(1))).alias("free"))
-    asked = draws.join(free, "uid").where("free > 0").select("uid", F.pmod("h", "free").alias("v"), F.lit(1).alias("kind"), "tag")
-    passed = F.sum(1 - F.col("kind")).over(by.orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = gaps.unionByName(asked).withColumn("passed", passed).where("kind = 1")
-    return found.select("uid", "tag", (F.col("v") + F.col("passed")).cast("int").alias("_idx")).join(idx, "_idx").select("uid", "tag", "iid")
+
+    def __init__(self, pos: DataFrame):
+        n_items = pos.select(F.count_distinct("iid")).first()[0]
+        by = Window.partitionBy("uid")
+        self.gaps = stored(pos.select("uid", (F.col("iid") - F.row_number().over(by.orderBy("iid")) + 1).cast("long").alias("v"),
+                                      (F.lit(n_items) - F.count(F.lit(1)).over(by)).alias("free")), "unowned")
+        self.free = self.gaps.select("uid", "free").distinct().where("free > 0")
+
+    def draw(self, draws: DataFrame) -> DataFrame:
+        """``(uid, tag, iid)`` for every draw ``(uid, h, tag)`` of a customer who does not own everything."""
+        asked = draws.join(self.free, "uid").select("uid", F.pmod("h", "free").alias("v"), F.lit(1).alias("kind"), "tag")
+        both = self.gaps.select("uid", "v", F.lit(0).alias("kind"), F.lit(None).cast(draws.schema["tag"].dataType).alias("tag")).unionByName(asked)
+        w = Window.partitionBy("uid").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        return (both.withColumn("passed", F.sum(1 - F.col("kind")).over(w)).where("kind = 1")
+                .select("uid", "tag", (F.col("v") + F.col("passed")).cast("int").alias("iid")))

@@ -514,9 +514,8 @@ def q_bpr_one_epoch(spark, sf):
     """One epoch from factors and draws fixed by formula; the new customer and product factors."""
     inter = factorization.Interactions(T.tpch_transactions(spark, sf))
     pos = inter.counts.select("uid", "iid", "customer_id", "product_id")
-    idx = pos.select("iid").distinct().withColumn("_idx", F.col("iid"))
     draws = pos.select("uid", (F.col("customer_id") * 7 + F.col("product_id") * 13).cast("long").alias("h"), F.col("iid").alias("tag"))
-    triples = interactions.draw_unowned(pos.select("uid", "iid"), idx, draws).select("uid", F.col("tag").alias("iid"), F.col("iid").alias("jid"))
+    triples = inter.unowned().draw(draws).select("uid", F.col("tag").alias("iid"), F.col("iid").alias("jid"))
     users, items = pos.select("uid", "customer_id").distinct(), pos.select("iid", "product_id").distinct()
     new = factorization.bpr_epoch(triples, _fixed_factors(users, "uid", "customer_id"), _fixed_factors(items, "iid", "product_id"), lr=0.1, reg=0.01)
     names = (users.select(F.lit(0).alias("side"), F.col("uid").alias("id"), F.col("customer_id").alias("original"))
