@@ -274,6 +274,8 @@ def _runner(ranks, pattern: str, make):
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
             yield from make(encoder, batch)
+        encoder.words.clear()  # the trie and its moves stay with the worker; the words would only take memory from later stages
+        encoder.older.clear()
     return run
 
 

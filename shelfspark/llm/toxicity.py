@@ -207,20 +207,20 @@ def score_rows(df: DataFrame, model: dict[str, float], id_col: str = "doc_id", t
     return rows.mapInArrow(_scorer(shared, spans), f"id {rows.schema['id'].dataType.simpleString()}, {out}").withColumnRenamed("id", id_col)
 
 
-def _scored_rows(model):
+def _scored_rows(model, text_col: str):
     def run(batches):
         weights = Words(model.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([score(t.as_py(), weights) for t in batch.column("t")], pa.float64())],
-                                             ["row", "score"])
+        for batch in batches:  # the text is read inside the row, so that it travels once
+            scores = [score(t.as_py() or "", weights) for t in batch.column("row").field(text_col)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
     return run
 
 
 def drop_toxic(df: DataFrame, model: dict[str, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that score below the threshold, with its columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(packed(df), text_or_empty(text_col).alias("t"))
-    scored = rows.mapInArrow(_scored_rows(shared), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = df.select(packed(df))
+    scored = rows.mapInArrow(_scored_rows(shared, text_col), f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return scored.where(F.col("score") < threshold).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
