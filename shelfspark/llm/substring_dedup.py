@@ -33,7 +33,7 @@ from shelfspark.llm.common import text_or_empty, written
 from shelfspark.llm.packed import bin_count, runs, text_bytes
 from shelfspark.llm.text_hash import Words, grams, mix, row_chunks, words
 
-WINDOW, PREFIX, STEP, FLUSH_BYTES, ANCHOR_FLUSH = 20, 8, 4, 8 << 20, 16 << 20
+WINDOW, PREFIX, STEP, FLUSH_BYTES, ANCHOR_FLUSH, TOLD = 20, 8, 4, 8 << 20, 16 << 20, 4096
 ANCHOR = np.dtype([("key", "<u8"), ("rk", "<i8"), ("pos", "<u4"), ("known", "u1")])
 HEAD = np.dtype([("key", "<u8"), ("id", "<i8"), ("rk", "<i8"), ("pos", "<u4"), ("anchor", "<u2"), ("windows", "<u2"), ("bytes", "<u4")])
 REPEAT = np.dtype([("rk", "<i8"), ("a", "<u4"), ("b", "<u4")])
@@ -70,16 +70,24 @@ def _bins(key: np.ndarray, bins: int) -> np.ndarray:
     return (key >> np.uint64(20)) % np.uint64(bins)
 
 
-def _emit(bins: np.ndarray, ship: np.ndarray, done: np.ndarray, texts=None):
-    """Batches (bin, payload, texts, done): one row per bin, and one that only carries what is already told."""
+def _spread(done: np.ndarray, bins: int) -> np.ndarray:
+    """Bins for what a flush has told: even slices of TOLD entries or more, from a bin on that differs by flush."""
+    first = int(mix(done["rk"].astype(np.uint64).sum(keepdims=True))[0] % np.uint64(bins))
+    return (first + np.arange(len(done)) // max(TOLD, -(-len(done) // bins))) % bins
+
+
+def _emit(count: int, bins: np.ndarray, ship: np.ndarray, done: np.ndarray, texts=None):
+    """Batches (bin, payload, texts, done): a row for each of the ``count`` bins with something to ship, and rows of their own, spread
+    over all bins, for what is already told."""
     order = np.argsort(bins, kind="stable")
     at, n = runs(bins[order])
     payload = [ship[order[a:a + k]].tobytes() for a, k in zip(at, n, strict=True)]
     text = [b"\n".join(texts[x] for x in order[a:a + k]) for a, k in zip(at, n, strict=True)] if texts is not None else [b""] * len(at)
-    which = bins[order][at].astype(np.int64)
-    if len(done):
-        which, payload, text = np.r_[which, which[:1] if len(which) else 0], [*payload, b""], [*text, b""]
-    told = [b""] * len(at) + ([done.tobytes()] if len(done) else [])
+    spread = _spread(done, count)
+    cut, size = runs(spread)
+    which = np.r_[bins[order][at].astype(np.int64), spread[cut]]
+    payload, text = [*payload, *[b""] * len(cut)], [*text, *[b""] * len(cut)]
+    told = [b""] * len(at) + [done[a:a + k].tobytes() for a, k in zip(cut, size, strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(payload, pa.binary()), pa.array(text, pa.large_binary()).cast(pa.binary()),
                                       pa.array(told, pa.binary())], ["bin", "payload", "texts", "done"])
 
@@ -102,7 +110,7 @@ def _anchor_flush(parts: list[np.ndarray], bins: int):
     ship["known"] = n > 1
     done = np.zeros(int(many.sum()), REPEAT)
     done["rk"], done["a"] = a["rk"][many], a["pos"][many]
-    return _emit(_bins(ship["key"], bins), ship, done)
+    return _emit(bins, _bins(ship["key"], bins), ship, done)
 
 
 def _find_anchors(window: int, prefix: int, bins: int):
@@ -194,7 +202,7 @@ def _segment_flush(heads: list, texts: list[bytes], bins: int, window: int):
     # a segment all of whose windows repeat earlier ones of this flush has nothing new for its bin
     moves = np.bincount(seg, minlength=len(head)) < head["windows"]
     kept = np.flatnonzero(moves)
-    return _emit(_bins(head["key"][kept], bins), head[kept], done, [texts[x] for x in kept])
+    return _emit(bins, _bins(head["key"][kept], bins), head[kept], done, [texts[x] for x in kept])
 
 
 def _cut_segments(window: int, prefix: int, bins: int):

@@ -91,3 +91,26 @@ def test_same_rows_and_empty_table(docs):
     p = [(1, text), (1, text), (2, text)]
     assert got(docs(p)) == Counter(brute(p)) == Counter({(1, 30, 0, text.encode()): 2, (2, 30, 30, b""): 1})
     assert remove_repeats(docs([])).count() == 0
+
+
+def told_by_bin(moved, bins):
+    size = [0] * bins
+    for b, d in zip(moved["bin"].to_pylist(), moved["done"].to_pylist(), strict=True):
+        size[b] += len(d)
+    return size
+
+
+def test_what_a_flush_tells_is_spread_over_the_bins():
+    """Copies of some texts: nearly everything is told in the flush, and no bin gets more than its part of it."""
+    from shelfspark.llm.substring_dedup import _cut_segments, _find_anchors
+    rnd = random.Random(5)
+    texts = [" ".join(f"{rnd.randrange(10 ** 6)}" for _ in range(400)) for _ in range(20)]
+    n = 2000
+    rows = pa.table({"t": [texts[i % 20] for i in range(n)], "rk": [hash((i, 1)) for i in range(n)], "ord": list(range(n))})
+    for bins in (4, 16):
+        size = told_by_bin(pa.Table.from_batches(_find_anchors(20, 8, bins)(rows.to_batches())), bins)
+        assert sum(size) > n * 30 * 16 and max(size) <= 2 * sum(size) / bins
+    places = rows.append_column("pos", pa.array([list(range(400))] * n, pa.list_(pa.int64())))
+    moved = pa.Table.from_batches(_cut_segments(20, 8, 4)(places.to_batches(max_chunksize=100)))
+    size = told_by_bin(moved, 4)
+    assert sum(size) > n * 16 and max(size) <= sum(size) / 2
