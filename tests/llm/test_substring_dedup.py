@@ -114,3 +114,38 @@ def test_what_a_flush_tells_is_spread_over_the_bins():
     moved = pa.Table.from_batches(_cut_segments(20, 8, 4)(places.to_batches(max_chunksize=100)))
     size = told_by_bin(moved, 4)
     assert sum(size) > n * 16 and max(size) <= sum(size) / 2
+
+
+def shared_line(n=300):
+    """A line of 12 words in most texts, with other text around it: its prefix has a segment of every one of them."""
+    rnd = random.Random(8)
+    word = lambda: f"{rnd.randrange(10 ** 5)}"
+    line = " ".join(f"line{k}" for k in range(12))
+    out = [(i, " ".join([*(word() for _ in range(rnd.randrange(30))), line, *(word() for _ in range(rnd.randrange(30)))])) for i in range(n)]
+    return out + [(n, out[3][1] + " x y z"), (n + 1, out[5][1]), (n + 1, out[5][1]), (None, "a b " + out[7][1])]
+
+
+def test_a_common_prefix_is_lengthened(docs, monkeypatch):
+    from shelfspark.llm.substring_dedup import _cut_segments, _find_anchors, _repeated_anchors
+    p = shared_line() + corpus(6, 30)
+    monkeypatch.setattr(substring_dedup, "BIN_BYTES", 2000)
+    assert got(docs(p)) == Counter(brute(p))
+    # flushes of a few kilobytes, so that next to nothing is told before the shuffle: no bin gets all of the line's segments
+    monkeypatch.setattr(substring_dedup, "FLUSH_BYTES", 5000)
+    p = shared_line(2000)
+    rows = pa.table({"t": [t for _, t in p], "rk": list(range(len(p))), "ord": [1 << 62 if i is None else i for i, _ in p]})
+    moved = pa.Table.from_batches(_find_anchors(20, 8, 1)(rows.to_batches()))
+    found = _repeated_anchors(moved, 1 << 13).to_pylist()
+    large = pa.array(sorted(r["pos"] % (1 << 64) for r in found if r["rk"] is None), pa.uint64()).to_numpy()
+    assert 0 < len(large) < 20
+    places = {}
+    for r in found:
+        places.setdefault(r["rk"], []).append(r["pos"])
+    rows = rows.append_column("pos", pa.array([places.get(k, []) for k in range(len(p))], pa.list_(pa.int64())))
+    most = []
+    for keys in (None, large):
+        moved, size = pa.Table.from_batches(_cut_segments(20, 8, 64, keys)(rows.to_batches())), Counter()
+        for r in moved.to_pylist():
+            size[r["bin"]] += sum(len(r[c]) for c in ("payload", "texts", "done", "whole"))
+        most.append(max(size.values()) / sum(size.values()))
+    assert most[0] > 0.2 and most[1] < 0.05, most
