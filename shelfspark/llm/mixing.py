@@ -10,14 +10,16 @@ driver, and a document's rate follows from its own posteriors and the steps so f
 Targets are weights; the total is the least at which no domain has to shrink below its base, so with base 1 every document
 stays once and scarce domains repeat. A fraction of a copy is drawn by a hash of id and text.
 
-The classifier is a softmax over hashed words and a few counts, fitted on at most SAMPLE labelled rows (smallest id hashes,
-texts up to TRAIN_CHARS characters; a documented bound), used on whole texts. Null and empty texts have no tokens and get the base
+Domains and their labelled counts come from the whole labelled table. The classifier is a softmax over hashed words and a few counts,
+fitted on at most SAMPLE labelled rows, an equal quota of each domain (smallest id hashes; the first TRAIN_CHARS characters of a text; a
+documented bound), with the domains' true shares put back into the biases, and used on whole texts. Null and empty texts have no tokens and get the base
 rate. Null labels are not learnt from; without labels, or with one domain, all documents have one domain and the base rate. Ties,
 repeated rows, null ids and extra columns change nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -89,25 +91,39 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def _fit_rows(batches):
-    texts, labels = [], []
+    texts, labels, counts = [], [], {}
     for b in batches:
         texts += b.column("t").to_pylist()
         labels += b.column("y").to_pylist()
+        counts |= dict(zip(b.column("y").to_pylist(), b.column("n").to_pylist(), strict=True))
     order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))  # the fit must not depend on arrival
     model = fit([texts[i] for i in order], [labels[i] for i in order]) if texts else Model([], np.zeros((0, 0)))
+    if texts:  # the quotas make domains alike in number; the bias gets their shares back
+        drawn, n = (np.array([c[d] for d in model.domains], float) for c in (Counter(labels), counts))
+        model.weights[-1] += np.log(n / n.sum()) - np.log(drawn / drawn.sum())
     yield pa.RecordBatch.from_pydict({"domain": pa.array(model.domains, pa.string()),
                                       "weights": pa.array([model.weights[:, d].tobytes() for d in range(len(model.domains))], pa.binary())})
 
 
 def learn(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of ``labelled`` (id, domain). Only the sampled ids are broadcast, only their texts move."""
+    """Fit on a bounded sample of ``labelled`` (id, domain), of every domain that labels a row of ``df``. Only the sampled ids are
+    broadcast, only their texts move."""
     known = labelled.select(F.col(id_col).alias("id"), F.col("domain").cast("string").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
-    picked = written(known.orderBy(F.xxhash64("id"), "id").limit(sample), "label-sample")
-    rows = (df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).where(F.char_length("t") <= TRAIN_CHARS)
-            .join(F.broadcast(picked), "id").select("t", "y"))
-    got = sorted(rows.repartition(1).mapInArrow(_fit_rows, "domain string, weights binary").collect())
-    if len(got) > MOST_DOMAINS:
-        raise ValueError(f"{len(got)} domains; at most {MOST_DOMAINS} are handled")
+    known = written(known.join(df.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"), "labels")
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).take(MOST_DOMAINS + 1)}
+    if len(n) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    picked = None
+    for y in sorted(n):
+        some = (known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max(1, sample // len(n)))
+                .select("id", "y", F.lit(n[y]).cast("long").alias("n")))
+        picked = some if picked is None else picked.unionByName(some)
+    got = []
+    if picked is not None:
+        picked = written(picked, "label-sample")
+        rows = (df.select(F.col(id_col).alias("id"), F.substring(text_or_empty(text_col), 1, TRAIN_CHARS).alias("t"))
+                .join(F.broadcast(picked), "id").select("t", "y", "n"))
+        got = sorted(rows.repartition(1).mapInArrow(_fit_rows, "domain string, weights binary").collect())
     if not got:
         return Model(["all"], np.zeros((BUCKETS + COUNTS + 1, 1)))
     return Model([r["domain"] for r in got], np.stack([np.frombuffer(r["weights"]) for r in got], axis=1))
@@ -162,6 +178,8 @@ class Mix(NamedTuple):
 def fit_rates(df: DataFrame, model: Model, power: float = 0.5, weights: dict[str, float] | None = None, base: float = 1.0,
               text_col: str = "text") -> Mix:
     """Rates for target weights: those given, or each domain's share to the ``power``."""
+    if weights is not None and (unknown := set(weights) - set(model.domains)):
+        raise ValueError(f"targets for unknown domains: {sorted(unknown)}")
     shared = df.sparkSession.sparkContext.broadcast(model)
     d = len(model.domains)
     table = written(df.select(text_or_empty(text_col).alias("t")).mapInArrow(_narrow(shared), "n long, p array<double>"), "posteriors")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from shelfspark.llm import mixing
 from shelfspark.llm.mixing import Model, _posteriors, extra, fit, fit_rates, learn, mix_rows, rate_rows
@@ -75,3 +76,19 @@ def test_no_labels_and_empty(spark, docs):
     assert {(r.domain, r.copies) for r in rate_rows(df, fit_rates(df, model)).collect()} == {("all", 1)}
     empty = docs([])
     assert rate_rows(empty, fit_rates(empty, model)).count() == 0
+
+
+def test_scarce_and_long_domains_are_learnt(spark, docs):
+    """A domain that a plain sample misses, and one of long texts only, are domains like others."""
+    rows = corpus()
+    rows += [(1000 + i, "dune dusk dove " * (5 + i), "d") for i in range(3)] + [(2000 + i, "east edge " * 4000, "e") for i in range(3)]
+    df = docs([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, d) for i, _, d in rows] + [(9999, "no such row")], "doc_id long, domain string")
+    model = learn(df, labels, sample=40)
+    assert model.domains == ["a", "b", "c", "d", "e"]
+    got = fit_rates(df, model)
+    assert (got.target > 0).all()
+    told = {r.doc_id: r.domain for r in rate_rows(df, got).collect()}
+    assert [told[i] for i in (1000, 1001, 1002, 2000, 2001, 2002)] == [*"dddeee"]
+    with pytest.raises(ValueError, match="unknown"):
+        fit_rates(df, model, weights={"a": 1.0, "z": 1.0})
