@@ -14,7 +14,8 @@ without its texts being read. What is left is verified on the texts.
 Sets with equal content are one node from the start. Of the nodes that share a key, each is paired with the smallest
 first; the pairs that verify give components. Keys that still hold several components pair each node with HUBS others drawn by
 hash, and what components remain in a key after that pair across, all
-of them, in tiles of at most TILE nodes. So copies cost no quadratic work and no link between different components is
+of them, in tiles of at most TILE nodes. Only components are computed: pairs inside one are not verified, and neither linked pairs
+nor numbers of links come out. So copies cost no quadratic work and no link between different components is
 lost.
 
 Keys travel packed and binned by hash (packed.py); texts are read again only for nodes with a pair left, found by a
