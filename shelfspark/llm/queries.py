@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import ann, bpe, chat, exact_dedup, mixing, ngram_join, secret_scan, sharding, substring_dedup, toxicity
-from shelfspark.llm.common import table
+from shelfspark.llm import (ann, bpe, chat, collocations, exact_dedup, mixing, ngram_join, periodic_runs, quality, secret_scan, sharding,
+                            substring_dedup, toxicity)
+from shelfspark.llm.common import SPACE, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +138,79 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs.select("doc_id", "text"), labels.where(~toxicity.held_out()))
     scored = toxicity.score_rows(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32 of the id ends in 0, the words from a place on repeat with a period; both follow from the crc32."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    known = docs.select("doc_id", text_or_empty().alias("t"), h.alias("h"))
+    drawn = known.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("t", SPACE + "+"), lambda x: x != ""))).withColumn("n", F.size("w"))
+    begin = drawn.withColumn("a", F.expr("(h div 10) % greatest(n, 1)"))
+    cut = begin.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.get("w", source(i).cast("int")))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(tail, " ")).otherwise(F.col("t")).alias("text"))
+
+
+@register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_tails(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"),
+                       F.sha2("kept", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+                      F.expr("1000 * b.length div -b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+# equal 6-grams q words apart, in unbroken stretches, are what runs are made of: len - q >= max(12 - q, q) >= 6
+SQL["op11_periodic_runs"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT *, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+t AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w FROM a),
+u AS MATERIALIZED (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+g AS MATERIALIZED (SELECT r, i, gram FROM (SELECT r, i, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS gram FROM u) WHERE i + 6 <= n),
+p AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.gram = y.gram AND x.i < y.i),
+s AS (SELECT r, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM p) GROUP BY r, q, k),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) AS k FROM runs),
+l AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+c AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+e AS (SELECT u.r, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN c ON u.r = c.r AND u.i = c.i WHERE c.i IS NULL GROUP BY u.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b ON t.r = b.r AND b.k = 1 LEFT JOIN l ON t.r = l.r LEFT JOIN e ON t.r = e.r
+"""
+
+
+@register
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs.select("doc_id", "text"), labels.where(~quality.held_out()))
+    scored = quality.score_rows(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, m, unnest(list_transform(range(len(w) - m + 1), lambda i: array_to_string(w[i + 1:i + m], ' '))) AS phrase FROM w, range(1, 6) k(m) WHERE len(w) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, w, a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n.n, 1000::HUGEINT * c.a * n.n // (x.a::HUGEINT * y.a) AS score FROM c
+      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+      JOIN n ON n.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS j FROM s),
+z AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN f z ON f.lang = z.lang AND z.m > f.m AND z.a >= f.a AND contains(' ' || z.phrase || ' ', ' ' || f.phrase || ' ') WHERE f.m > 1),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE j = 1 AND NOT EXISTS (SELECT 1 FROM z WHERE z.lang = b.lang AND z.phrase = b.phrase))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""

@@ -1,29 +1,28 @@
 """Words and word n-grams of a batch of texts as 64-bit hashes, computed on the bytes of an Arrow column with numpy.
 
-A word is a maximal run of bytes outside ASCII white space; its hash is a polynomial over a random value of each byte,
-read off one prefix sum over the whole buffer. Work goes in blocks of about BLOCK bytes, cut at white space,
-so memory follows the block and a long text needs no more than its words.
+A word is a maximal run of bytes outside ASCII white space; its hash takes the word's bytes eight at a time, each block
+mixed into the value so far, and its length; words over LONG_WORD bytes take a cryptographic digest instead. Work goes in blocks of about
+BLOCK bytes, cut at white space, so memory follows the block and a long text needs no more than its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK, ROWS_BYTES = 1 << 20, 4 << 20
+BLOCK, ROWS_BYTES, LONG_WORD = 1 << 20, 4 << 20, 1024
 _RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 3)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_SEED = _RANDOM.integers(0, 1 << 64, 2, dtype=np.uint64)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _GRAM = _RANDOM.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,18 +32,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the step and of its inverse; kept for the usual block, made anew for a longer one."""
-    if len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    made = []
-    for step in (_STEP, _BACK):
-        p = np.full(max(n, BLOCK + 4096), step)
-        p[0] = 1
-        made.append(np.cumprod(p))
-    if n <= 2 * BLOCK:
-        _POWERS[:] = made
-    return made[0], made[1]
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each span."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    h = mix(size.astype(np.uint64) ^ _SEED[0])
+    left, at, done = np.arange(len(start)), start, 0
+    while len(left):
+        part = at_byte[at] & _FIRST_BYTES[np.minimum(size[left] - done, 8)]
+        h[left] = mix((h[left] ^ part) + _SEED[1])
+        done += 8
+        goes_on = (size[left] > done) & (size[left] <= LONG_WORD)
+        left, at = left[goes_on], at[goes_on] + 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k]:end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 class Words(NamedTuple):
@@ -96,10 +99,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
         begin[cuts] = word[cuts]
         stop[cuts - 1] = word[cuts - 1]
         s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        power, back = _powers(to - at)
-        total = np.zeros(to - at + 1, np.uint64)
-        np.cumsum(_BYTE[part] * power[:to - at], out=total[1:])
-        hashes.append(mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)))
+        hashes.append(hash_spans(part, s, e))
         starts.append(s + at)
         ends.append(e + at)
         at = to
