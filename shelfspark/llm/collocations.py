@@ -7,8 +7,9 @@ at least as frequent as the phrase.
 1. A sample of documents (one of SAMPLE_OF, by content hash; proposals only, no result rests on it) is mined at a lowered threshold. What passes is proposed.
 2. One full pass counts, over all documents, the proposed phrases and their negative border, exactly: every word, and every longer
    phrase whose two parts one word shorter are both proposed.
-3. A frequent phrase of the border that was not proposed is a border failure: it is added, and an expansion pass counts
-   the phrases whose parts are now all in and that were not counted before. When a pass has no failure the frequent phrases are closed.
+3. A frequent phrase of the border that was not proposed is a border failure; it triggers an expansion pass, which counts every longer
+   phrase of frequent words that holds a failure. That closes the frequent phrases: of one not counted in the full pass, the shortest part that was not
+   proposed is in the border and is frequent, so it is a failure.
 4. A last pass reads the frequent phrases' texts and counts them by text, per language.
 
 Membership of a part is tested in a Bloom bitmap of at most MAX_BITS bits, so what is broadcast is bounded; a false positive only counts one
@@ -35,7 +36,7 @@ from shelfspark.llm.packed import PACKED, Packer, bin_count, by_bin, runs, text_
 from shelfspark.llm.text_hash import hash_spans, mix, row_chunks
 
 LONGEST, LEAST, SAMPLE_OF, LOWERED, MAX_BITS = 5, 100, 16, 0.7, 1 << 28
-FLUSH_KEYS, STRETCH = 4 << 20, 1 << 22
+FLUSH_KEYS, MOST_TEXTS, STRETCH = 4 << 20, 1 << 20, 1 << 22
 COUNT = np.dtype([("key", "<u8"), ("n", "<i8")])
 _KIND = np.zeros(256, np.uint8)  # 0 word, 1 blank, 2 end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -105,6 +106,19 @@ class Grams:
             key = self.longer(key, at, m)
             yield m, at, key
 
+    def holding(self, inside, failed, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(m, places, keys) of the phrases of m words, every word inside, that hold a shorter phrase that ``failed``."""
+        at, holds = None, None
+        for m, places, key in self.keys(inside, longest, tested=1):
+            if at is not None:
+                left = np.searchsorted(at, places)
+                kept = holds[left] | holds[left + 1]
+                yield m, places[kept], key[kept]
+                holds = kept | failed(key)
+            else:
+                holds = failed(key)
+            at = places
+
     def text(self, at: int, m: int) -> bytes:
         s = self.data[self.start[at]:self.end[at + m - 1]].tobytes()
         return b" ".join(s.split()) if b"  " in s or b"\t" in s else s
@@ -151,28 +165,20 @@ def _counted(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _count(bins: int, lengths, inside=None, before=None, tested: int = LONGEST):
-    """Packed counts of the phrases of ``lengths`` words whose parts are ``inside`` (None: all), leaving out those that a pass with
-    ``before`` has counted."""
+def _count(bins: int, lengths, inside=None, tested: int = LONGEST, failed=None):
+    """Packed counts of the phrases of ``lengths`` words whose parts are ``inside`` (None: all); or, with ``failed``, of those that hold a
+    failure and whose words are inside."""
     def run(batches):
         now = Bits(inside.value) if inside else lambda key: np.ones(len(key), bool)
-        was = Bits(before.value) if before else None
+        fails = Bits(failed.value) if failed else None
         packer, parts, size = Packer(bins), [], 0
         for batch in batches:
             for grams, _ in _grams(batch):
-                passed, passed_at = None, None  # the places of parts that were counted before, and inside before
-                for m, at, key in grams.keys(now, max(lengths), tested):
-                    new = np.ones(len(key), bool)
-                    if was is not None:
-                        if m == 1:
-                            new[:] = False
-                        else:
-                            place = np.searchsorted(passed_at, at)
-                            new = ~(passed[place] & passed[np.minimum(place + 1, len(passed) - 1)])
-                        passed, passed_at = ~new & was(key), at
+                found = grams.keys(now, max(lengths), tested) if fails is None else grams.holding(now, fails, max(lengths))
+                for m, _, key in found:
                     if m in lengths:
-                        parts.append(key[new])
-                        size += int(new.sum())
+                        parts.append(key)
+                        size += len(key)
                 if size >= FLUSH_KEYS:
                     counted = _counted(parts)
                     yield from packer.add(counted["key"], counted)
@@ -194,32 +200,82 @@ def _added(least: int):
     return run
 
 
-def _texts(inside, longest: int):
-    """(lang, phrase, n) of the phrases that are inside, added up per flush; and the number of words under a null phrase."""
+MOVED = "bin long, lang string, counts binary, texts binary"
+
+
+class Texts:
+    """The phrases that a task has met: text and language when first met, counts by key."""
+
+    def __init__(self, bins: int):
+        self.bins, self.n_words = bins, {}
+        self._clear()
+
+    def _clear(self):
+        self.known, self.langs, self.texts, self.parts = np.zeros(0, np.uint64), [], [], []
+        self.number = np.zeros(0, np.int64)  # of each known key, in the order of first meeting
+
+    def add(self, grams: Grams, names: list[str], m: int, at: np.ndarray, key: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        first, n = runs(key[order])
+        key, place = key[order[first]], at[order[first]]
+        counted = np.empty(len(key), COUNT)
+        counted["key"], counted["n"] = key, n
+        self.parts.append(counted)
+        new = ~np.isin(key, self.known, assume_unique=True)
+        number = len(self.texts) + np.arange(int(new.sum()))
+        self.langs.extend(names[r] for r in grams.row[place[new]].tolist())
+        self.texts.extend(grams.text(p, m) for p in place[new].tolist())
+        known = np.concatenate([self.known, key[new]])
+        order = np.argsort(known, kind="stable")
+        self.known, self.number = known[order], np.concatenate([self.number, number])[order]
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """A row for each bin and language: counts, and the texts, a line each."""
+        values = np.concatenate([np.zeros(0, COUNT), *self.parts])
+        values = values[np.argsort(values["key"], kind="stable")]
+        at, _ = runs(values["key"])
+        n = np.add.reduceat(values["n"], at) if len(at) else values["n"]
+        to: dict[tuple[int, str], list[int]] = {}
+        for k, (b, x) in enumerate(zip(((self.known >> np.uint64(24)) % np.uint64(self.bins)).tolist(), self.number.tolist(), strict=True)):
+            to.setdefault((b, self.langs[x]), []).append(k)
+        rows = [(b, lang, n[np.array(ks)].astype(np.int64).tobytes(), b"\n".join(self.texts[self.number[k]] for k in ks)) for (b, lang), ks in to.items()]
+        # the number of a language's words travels under an empty text, a bin chosen by its name
+        rows += [(len(lang.encode()) % self.bins, lang, np.int64(k).tobytes(), b"") for lang, k in self.n_words.items()]
+        self._clear()
+        self.n_words = {}
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)]
+                                         if rows else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary())],
+                                         ["bin", "lang", "counts", "texts"])
+
+
+def _texts(inside, longest: int, bins: int):
+    """The phrases that are inside, and the number of words of each language, packed per task."""
     def run(batches):
-        held = Bits(inside.value)
+        held, met = Bits(inside.value), Texts(bins)
         for batch in batches:
-            names = batch.column("lang").to_pylist()
+            langs = batch.column("lang").to_pylist()
             for grams, rows in _grams(batch):
-                out = [], [], []
-                words = np.bincount(grams.row, minlength=len(rows))
-                totals = {}
-                for r, k in zip(rows, words.tolist(), strict=True):
-                    totals[names[r]] = totals.get(names[r], 0) + k
-                for lang, k in totals.items():
-                    for column, x in zip(out, (lang, None, k), strict=True):
-                        column.append(x)
+                names = [langs[r] for r in rows]
+                for r, k in zip(names, np.bincount(grams.row, minlength=len(rows)).tolist(), strict=True):
+                    met.n_words[r] = met.n_words.get(r, 0) + k
                 for m, at, key in grams.keys(held, longest):
                     found = held(key)
-                    at, key = at[found], key[found]
-                    order = np.argsort(key, kind="stable")
-                    first, n = runs(key[order])
-                    place = at[order[first]]
-                    out[0].extend(names[rows[r]] for r in grams.row[place].tolist())
-                    out[1].extend(grams.text(p, m) for p in place.tolist())
-                    out[2].extend(n.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()).cast(pa.string()),
-                                                  pa.array(out[2], pa.int64())], ["lang", "phrase", "n"])
+                    met.add(grams, names, m, at[found], key[found])
+                if len(met.texts) >= MOST_TEXTS or len(met.parts) >= 1024:
+                    yield from met.flush()
+        yield from met.flush()
+    return run
+
+
+def _by_text(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        n: dict[tuple[str, bytes], int] = {}
+        for lang, counts, texts in zip(*(table.column(c).to_pylist() for c in ("lang", "counts", "texts")), strict=True):
+            for text, k in zip(texts.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                n[lang, text] = n.get((lang, text), 0) + k
+        often = [(lang, text.decode(), k) for (lang, text), k in n.items() if k >= least or not text]
+        return pa.table({"lang": pa.array([x[0] for x in often], pa.string()), "phrase": pa.array([x[1] for x in often], pa.string()),
+                         "n": pa.array([x[2] for x in often], pa.int64())})
     return run
 
 
@@ -231,40 +287,39 @@ def frequent_phrases(df: DataFrame, least: int = LEAST, longest: int = LONGEST,
     rows = df.select(text_or_empty(text_col).alias("t"), lang.alias("lang"))
     bins = bin_count(text_bytes(rows, "t"))
 
-    def counts(of: DataFrame, at_least: int, lengths, inside=None, before=None, tested=longest) -> DataFrame:
-        shared = [x and spark.sparkContext.broadcast(x.bits) for x in (inside, before)]
-        packed = of.mapInArrow(_count(bins, lengths, *shared, tested), PACKED)
+    def counts(of: DataFrame, at_least: int, lengths, inside=None, tested=longest, failed=None) -> DataFrame:
+        shared = [x and spark.sparkContext.broadcast(x.bits) for x in (inside, failed)]
+        packed = of.mapInArrow(_count(bins, lengths, shared[0], tested, shared[1]), PACKED)
         return written(by_bin(packed, COUNT, _added(at_least), "key long, n long"), "phrase-counts")
 
+    def bits(keys: DataFrame) -> Bits:
+        return Bits(bits_of(keys, keys.count()))
+
     # 1. proposals, from a sample: words and pairs, then what the pairs allow
     sample = rows.where(F.pmod(F.xxhash64("t", "lang", F.lit(7)), F.lit(sample_of)) == 0)
     low = max(2, int(LOWERED * least / sample_of))
     proposed = counts(sample, low, (1, 2)).select("key")
     if longest > 2:
-        more = counts(sample, low, tuple(range(3, longest + 1)), Bits(bits_of(proposed, proposed.count())), tested=2)
-        proposed = proposed.unionByName(more.select("key"))
-    # 2. the full pass over proposals and negative border; 3. expansion passes until no border phrase fails
-    inside, before, frequent, every = Bits(bits_of(proposed, proposed.count())), None, None, tuple(range(1, longest + 1))
-    while True:
-        new = counts(rows, least, every, inside, before)
-        frequent = new if frequent is None else frequent.unionByName(new)
-        n = frequent.count()
-        grown = bits_of(frequent.select("key"), n)
-        failed = _outside(frequent, inside, spark)
-        if not failed:
-            break
-        before = inside
-        inside = _either(inside, frequent, n)
+        proposed = proposed.unionByName(counts(sample, low, tuple(range(3, longest + 1)), bits(proposed), tested=2).select("key"))
+    # 2. the full pass over proposals and negative border
+    inside = bits(proposed)
+    frequent = counts(rows, least, tuple(range(1, longest + 1)), inside)
+    # 3. border failures, and the phrases that hold them
+    failed = _outside(frequent, inside, spark)
+    n_failed = failed.count()
+    if n_failed and longest > 1:
+        more = counts(rows, least, tuple(range(2, longest + 1)), bits(frequent.select("key")), failed=Bits(bits_of(failed, n_failed)))
+        frequent = frequent.select("key").unionByName(more.select("key")).distinct()
     # 4. the texts
-    held = spark.sparkContext.broadcast(grown)
-    texts = rows.mapInArrow(_texts(held, longest), "lang string, phrase string, n long")
-    texts = written(texts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases")
-    phrases = texts.where("phrase is not null").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("m"), "n")
-    return phrases, texts.where("phrase is null and n > 0").select("lang", "n")
+    held = spark.sparkContext.broadcast(bits(frequent.select("key")).bits)
+    texts = rows.mapInArrow(_texts(held, longest, bins), MOVED)
+    texts = written(texts.groupBy("bin").applyInArrow(_by_text(least), "lang string, phrase string, n long"), "phrases")
+    phrases = texts.where("phrase <> ''").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("m"), "n")
+    return phrases, texts.where("phrase = '' and n > 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _outside(keys: DataFrame, inside: Bits, spark) -> bool:
-    """Some key is not in the bitmap."""
+def _outside(keys: DataFrame, inside: Bits, spark) -> DataFrame:
+    """The keys that are not in the bitmap."""
     shared = spark.sparkContext.broadcast(inside.bits)
 
     def run(batches):
@@ -272,14 +327,7 @@ def _outside(keys: DataFrame, inside: Bits, spark) -> bool:
         for b in batches:
             out = ~held(b.column("key").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([b.column("key").filter(pa.array(out))], ["key"])
-    return bool(keys.select("key").mapInArrow(run, "key long").take(1))
-
-
-def _either(inside: Bits, keys: DataFrame, n: int) -> Bits:
-    """The bitmap with more keys in it; what passed before passes on."""
-    more = bits_of(keys.select("key"), n)
-    small, large = sorted((inside.bits, more), key=len)
-    return Bits(np.tile(small, len(large) // len(small)) | large)  # a slot of a smaller bitmap is the lower part of one of a larger
+    return keys.select("key").mapInArrow(run, "key long")
 
 
 def collocations(df: DataFrame, top: int = 2000, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang",
