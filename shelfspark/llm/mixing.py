@@ -13,7 +13,7 @@ stays once and scarce domains repeat. A fraction of a copy is drawn by a hash of
 Domains and their labelled counts come from the whole labelled table. The classifier is a softmax over hashed words and a few counts,
 fitted on at most SAMPLE labelled rows, an equal quota of each domain (smallest id hashes; the first TRAIN_CHARS characters of a text; a
 documented bound), with the domains' true shares put back into the biases, and used on whole texts. Null and empty texts have no tokens and get the base
-rate. Null labels are not learnt from; without labels, or with one domain, all documents have one domain and the base rate. Ties,
+rate. Null labels are not learnt from; without labels, or with one domain, all documents have one domain and the base rate; more than MOST_DOMAINS domains are an error. Ties,
 repeated rows, null ids and extra columns change nothing; an empty table gives an empty result.
 """
 
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import packed, text_or_empty, written
-from shelfspark.llm.text_hash import mix, row_chunks, words
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from shelfspark.llm.common import packed, text_or_empty, tidy, written
+from shelfspark.llm.text_hash import again, mix, row_chunks, words
 
 SAMPLE, TRAIN_CHARS, BUCKETS, MOST_DOMAINS, STEPS, PASSES, ENOUGH = 8192, 32_768, 4096, 64, 200, 24, 1e-4
 _MARK = np.ones(256, bool)
 _MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 9, 10, 11, 12, 13, 32]] = False
-COUNTS = 5
+COUNTS, ROWS = 5, 512  # dense features; rows whose word buckets are held at a time
 
 
 class Model(NamedTuple):
@@ -47,21 +49,26 @@ def _features(data: np.ndarray, offs: np.ndarray):
     n = np.diff(w.first)
     row = np.repeat(np.arange(len(n)), n)
     size = np.maximum(np.diff(offs), 1)
-    total = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][offs]) / size
-    same = np.zeros(len(n))
-    if len(w.hash) > 1:  # words that occur again in their row
-        order = np.lexsort((w.hash, row))
-        again = (w.hash[order][1:] == w.hash[order][:-1]) & (row[order][1:] == row[order][:-1])
-        same = np.bincount(row[order][1:][again], minlength=len(n)) / np.maximum(n, 1)
+    total = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), offs)) / size
+    same = again(row, w.hash, len(n)) / np.maximum(n, 1)  # words that occur again in their row
     dense = np.stack([4 * total(_MARK[data]), 4 * total((data >= 48) & (data < 58)), 4 * total(data >= 128), same,
                       np.log1p(n) / 8, np.ones(len(n))], axis=1)
     return n, dense, row, (mix(w.hash) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _bags(n, row, bucket) -> np.ndarray:
+    """How often each row has words of each bucket, over the root of its length."""
+    bags = np.bincount(row * BUCKETS + bucket, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS).astype(np.float32)
+    return bags / np.sqrt(np.maximum(n, 1), dtype=np.float32)[:, None]
+
+
 def _logits(model: Model, n, dense, row, bucket) -> np.ndarray:
     z = dense @ model.weights[BUCKETS:]
-    for d in range(z.shape[1]):
-        z[:, d] += np.bincount(row, model.weights[bucket, d], minlength=len(n)) / np.sqrt(np.maximum(n, 1))
+    words_of = np.searchsorted(row, np.arange(len(n) + 1))
+    for a in range(0, len(n), ROWS):
+        b = min(len(n), a + ROWS)
+        at = slice(words_of[a], words_of[b])
+        z[a:b] += _bags(n[a:b], row[at] - a, bucket[at]) @ model.weights[:BUCKETS].astype(np.float32)
     return z
 
 
@@ -80,11 +87,11 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     row, bucket = np.concatenate([b[2] + s for b, s in zip(blocks, start, strict=True)]), np.concatenate([b[3] for b in blocks])
     model = Model(domains, np.zeros((BUCKETS + COUNTS + 1, len(domains))))
     w, m, v = model.weights, np.zeros_like(model.weights), np.zeros_like(model.weights)
-    share = 1 / np.sqrt(np.maximum(n, 1))[row]
-    hot = np.eye(len(domains))[y]
+    bags, hot = _bags(n, row, bucket), np.eye(len(domains))[y]  # made once: at most SAMPLE rows of BUCKETS numbers
     for step in range(1, STEPS + 1):
-        g = (_softmax(_logits(model, n, dense, row, bucket)) - hot) / len(y)
-        grad = np.concatenate([np.stack([np.bincount(bucket, g[row, d] * share, minlength=BUCKETS) for d in range(len(domains))], axis=1), dense.T @ g]) + 1e-4 * w
+        z = dense @ w[BUCKETS:] + bags @ w[:BUCKETS].astype(np.float32)
+        g = (_softmax(z) - hot) / len(y)
+        grad = np.concatenate([(g.T.astype(np.float32) @ bags).T, dense.T @ g]) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
     return model
@@ -122,7 +129,8 @@ def learn(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     if picked is not None:
         picked = written(picked, "label-sample")
         rows = (df.select(F.col(id_col).alias("id"), F.substring(text_or_empty(text_col), 1, TRAIN_CHARS).alias("t"))
-                .join(F.broadcast(picked), "id").select("t", "y", "n"))
+                .join(F.broadcast(picked), "id")
+                .groupBy("id", "y", "n").agg(F.min("t").alias("t")).select("t", "y", "n"))  # one row per id, so the bound holds for rows
         got = sorted(rows.repartition(1).mapInArrow(_fit_rows, "domain string, weights binary").collect())
     if not got:
         return Model(["all"], np.zeros((BUCKETS + COUNTS + 1, 1)))
@@ -150,7 +158,7 @@ def _narrow(model):
     def run(batches):
         for b in batches:
             n, p = _posteriors(b.column("t"), model.value)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["n", "p"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["id", "u", "n", "p"])
     return run
 
 
@@ -173,19 +181,24 @@ class Mix(NamedTuple):
     target: np.ndarray  # tokens
     reached: np.ndarray
     objective: list[float]
+    table: DataFrame  # (id, u, n, p) of every row the rates were fitted on
+    settled: bool  # the targets are reached, or no step lowers the sum any more
 
 
 def fit_rates(df: DataFrame, model: Model, power: float = 0.5, weights: dict[str, float] | None = None, base: float = 1.0,
-              text_col: str = "text") -> Mix:
-    """Rates for target weights: those given, or each domain's share to the ``power``."""
+              text_col: str = "text", id_col: str = "doc_id") -> Mix:
+    """Rates for target weights: those given, or each domain's share to the ``power``. At most PASSES steps; ``settled`` says whether
+    they sufficed."""
     if weights is not None and (unknown := set(weights) - set(model.domains)):
         raise ValueError(f"targets for unknown domains: {sorted(unknown)}")
     shared = df.sparkSession.sparkContext.broadcast(model)
     d = len(model.domains)
-    table = written(df.select(text_or_empty(text_col).alias("t")).mapInArrow(_narrow(shared), "n long, p array<double>"), "posteriors")
+    t = text_or_empty(text_col)
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), t).alias("u"), t.alias("t"))
+    table = written(rows.mapInArrow(tidy(_narrow(shared)), f"id {rows.schema['id'].dataType.simpleString()}, u long, n long, p array<double>"), "posteriors")
 
     def sums(steps, square=False):
-        rows = table.mapInArrow(_sums(d, steps, base if steps or base else 1.0, square), "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
+        rows = table.select("n", "p").mapInArrow(_sums(d, steps, base if steps or base else 1.0, square), "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
         out = np.zeros(d + d * d * square)
         for r in rows:
             out[r["slot"]] = r["value"]
@@ -202,33 +215,57 @@ def fit_rates(df: DataFrame, model: Model, power: float = 0.5, weights: dict[str
     now = now if base else np.zeros(d)
     inverse = np.linalg.inv(m + np.eye(d) * (1e-9 * max(1.0, np.trace(m))))
     steps, objective = [], [float((now - target) @ inverse @ (now - target))]
-    while len(steps) < PASSES and objective[-1] > 0:
+    settled = objective[-1] == 0
+    while len(steps) < PASSES and not settled:
         steps.append(inverse @ (now - target))
         now = sums(steps)
         objective.append(float((now - target) @ inverse @ (now - target)))
-        if np.abs(now - target).max() <= ENOUGH * target.sum() or objective[-2] - objective[-1] <= 1e-9 * objective[0]:
-            break
-    return Mix(model, steps, base, target, now, objective)
+        settled = np.abs(now - target).max() <= ENOUGH * target.sum() or objective[-2] - objective[-1] <= 1e-9 * objective[0]
+    return Mix(model, steps, base, target, now, objective, table, bool(settled))
+
+
+def _outcome(names, steps, base, n, p) -> list[pa.Array]:
+    """Tokens, likeliest domain and rate."""
+    rate = np.where(n > 0, base + extra(p, steps), base)
+    return [pa.array(n, pa.int64()), pa.array([names[k] for k in p.argmax(axis=1)], pa.string()), pa.array(rate, pa.float64())]
+
+
+OUTCOME = [StructField("n_tokens", LongType()), StructField("domain", StringType()), StructField("rate", DoubleType())]
 
 
 def _rates(model, steps, base, passed: list[str]):
     def run(batches):
-        names = model.value.domains
         for b in batches:
             n, p = _posteriors(b.column("t"), model.value)
-            rate = np.where(n > 0, base + extra(p, steps), base)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), pa.array(n, pa.int64()), pa.array([names[k] for k in p.argmax(axis=1)], pa.string()),
-                                              pa.array(rate, pa.float64())], [*passed, "n_tokens", "domain", "rate"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), *_outcome(model.value.domains, steps, base, n, p)], [*passed, "n_tokens", "domain", "rate"])
     return run
 
 
+def _known_rates(names, steps, base):
+    def run(batches):
+        for b in batches:
+            p = b.column("p").flatten().to_numpy().reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), *_outcome(names, steps, base, b.column("n").to_numpy(), p)],
+                                             ["id", "u", "n_tokens", "domain", "rate"])
+    return run
+
+
+def _copies(out: DataFrame) -> DataFrame:
+    draw = F.pmod("u", F.lit(1 << 30)) / float(1 << 30)
+    return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")).drop("u")
+
+
 def _with_rates(rows: DataFrame, mix_: Mix, passed: list[str]) -> DataFrame:
     """``rows`` (with the text as t and a hash as u): the passed columns, tokens, likeliest domain, rate and copies."""
     shared = rows.sparkSession.sparkContext.broadcast(mix_.model)
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*passed, "u"])
-    out = rows.mapInArrow(_rates(shared, mix_.steps, mix_.base, [*passed, "u"]), f"{kinds}, n_tokens long, domain string, rate double")
-    draw = F.pmod("u", F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")).drop("u")
+    kinds = StructType([rows.schema[c] for c in [*passed, "u"]] + OUTCOME)
+    return _copies(rows.mapInArrow(tidy(_rates(shared, mix_.steps, mix_.base, [*passed, "u"])), kinds))
+
+
+def fitted_rates(mix_: Mix, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, domain, rate, copies) of every row the rates were fitted on, from what that pass stored: no text is read again."""
+    kinds = StructType([mix_.table.schema["id"], mix_.table.schema["u"], *OUTCOME])
+    return _copies(mix_.table.mapInArrow(_known_rates(mix_.model.domains, mix_.steps, mix_.base), kinds)).withColumnRenamed("id", id_col)
 
 
 def rate_rows(df: DataFrame, mix_: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

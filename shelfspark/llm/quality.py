@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import text_or_empty, written
-from shelfspark.llm.text_hash import grams, mix, row_chunks, words
+from shelfspark.llm.common import text_or_empty, tidy, written
+from shelfspark.llm.text_hash import again, grams, mix, row_chunks, words
 
 SAMPLE, TRAIN_CHARS, BUCKETS, STEPS, RIDGE = 6144, 32_768, 256, 300, 1e-3
 RISES = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7)
@@ -55,14 +55,6 @@ class Model(NamedTuple):
     prior: float
 
 
-def _again(row: np.ndarray, key: np.ndarray, rows: int, n: np.ndarray) -> np.ndarray:
-    """Share, by row, of the keys that occurred before in their row."""
-    bits = np.uint64(max(1, rows).bit_length())
-    both = np.sort(row.astype(np.uint64) << (np.uint64(64) - bits) | key >> bits)
-    same = both[1:][both[1:] == both[:-1]] >> (np.uint64(64) - bits)
-    return np.bincount(same.astype(np.int64), minlength=rows) / np.maximum(n, 1)
-
-
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """One row of features for each text."""
     w = words(data, offs, lower=True)
@@ -70,11 +62,11 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(rows), n)
     shares = [np.diff(np.searchsorted(np.flatnonzero(c[data]), offs)) / size for c in _CLASSES]
     per_word = lambda hit, at=row: np.bincount(at[hit], minlength=rows) / np.maximum(n, 1)
-    shares.append(_again(row, w.hash, rows, n) if len(row) else np.zeros(rows))
+    shares.append(again(row, w.hash, rows) / np.maximum(n, 1))
     for m in (2, 4):
         g = grams(w.hash, m) if len(row) >= m else w.hash[:0]
         whole = row[:len(g)] == row[m - 1:m - 1 + len(g)]
-        shares.append(_again(row[:len(g)][whole], g[whole], rows, n))
+        shares.append(again(row[:len(g)][whole], g[whole], rows) / np.maximum(n, 1))
     shares.append(per_word((w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1]), row[1:]))  # as the word before
     shares.append(per_word(_ODD_MARK[data[w.end - 1]] if len(row) else np.zeros(0, bool)))  # ends in a mark that ends no sentence
     shares.append(per_word((w.end - w.start == 1) & _ODD_MARK[data[w.start]] if len(row) else np.zeros(0, bool)))  # is a mark
@@ -181,7 +173,7 @@ def score_rows(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(id, score), one row per row of ``df``: the chance that the text is of good quality."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
-    return (rows.mapInArrow(_scores(shared), f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return (rows.mapInArrow(tidy(_scores(shared)), f"id {rows.schema['id'].dataType.simpleString()}, score double")
             .withColumnRenamed("id", id_col))
 
 

@@ -110,6 +110,14 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     return Words(np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offs, "left"), data)
 
 
+def again(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+    """How many keys of each row occurred before in it (by as many bits as the row number leaves)."""
+    bits = np.uint64(max(1, rows).bit_length())
+    both = np.sort(row.astype(np.uint64) << (np.uint64(64) - bits) | key >> bits)
+    same = both[1:][both[1:] == both[:-1]] >> (np.uint64(64) - bits)
+    return np.bincount(same.astype(np.int64), minlength=rows)
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` values; one shorter sequence counts as a whole, none as nothing."""
     m = min(n, len(h))
