@@ -18,7 +18,7 @@ Before a shuffle each flush of a task does steps 1 and 3 for itself (and, of len
 earliest copy moves on. So a passage that a third of all documents share sends one segment per flush, not one per document.
 Texts move only for documents with a repeated anchor, or a repeat, found by a bounded Bloom bitmap.
 
-Null and empty texts have no words; texts shorter than a window keep all; a null id is later than any other. Rows with
+Null and empty texts have no words; texts shorter than a window keep all; a null id, or one that is no integer, is later than any other. Rows with
 equal id and equal text are the same document and are judged alike; different texts under one id order by content hash.
 An empty table gives an empty result; extra columns are ignored.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.bitfilter import flag, key_bits, size_bits
-from shelfspark.llm.common import text_or_empty, written
+from shelfspark.llm.common import text_or_empty, tidy, written
 from shelfspark.llm.packed import BIN_BYTES, bin_count, runs, text_bytes
 from shelfspark.llm.text_hash import Words, grams, mix, row_chunks, words
 
@@ -338,14 +338,14 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), t).alias("rk"), t.alias("t"))
     size = text_bytes(rows, "t")
     bins = bin_count(size)
-    found = rows.select("rk", "t").mapInArrow(_find_anchors(window, prefix, bins), MOVED)
+    found = rows.select("rk", "t").mapInArrow(tidy(_find_anchors(window, prefix, bins)), MOVED)
     shared = found.groupBy("bin").applyInArrow(lambda table: _repeated_anchors(table, most), "rk long, pos long")
     shared = written(shared.groupBy("rk").agg(F.collect_set("pos").alias("pos")), "anchors")  # no more than a row's words
     # each large prefix has BIN_BYTES of segments, so they are fewer than one for every few megabytes of text
     large = np.sort(np.array([x for r in shared.where("rk is null").collect() for x in r["pos"]], np.int64).view(np.uint64))
     shared = shared.where("rk is not null")
-    some = _rows_in(rows, shared).withColumn("ord", F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)))
-    cut = some.select("rk", "t", "ord", "pos").mapInArrow(_cut_segments(window, prefix, 4 * bins, large), MOVED)
+    some = _rows_in(rows, shared).withColumn("ord", F.coalesce(F.expr("try_cast(id as bigint)"), F.lit((1 << 63) - 1)))
+    cut = some.select("rk", "t", "ord", "pos").mapInArrow(tidy(_cut_segments(window, prefix, 4 * bins, large)), MOVED)
     out = written(cut.groupBy("bin").applyInArrow(_repeats_of_bin(window), "rk long, a long, b long"), "repeats")
     return rows, out
 
@@ -367,5 +367,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged = (flagged.where("not hit").select("id", "t", none)
               .unionByName(flagged.where("hit").join(spans, "rk", "left").select("id", "t", "spans")))
     kind = rows.schema["id"].dataType.simpleString()
-    out = judged.mapInArrow(_remove(window), f"id {kind}, n_words long, n_removed long, kept binary")
+    out = judged.mapInArrow(tidy(_remove(window)), f"id {kind}, n_words long, n_removed long, kept binary")
     return out.withColumnRenamed("id", id_col)
