@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +17,31 @@ from shelfspark.session import ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]"
 #: A key's share of all rows from which its rows are joined by broadcast: at most this many keys can have it.
 HOT_KEYS = 1024
+#: Rows of a batch that travels between the JVM and Python: whole texts are in them, so it is what a worker and its buffers hold at a time.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hand unused memory of this Python worker back: an idle worker would keep what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(fn):
+    """A batch function that gives memory back at its end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+    return run
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -26,6 +49,7 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     The folder goes when the session's file system closes.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

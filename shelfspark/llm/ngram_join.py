@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.bitfilter import flag, key_bits, size_bits
-from shelfspark.llm.common import join_groups, packed as packed_row, text_or_empty, written
+from shelfspark.llm.common import join_groups, packed as packed_row, text_or_empty, tidy, written
 from shelfspark.llm.components import components
 from shelfspark.llm.packed import PACKED, Packer, bin_count, by_bin, runs, text_bytes
 from shelfspark.llm.text_hash import grams, mix, row_chunks, words
@@ -123,7 +123,7 @@ def _signatures(n: int, bands: Bands):
 
 def _keys(n: int, bands: Bands, bins: int):
     def run(batches):
-        packer = Packer(bins)
+        packer = Packer(bins, distinct=True)
         for b in batches:
             for s in sets_of(b.column("t"), n):
                 if len(s):
@@ -217,13 +217,13 @@ class NgramJoin:
         # rk names a row by its content, so that a row is found again without an id of its own
         self.df = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), t).alias("rk"), t.alias("t"))
         kind = self.df.schema["id"].dataType.simpleString()
-        self.rows = written(self.df.mapInArrow(_signatures(n, self.bands), f"id {kind}, rk long, node long, n long, "
+        self.rows = written(self.df.mapInArrow(tidy(_signatures(n, self.bands)), f"id {kind}, rk long, node long, n long, "
                                                "sketch array<struct<band:int,bits:binary>>"), "sets")
         self.comps = self._components()
 
     def _components(self) -> DataFrame:
         bins = bin_count(text_bytes(self.df, "t"))
-        keys = self.df.select("t").mapInArrow(_keys(self.n, self.bands, bins), PACKED)
+        keys = self.df.select("t").mapInArrow(tidy(_keys(self.n, self.bands, bins)), PACKED)
         shared = written(by_bin(keys, KEY, _shared, "key long, node long, hub long"), "shared-keys")
         star = shared.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
         nodes = written(shared.select("node").distinct().join(
@@ -283,7 +283,7 @@ class NgramJoin:
 
     def _sketched(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(x + "n"), F.col("sketch").alias(x + "s"))
-        return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_filter_pairs(self.bands), "u long, v long")
+        return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(tidy(_filter_pairs(self.bands)), "u long, v long")
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs that link, by their texts. Rows outside the bitmap of the rows wanted never shuffle."""
@@ -295,7 +295,7 @@ class NgramJoin:
         texts = texts.select("rk", "t").join(wanted, "rk").groupBy("node").agg(F.first("t").alias("t"))
         side = lambda x: texts.select(F.col("node").alias(x), F.col("t").alias(x + "t"))
         return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "ut", "vt").mapInArrow(
-            _verify(self.n, self.bands.percent), "u long, v long")
+            tidy(_verify(self.n, self.bands.percent)), "u long, v long")
 
     def report(self) -> DataFrame:
         """(id, rk, n, first): ``first`` is the smallest (id, rk) that links reach; nulls last."""

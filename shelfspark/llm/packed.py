@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.llm.common import give_back
+
 BIN_BYTES, FLUSH_BYTES = 16 << 20, 16 << 20
 
 
@@ -24,8 +26,8 @@ def bin_count(n_bytes: int, least: int = 16) -> int:
 class Packer:
     """Gathers structured arrays with their bins; gives record batches (bin, payload) when there is enough."""
 
-    def __init__(self, bins: int):
-        self.bins, self.parts, self.size = bins, [], 0
+    def __init__(self, bins: int, distinct: bool = False):
+        self.bins, self.parts, self.size, self.distinct = bins, [], 0, distinct
 
     def add(self, key: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         """``key``: 64-bit hashes that choose the bins of ``values``."""
@@ -41,6 +43,9 @@ class Packer:
         bins = np.concatenate([b for b, _ in self.parts])
         values = np.concatenate([v for _, v in self.parts])
         self.parts, self.size = [], 0
+        if self.distinct:  # equal values, as copies give them, travel once a flush
+            values, at = np.unique(values, return_index=True)
+            bins = bins[at]
         order = np.argsort(bins, kind="stable")
         bins, values = bins[order], values[order]
         cut = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
@@ -57,7 +62,10 @@ def by_bin(packed: DataFrame, dtype: np.dtype, fn: Callable, schema: str) -> Dat
     """Apply ``fn(values) -> dict of arrays`` to all the values of each bin."""
     def run(table: pa.Table) -> pa.Table:
         values = np.frombuffer(b"".join(table.column("payload").to_pylist()), dtype)
-        return pa.table(fn(values))
+        out = pa.table(fn(values))
+        del values
+        give_back()
+        return out
     return packed.groupBy("bin").applyInArrow(run, schema)
 
 

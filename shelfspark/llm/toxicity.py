@@ -8,7 +8,7 @@ sentence scores locate the offending sentences.
 
 A null or empty text has no sentence and scores 0. Labels that are null or whose row is missing are not learnt from; a
 row labelled twice counts as toxic if any label says so. Without rows of both labels every score is 0. Repeated rows,
-null ids and extra columns change nothing.
+null ids and extra columns change nothing; ties in id hashes go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import packed, text_or_empty, written
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from shelfspark.llm.common import packed, text_or_empty, tidy, written
 
 SAMPLE, TRAIN_CHARS, LEAST_DOCS, LEAST_CHI2, RIDGE, STEPS = 4096, 32_768, 4, 10.83, 2e-4, 300
 MAX_WORDS, LONG_TEXT = 200_000, 1 << 20
@@ -180,7 +182,8 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return {}
     picked = written(picked, "label-sample")
     rows = (df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
-            .where(F.char_length("t") <= TRAIN_CHARS).join(F.broadcast(picked), "id").select("t", "y", "n"))
+            .where(F.char_length("t") <= TRAIN_CHARS).join(F.broadcast(picked), "id")
+            .groupBy("id", "y", "n").agg(F.min("t").alias("t")).select("t", "y", "n"))  # one row per id, so the bound holds for rows
     return {r["word"]: r["weight"] for r in rows.repartition(1).mapInArrow(_fit_rows, "word string, weight double").collect()}
 
 
@@ -204,7 +207,7 @@ def score_rows(df: DataFrame, model: dict[str, float], id_col: str = "doc_id", t
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most the words of the bounded sample
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     out = "score double" + ", sentences array<struct<start:int,end:int,score:double>>" * spans
-    return rows.mapInArrow(_scorer(shared, spans), f"id {rows.schema['id'].dataType.simpleString()}, {out}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_scorer(shared, spans)), f"id {rows.schema['id'].dataType.simpleString()}, {out}").withColumnRenamed("id", id_col)
 
 
 def _scored_rows(model, text_col: str):
@@ -220,7 +223,7 @@ def drop_toxic(df: DataFrame, model: dict[str, float], text_col: str = "text", t
     """The rows of ``df`` that score below the threshold, with its columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(packed(df))
-    scored = rows.mapInArrow(_scored_rows(shared, text_col), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    scored = rows.mapInArrow(tidy(_scored_rows(shared, text_col)), StructType([rows.schema["row"], StructField("score", DoubleType())]))
     return scored.where(F.col("score") < threshold).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
