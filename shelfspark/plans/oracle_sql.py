@@ -497,3 +497,57 @@ SQL["negative_sample_counts"] = with_(TXN, OWNED, "n AS (SELECT count(DISTINCT p
 SELECT customer_id, 4 * count(*) AS n_negatives, 0 AS n_owned FROM owned, n GROUP BY customer_id, n.n HAVING count(*) < n.n"""
 SQL["csv_transactions"] = with_(TXN) + """SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows, round(sum(quantity), 6) AS quantity,
   round(sum(price), 6) AS price, count(DISTINCT customer_id) AS n_customers FROM txn GROUP BY 1"""
+
+
+def _tiny(k):
+    return repr(((k * 37 + 11) % 101) / 101 - 0.5)
+
+
+# one turn of a block rotation: customers and products numbered in order, 4 blocks, product block one after the customer's
+_NUMBERED = ("c AS (SELECT customer_id, row_number() OVER (ORDER BY customer_id) - 1 AS u FROM (SELECT DISTINCT customer_id FROM owned))",
+             "i AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS x FROM (SELECT DISTINCT product_id FROM owned))")
+SQL["bpr_stratum"] = with_(TXN, OWNED, *_NUMBERED,
+    "b AS (SELECT product_id, x, x % 4 AS blk, x // 4 AS place FROM i)",
+    "nb AS (SELECT blk, count(*) AS n FROM b GROUP BY 1)",
+    "o AS (SELECT customer_id, u, product_id, x, blk, place, place - (row_number() OVER (PARTITION BY u ORDER BY place) - 1) AS gap FROM owned JOIN c USING (customer_id) JOIN b USING (product_id) WHERE blk = (u % 4 + 1) % 4)",
+    "fr AS (SELECT u, any_value(nb.n) - count(*) AS free FROM o JOIN nb USING (blk) GROUP BY u)",
+    "d AS (SELECT customer_id, u, product_id, blk, (u * 7 + x * 13) % free AS r FROM o JOIN fr USING (u) WHERE free > 0)",
+    "n AS (SELECT customer_id, product_id, blk, d.r + (SELECT count(*) FROM o WHERE o.u = d.u AND o.gap <= d.r) AS place FROM d)",
+    "t AS (SELECT n.customer_id, n.product_id, b.product_id AS neg FROM n JOIN b USING (blk, place))",
+    "f AS (SELECT *, " + ", ".join(f"{_F('customer_id', k)} AS p{k}, {_F('product_id', k)} AS q{k}, {_F('neg', k)} AS r{k}" for k in range(4)) + " FROM t)",
+    f"s AS (SELECT *, 1.0 / (1.0 + exp({_DOT})) AS g FROM f)",
+    "m AS (SELECT 0 AS side, customer_id AS original, " + ", ".join(f"g * (q{k} - r{k}) - 0.01 * p{k} AS g{k}" for k in range(4)) + " FROM s"
+    " UNION ALL SELECT 1, product_id, " + ", ".join(f"g * p{k} - 0.01 * q{k}" for k in range(4)) + " FROM s"
+    " UNION ALL SELECT 1, neg, " + ", ".join(f"-g * p{k} - 0.01 * r{k}" for k in range(4)) + " FROM s)",
+    f"a AS (SELECT side, original, count(*) AS n, {_MEAN} FROM m GROUP BY 1, 2)",
+    "e AS (SELECT 0 AS side, customer_id AS original FROM c UNION ALL SELECT 1, product_id FROM i)") + "SELECT side, original, " + ", ".join(
+    f"round({_F('original', k)} + coalesce(0.1 * n / (1 + 0.1 * n) * g{k}, 0), 6) AS f{k}" for k in range(4)) + " FROM e LEFT JOIN a USING (side, original)"
+
+# weights in order: 4 x 3, 3, 3 x 2, 2, 2, 1
+SQL["scorer_gradients"] = with_(TXN, OWNED, *_NUMBERED,
+    "x AS (SELECT customer_id, CAST((u + x) % 2 AS DOUBLE) AS y, " + ", ".join(f"{_F('customer_id', k)} AS x{k}, {_F('product_id', k)} AS x{k + 2}" for k in range(2))
+    + " FROM owned JOIN c USING (customer_id) JOIN i USING (product_id))",
+    "l1 AS (SELECT *, " + ", ".join("greatest(0, " + " + ".join(f"x{k} * ({_tiny(k * 3 + a)})" for k in range(4)) + f" + ({_tiny(12 + a)})) AS h{a}" for a in range(3)) + " FROM x)",
+    "l2 AS (SELECT *, " + ", ".join("greatest(0, " + " + ".join(f"h{a} * ({_tiny(15 + a * 2 + b)})" for a in range(3)) + f" + ({_tiny(21 + b)})) AS k{b}" for b in range(2)) + " FROM l1)",
+    f"l3 AS (SELECT *, k0 * ({_tiny(23)}) + k1 * ({_tiny(24)}) + ({_tiny(25)}) AS z FROM l2)",
+    "dz AS (SELECT *, 1.0 / (1.0 + exp(-z)) - y AS dz FROM l3)",
+    "d2 AS (SELECT *, " + ", ".join(f"CASE WHEN k{b} > 0 THEN dz * ({_tiny(23 + b)}) ELSE 0 END AS e{b}" for b in range(2)) + " FROM dz)",
+    "d1 AS (SELECT *, " + ", ".join(f"CASE WHEN h{a} > 0 THEN " + " + ".join(f"e{b} * ({_tiny(15 + a * 2 + b)})" for b in range(2)) + f" ELSE 0 END AS d{a}" for a in range(3)) + " FROM d2)") + (
+    "SELECT customer_id, " + ", ".join("round(sum(" + " + ".join(f"d{a} * ({_tiny(k * 3 + a)})" for a in range(3)) + f"), 6) AS g{k}" for k in range(2))
+    + ", round(sum(ln(1 + exp(z)) - y * z), 6) AS loss FROM d1 GROUP BY customer_id")
+
+_REPLACED = "('segment:AUTOMOBILE', 'segment:BUILDING', 'segment:MACHINERY')"
+SQL["upsert_keys"] = (f"SELECT list_key, rank, product_id, score FROM ({SQL['popular_recency']}) UNION ALL "
+                      f"SELECT list_key, rank, product_id, score FROM ({SQL['popular_recency_by_segment']}) WHERE list_key NOT IN {_REPLACED} UNION ALL "
+                      f"SELECT list_key, rank, product_id, score FROM ({SQL['popular_trending_by_segment']}) WHERE list_key IN {_REPLACED}")
+_ASKED = "(-1, 1, 2, 4, 5, 7, 8, 10, 11)"
+SQL["lookup_personalized"] = (f"SELECT customer_id, rank, product_id, source FROM ({SQL['serve_personalized_gated']}) WHERE customer_id IN {_ASKED} UNION ALL "
+                              f"SELECT -1, rank, product_id, 'popularity_fallback' FROM ({SQL['popular_recency']})")
+SQL["lookup_fbt"] = f"SELECT * FROM ({SQL['serve_fbt']}) WHERE product_id IN {_ASKED}"
+SQL["lookup_popular"] = (f"SELECT segment, rank, product_id, source FROM ({SQL['serve_popular']}) WHERE segment IN ('BUILDING', 'HOUSEHOLD') UNION ALL "
+                         f"SELECT 'NONE', rank, product_id, 'overall_fallback' FROM ({SQL['popular_recency']})")
+SQL["export_personalized"] = (f"SELECT customer_id, string_agg(CAST(product_id AS VARCHAR), ', ' ORDER BY rank) AS recommendations "
+                              f"FROM ({SQL['item_cf_topk_gated']}) GROUP BY customer_id")
+SQL["export_popular"] = ("SELECT list_key, string_agg(CAST(product_id AS VARCHAR), ', ' ORDER BY rank) AS recommendations FROM ("
+                         f"SELECT list_key, rank, product_id FROM ({SQL['popular_recency']}) UNION ALL SELECT list_key, rank, product_id FROM ({SQL['popular_recency_by_segment']})) GROUP BY list_key")
+SQL["stored_metrics"] = f"SELECT * REPLACE ('run-b' AS run_id) FROM ({SQL['run_metrics']})"

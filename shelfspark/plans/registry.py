@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators import (baskets, content, evaluate, factorization, features, interactions, item_cf,
-                                  popular, profile, rerank)
-from shelfspark.sources import results
+from shelfspark.operators import (baskets, bpr, content, evaluate, factorization, features, interactions, item_cf,
+                                  neural, popular, profile, rerank, strata)
+from shelfspark.session import stored
+from shelfspark.sources import keyed, results
 from shelfspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,17 +429,13 @@ def q_rank_metrics(spark, sf):
 @register("rerank_train")
 def q_rerank_train(spark, sf):
     """Fit the re-rank scorer; report per label the rows and mean predicted probability of a purchase."""
-    from pyspark.ml.functions import vector_to_array
-
     t = _all(spark, sf)
     inter = factorization.Interactions(t.transactions)
-    model = factorization.train_als(inter)
-    scorer, side = rerank.train_scorer(inter, model, t)
-    pos = inter.counts.select("uid", "iid", F.lit(1.0).alias("label"))
-    neg = rerank.negative_samples(inter).withColumn("label", F.lit(0.0))
-    scored = scorer.transform(rerank._feature_frame(pos.unionByName(neg), model, inter, *side))
-    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
-                                       F.avg(vector_to_array("probability")[1]).alias("mean_p_purchase"))
+    scorer = rerank.train_scorer(inter, t)
+    pos = inter.counts.select("uid", "iid").withColumn("label", F.lit(1.0))
+    rows = stored(pos.unionByName(rerank.negative_samples(inter).withColumn("label", F.lit(0.0))), "labelled")
+    scored = rows.join(neural.score(rows.select("uid", "iid").distinct(), scorer), ["uid", "iid"])
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(1 / (1 + F.exp(-F.col("nn_score")))).alias("mean_p_purchase"))
 
 
 # ---------------------------------------------------------------- rules and pairs on products; gated item-CF; sub-day times
@@ -545,3 +542,136 @@ def q_csv_transactions(spark, sf):
     return (txn.groupBy(F.to_date("timestamp").alias("day"))
             .agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("quantity"), 6).alias("quantity"), F.round(F.sum("price"), 6).alias("price"),
                  F.count_distinct("customer_id").alias("n_customers")))
+
+
+@register("bpr_stratum")
+def q_bpr_stratum(spark, sf):
+    """One turn of the block rotation (4 blocks, turn 1), a batch a cell, from factors and draws fixed by formula."""
+    inter = factorization.Interactions(T.tpch_transactions(spark, sf))
+    pos, blocks = inter.counts.select("uid", "iid", "customer_id", "product_id"), 4
+    users, items = pos.select("uid", "customer_id").distinct(), pos.select("iid", "product_id").distinct()
+    state = (strata.side_rows(_fixed_factors(users, "uid", "customer_id"), "id", "features", strata.CUSTOMER, blocks)
+             .unionByName(strata.side_rows(_fixed_factors(items, "iid", "product_id"), "id", "features", strata.PRODUCT, blocks)))
+
+    def step(cell):
+        owned = strata.Owned(cell.u, cell.i, len(cell.uid), len(cell.iid))
+        able = owned.free[cell.u] > 0
+        u, i = cell.u[able], cell.i[able]
+        r = (cell.uid[u].astype("int64") * 7 + cell.iid[i] * 13) % owned.free[u]
+        bpr.step(cell.users, cell.items, u, i, owned.unowned(u, r), 0.1, 0.01)
+
+    new = strata.Strata(pos, blocks).meet(state, 1, step)
+    names = (users.select(F.lit(0).alias("side"), F.col("uid").alias("id"), F.col("customer_id").alias("original"))
+             .unionByName(items.select(F.lit(1).alias("side"), F.col("iid").alias("id"), F.col("product_id").alias("original"))))
+    return new.join(names, ["side", "id"]).select("side", "original", *[F.round(F.col("state")[k], 6).alias(f"f{k}") for k in range(4)])
+
+
+#: A network of two-number embeddings and hidden layers of 3 and 2, its weights fixed by formula.
+TINY = neural.Shape(2, 0, 0, (3, 2))
+TINY_NET = [((k * 37 + 11) % 101) / 101 - 0.5 for k in range(TINY.size())]
+
+
+@register("scorer_gradients")
+def q_scorer_gradients(spark, sf):
+    """The loss of each customer's purchases (labels by formula) and its gradient by the embedding, summed over the cells of all turns."""
+    import numpy as np
+
+    inter = factorization.Interactions(T.tpch_transactions(spark, sf))
+    pos, blocks = inter.counts.select("uid", "iid", "customer_id", "product_id"), 4
+    users, items = pos.select("uid", "customer_id").distinct(), pos.select("iid", "product_id").distinct()
+    state = (strata.side_rows(_fixed_factors(users, "uid", "customer_id", 2), "id", "features", strata.CUSTOMER, blocks)
+             .unionByName(strata.side_rows(_fixed_factors(items, "iid", "product_id", 2), "id", "features", strata.PRODUCT, blocks)))
+
+    def step(cell):
+        if not len(cell.u):
+            return None
+        y = ((cell.uid[cell.u] + cell.iid[cell.i]) % 2).astype(float)
+        x = np.concatenate([cell.users[cell.u], cell.items[cell.i]], axis=1)
+        _, by_input, _ = neural.backward(TINY, np.array(TINY_NET), x, y)
+        z, _, _ = neural.forward(TINY, np.array(TINY_NET), x)
+        row, total, _ = strata.added(cell.u, np.column_stack([by_input[:, :2], np.logaddexp(0, z) - y * z]))
+        return [(strata.REPORT, np.column_stack([cell.uid[row], total]))]
+
+    cut = strata.Strata(pos, blocks)
+    told = [cut.meet(state, s, step).where(F.col("side") == strata.REPORT) for s in range(blocks)]
+    rows = functools.reduce(DataFrame.unionByName, told).select(F.col("state")[0].cast("int").alias("uid"), *[F.col("state")[k + 1].alias(c) for k, c in enumerate(("g0", "g1", "loss"))])
+    return (rows.groupBy("uid").agg(*[F.round(F.sum(c), 6).alias(c) for c in ("g0", "g1", "loss")]).join(users, "uid")
+            .select("customer_id", "g0", "g1", "loss"))
+
+
+# ---------------------------------------------------------------- tables by key (S9, S12-S14), export and stored metrics
+
+#: Lists that a second write replaces.
+REPLACED = ("segment:AUTOMOBILE", "segment:BUILDING", "segment:MACHINERY")
+
+
+@register("upsert_keys")
+def q_upsert_keys(spark, sf):
+    """The popular lists as a run, then a second write that replaces three lists by their trending ones, twice (a retry)."""
+    t, base = _core(spark, sf), _scratch(spark, "keyed")
+    kept = keyed.KeyedTable(spark, base, "popular", "r1", "list_key", buckets=4)
+    kept.replace(popular.popular_recency(t))
+    new = popular.popular_trending(t, overall=False).where(F.col("list_key").isin(*REPLACED))
+    for _ in range(2):
+        kept.upsert(new)
+    return keyed.KeyedTable(spark, base, "popular", "r1", "list_key", buckets=4).read()
+
+
+#: What the lookups ask for: some customers, products and segments, known ones and unknown ones.
+ASKED_IDS, ASKED_SEGMENTS = (-1, 1, 2, 4, 5, 7, 8, 10, 11), ("BUILDING", "HOUSEHOLD", "NONE")
+
+
+def _asked(spark, name, values):
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+
+
+@register("lookup_personalized")
+def q_lookup_personalized(spark, sf):
+    """S12 by key: a few customers out of the stored lists of all."""
+    t, base = _core(spark, sf), _scratch(spark, "keyed")
+    lists = keyed.KeyedTable(spark, base, "personalized", "r1", "customer_id")
+    lists.replace(item_cf.item_cf_topk(t.transactions, max_items=GATE))
+    top = keyed.KeyedTable(spark, base, "popular", "r1", "list_key")
+    top.replace(popular.popular_recency(t, segments=False))
+    return keyed.get_personalized(_asked(spark, "customer_id", ASKED_IDS).select(F.col("customer_id").cast("long").alias("customer_id")), lists, top)
+
+
+@register("lookup_fbt")
+def q_lookup_fbt(spark, sf):
+    """S13 by key: a few products out of the stored lists of all."""
+    t, base = _core(spark, sf), _scratch(spark, "keyed")
+    lists = keyed.KeyedTable(spark, base, "fbt", "r1", "item")
+    lists.replace(baskets.fbt_cooccurrence(t))
+    return keyed.get_fbt(_asked(spark, "product_id", ASKED_IDS).select(F.col("product_id").cast("long").alias("product_id")), lists)
+
+
+@register("lookup_popular")
+def q_lookup_popular(spark, sf):
+    """S14 by key: a few segments, one of them unknown."""
+    t, base = _core(spark, sf), _scratch(spark, "keyed")
+    lists = keyed.KeyedTable(spark, base, "popular", "r1", "list_key")
+    lists.replace(popular.popular_recency(t))
+    return keyed.get_popular(_asked(spark, "segment", ASKED_SEGMENTS), lists)
+
+
+@register("export_personalized")
+def q_export_personalized(spark, sf):
+    """S15 of the personalized table."""
+    return results.export_flat(item_cf.item_cf_topk(T.tpch_transactions(spark, sf), max_items=GATE), "customer_id", "product_id")
+
+
+@register("export_popular")
+def q_export_popular(spark, sf):
+    """S15 of the popular table."""
+    return results.export_flat(popular.popular_recency(_core(spark, sf)), "list_key", "product_id")
+
+
+@register("stored_metrics")
+def q_stored_metrics(spark, sf):
+    """Two runs' metrics appended to the stored table, one run read back."""
+    train, test = evaluate.holdout_split(T.tpch_transactions(spark, sf))
+    m = evaluate.baseline_metrics(train, test).withColumn("list", F.lit("popularity_baseline"))
+    base = _scratch(spark, "results")
+    for run_id in ("run-a", "run-b"):
+        results.append_metrics(results.metrics_rows(run_id, m, _stamp("2025-01-01 12:00:00")), base)
+    return results.read_metrics(spark, base, "run-b")

@@ -1,4 +1,4 @@
-"""Every registered query with an oracle agrees with DuckDB at sf0.001 (row count and values)."""
+"""Every registered retail query with an oracle agrees with DuckDB at sf0.001 (row count and values)."""
 
 import hashlib
 
@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from shelfspark.plans.oracle_sql import SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -33,7 +34,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.oracle_sql() if k not in SKIP))
+@pytest.mark.parametrize("name", sorted(k for k in SQL if k not in SKIP))
 def test_matches_duckdb(spark, con, name):
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
