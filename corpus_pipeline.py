@@ -1,6 +1,9 @@
 """A corpus pipeline: toxic documents go, copies go, near copies go, scarce domains repeat, what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it and reads it back as the next one's docs.
+
+Null texts count as empty: they are not toxic, are equal to each other (the smallest doc_id stays), link with nothing, stay once in the mix and
+encode to no token. Ties go to the smaller doc_id; columns beyond those of documents travel along, whatever they are called.
 """
 
 from __future__ import annotations
