@@ -1,29 +1,46 @@
 """Approximate nearest neighbours by adaptive dimension scans.
 
-Vectors fall into lists by their nearest centroid (k-means on a bounded sample; every vector is indexed). A query probes
-the lists of its nearest centroids. Within a list vectors are rotated by one random orthogonal matrix and read in blocks
-of columns: after each block, a candidate whose partial distance, scaled to all dimensions, exceeds the k-th best so far
-by more than a hypothesis test allows is abandoned. Survivors get the exact distance on the original vectors, in double
-precision. The rotated distances only decide whom to abandon.
+Vectors fall into lists by their nearest centroid (k-means on a bounded sample; every vector is indexed). A query first
+scans its home lists, the HOME nearest ones (more, until they hold k other vectors), and so has a k-th best distance. It
+carries that bound on to the other lists, of which it visits those that a test on the list does not reject: with the
+distance D of query and centroid and the range of the members' distances r from it, a list can hold a nearer vector if
+D^2 + r^2 - 2 D r z / sqrt(d) is within the bound squared for some r. Here z is how many standard deviations a member's
+direction may lean towards the query: LEAN times the quantile that one of n random directions exceeds, so it follows the
+size of the table. Where vectors cluster this leaves few lists, where they do not it leaves many.
 
-Lists are cut into cells of at most CELL vectors and QUERIES queries, so a list that holds a third of all vectors is work
-for many tasks, and each cell keeps k per query before anything is merged.
+Within a list vectors are rotated by one random orthogonal matrix and read in blocks of columns. After m of d columns the
+part of a squared distance read so far has a Beta(m/2, (d-m)/2) share of the whole; a candidate is abandoned if that part
+exceeds the squared k-th best so far times this share's mean and DOUBT standard deviations (at most 1: then it is certain).
+Rows come in batches that start at FIRST rows and double, the k-th best falls after each. Survivors
+get the exact distance on the original vectors, in double precision. The rotated distances only decide whom to abandon.
+
+Lists are cut into cells of bounded vectors and queries, so a list that holds a third of all vectors is work for many
+tasks, and each cell keeps k per query before anything is merged.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id or with
-another length than most. Rows that repeat an id count once (the least vector). Ties go to the smaller id. With fewer
-candidates than k all are returned; no queries or an empty table give an empty result. Extra columns are ignored.
+another length than most. Rows that repeat an id count once (the least vector). Ids may have any type that sorts; ties go
+to the smaller id. With fewer candidates than k all are returned; no queries or an empty table give an empty result. Extra
+columns are ignored. Very long vectors make smaller cells.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import written
 
-SAMPLE, LIST, MOST_LISTS, ROUNDS, PROBES, BLOCK, BATCH, CELL, QUERIES, EPSILON = 8192, 1024, 1024, 12, 0.75, 16, 1024, 4096, 1024, 2.1
+SAMPLE, LIST, MOST_LISTS, ROUNDS, HOME, LEAN = 8192, 64, 1024, 12, 4, 0.58
+BLOCK, FIRST, BATCH, GROUP, DOUBT = 16, 64, 1024, 128, 2.5
+#: Values of the vectors of a cell, and queries of a cell.
+CELL, QUERIES = 1 << 18, 1024
+#: Values of the pairs whose exact distances are taken at a time.
+PAIRS = 1 << 22
 
 
 def usable(v: Column) -> Column:
@@ -36,16 +53,15 @@ def centroids(sample: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centre = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(ROUNDS):
-        near = _nearest(sample, centre)[:, 0]
+        near = _squares(sample, centre).argmin(axis=1)
         for j in np.unique(near):
             centre[j] = sample[near == j].mean(axis=0)
     return centre
 
 
-def _nearest(x: np.ndarray, centre: np.ndarray, m: int = 1) -> np.ndarray:
-    """The m nearest centroids of each row, nearest first."""
-    d = (centre ** 2).sum(axis=1)[None, :] - 2 * x @ centre.T
-    return np.argsort(d, axis=1, kind="stable")[:, :m] if m > 1 else d.argmin(axis=1)[:, None]
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` and ``y``, up to rounding."""
+    return np.maximum((x ** 2).sum(axis=1)[:, None] + (y ** 2).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
 
 
 def rotation(d: int, seed: int = 11) -> np.ndarray:
@@ -53,27 +69,64 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(q: np.ndarray, rotated_q: np.ndarray, x: np.ndarray, rotated: np.ndarray, ids: np.ndarray, k: int):
-    """(ids, distances) of the k nearest rows of ``x`` found, nearest first, ties to the smaller id."""
-    best_d, best_i, d = np.zeros(0), np.zeros(0, np.int64), x.shape[1]
-    for at in range(0, len(x), BATCH):
-        alive = np.arange(at, min(at + BATCH, len(x)))
-        if len(best_d) == k:
-            partial = np.zeros(len(alive))
-            for block in range(0, d, BLOCK):
-                to = min(d, block + BLOCK)
-                partial += ((rotated[alive, block:to] - rotated_q[block:to]) ** 2).sum(axis=1)
-                if to < d:  # is the whole distance still plausibly within the k-th best?
-                    keep = np.sqrt(partial * d / to) <= (1 + EPSILON / np.sqrt(to)) * best_d[-1]
-                    alive, partial = alive[keep], partial[keep]
-                    if not len(alive):
-                        break
-        if len(alive):
-            near = np.concatenate([best_d, np.sqrt(((x[alive] - q) ** 2).sum(axis=1))])
-            who = np.concatenate([best_i, ids[alive]])
-            order = np.lexsort((who, near))[:k]
-            best_d, best_i = near[order], who[order]
-    return best_i, best_d
+def _tested(rq: np.ndarray, rx: np.ndarray, bound: np.ndarray, slack: np.ndarray, tally: list | None):
+    """(query, row) of the pairs that no test abandons; ``bound``: the k-th best distance of each query."""
+    d = rx.shape[1]
+    share = lambda to: min(1.0, to / d + DOUBT * np.sqrt(2 * to * (d - to) / (d + 2)) / d)
+    limit = lambda to: share(to) * bound ** 2 + slack
+    to = min(d, BLOCK)
+    partial = _squares(rq[:, :to], rx[:, :to])
+    qi, xi = np.nonzero(~(partial > limit(to)[:, None]) if to < d else np.ones(partial.shape, bool))
+    partial, read = partial[qi, xi], to * len(rq) * len(rx)
+    for block in range(to, d, BLOCK):
+        to = min(d, block + BLOCK)
+        read += (to - block) * len(qi)
+        if to < d:  # is the whole distance still plausibly within the k-th best?
+            partial += ((rx[xi, block:to] - rq[qi, block:to]) ** 2).sum(axis=1)
+            keep = ~(partial > limit(to)[qi])
+            qi, xi, partial = qi[keep], xi[keep], partial[keep]
+    if tally is not None:
+        tally[0] += len(rq) * len(rx)
+        tally[1] += len(rq) * len(rx) - len(qi)
+        tally[2] += read
+    return qi, xi
+
+
+def scan(q: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray, own: np.ndarray, order: np.ndarray, tally: list | None = None):
+    """(query, row, distance) of the k nearest rows of ``x`` found for each row of ``q`` within its ``bound``.
+
+    ``own``: the row of x that is the query itself, or -1. Ties go to the smaller ``order``. ``tally`` adds up pairs met,
+    pairs abandoned and columns read of all pairs.
+    """
+    turn = rotation(x.shape[1])
+    rx, rq, longest = x @ turn, q @ turn, (x ** 2).sum(axis=1).max(initial=0)
+    out = []
+    for a in range(0, len(q), GROUP):
+        some = np.arange(a, min(a + GROUP, len(q)))
+        slack = 1e-9 * ((q[some] ** 2).sum(axis=1) + longest)  # equal vectors may differ by rounding once rotated
+        best, qb, xb, db = bound[some].copy(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, FIRST
+        while at < len(x):
+            to = min(at + step, len(x))
+            qi, xi = _tested(rq[some], rx[at:to], best, slack, tally)
+            xi = xi + at
+            keep = xi != own[some][qi]
+            qi, xi = qi[keep], xi[keep]
+            near, chunk = np.empty(len(qi)), max(1, PAIRS // x.shape[1])
+            for c in range(0, len(qi), chunk):
+                near[c:c + chunk] = np.sqrt(((x[xi[c:c + chunk]] - q[some[qi[c:c + chunk]]]) ** 2).sum(axis=1))
+            keep = near <= bound[some][qi]
+            qb, xb, db = np.concatenate([qb, qi[keep]]), np.concatenate([xb, xi[keep]]), np.concatenate([db, near[keep]])
+            by = np.lexsort((order[xb], db, qb))
+            qb, xb, db = qb[by], xb[by], db[by]
+            rank = np.arange(len(qb)) - np.searchsorted(qb, qb)
+            qb, xb, db, rank = qb[rank < k], xb[rank < k], db[rank < k], rank[rank < k]
+            best[qb[rank == k - 1]] = db[rank == k - 1]
+            at, step = to, min(2 * step, BATCH)
+        out.append((some[qb], xb, db))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
 def _matrix(column, d: int) -> np.ndarray:
@@ -85,78 +138,125 @@ def _assign(centre: np.ndarray):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                near = _nearest(_matrix(b.column("v"), centre.shape[1]), centre)[:, 0]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near, pa.int32())], ["id", "v", "list"])
+                x = _matrix(b.column("v"), centre.shape[1])
+                near = _squares(x, centre).argmin(axis=1)
+                away = np.sqrt(((x - centre[near]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near, pa.int32()), pa.array(away)], ["id", "v", "list", "away"])
     return run
 
 
-def _probe(centre: np.ndarray, sizes: np.ndarray, probes: int, k: int):
-    """The lists that a query visits: the nearest ``probes``, and more until they hold k other vectors."""
+def _lists(b: pa.RecordBatch, chosen: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("bound"), pa.array(chosen, pa.list_(pa.int32()))],
+                                      ["id", "v", "bound", "lists"])
+
+
+def _homes(far: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The nearest HOME lists of each query, and more until they hold k vectors besides its own."""
+    order = np.argsort(far, axis=1, kind="stable")
+    n = np.maximum(HOME, (np.cumsum(sizes[order], axis=1) < k + 1).sum(axis=1) + 1)
+    return [o[:m] for o, m in zip(order, n, strict=True)]
+
+
+def leaning(n: int, d: int) -> float:
+    """The cosine with the query's direction that a test on a list allows, for n vectors of d dimensions."""
+    return min(1.0, LEAN * NormalDist().inv_cdf(1 - 1 / (n + 1)) / np.sqrt(d))
+
+
+def may_hold(far: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray, lean: float) -> np.ndarray:
+    """The lists that may hold a vector within ``bound``; ``far``: squared distances of queries and centroids, ``low`` and
+    ``high``: the range of the members' distances from their centroid."""
+    dist = np.sqrt(far)
+    r = np.clip(dist * lean, low, high)
+    return far + r ** 2 - 2 * dist * r * lean <= (bound ** 2)[:, None] * (1 + 1e-9)
+
+
+def _visits(centre: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, first: bool):
+    """Queries with the lists they visit: at first the home lists, then all others that may hold a nearer vector."""
+    lean = leaning(max(1, int(sizes.sum())), centre.shape[1])
+
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                order = _nearest(_matrix(b.column("v"), centre.shape[1]), centre, max(2, len(centre)))
-                n = np.maximum(probes, (np.cumsum(sizes[order], axis=1) < k + 1).sum(axis=1) + 1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([o[:m].tolist() for o, m in zip(order, n, strict=True)], pa.list_(pa.int32()))],
-                                                 ["id", "v", "lists"])
+            if not b.num_rows:
+                continue
+            far = _squares(_matrix(b.column("v"), centre.shape[1]), centre)
+            homes = _homes(far, sizes, k)
+            if first:
+                yield _lists(b, [h[sizes[h] > 0].tolist() for h in homes])
+            else:
+                go = may_hold(far, b.column("bound").to_numpy(zero_copy_only=False), low, high, lean) & (sizes > 0)
+                for row, h in zip(go, homes, strict=True):
+                    row[h] = False
+                yield _lists(b, [np.flatnonzero(row).tolist() for row in go])
     return run
 
 
 def _search(d: int, k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if len(queries) and len(rows):
-            turn = rotation(d)
-            x, q = _matrix(rows.column("v"), d), _matrix(queries.column("v"), d)
-            ids, rotated, rotated_q = rows.column("id").to_numpy(), x @ turn, q @ turn
-            for i, own in enumerate(queries.column("id").to_pylist()):
-                other = ids != own
-                whole = other.all()
-                got, dist = scan(q[i], rotated_q[i], x if whole else x[other], rotated if whole else rotated[other],
-                                 ids if whole else ids[other], k)
-                out[0].append(np.full(len(got), own))
-                out[1].append(got)
-                out[2].append(dist)
-        cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
-        return pa.table({"query_id": cat(out[0], pa.int64()), "vec_id": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
+        if not len(queries) or not len(rows):
+            id_type = (queries if len(queries) else rows).column("id").type
+            return pa.table({"query_id": pa.array([], id_type), "vec_id": pa.array([], id_type), "score": pa.array([], pa.float64())})
+        rows = rows.take(pc.sort_indices(rows.column("id")))  # so that a row's number orders as its id does
+        ids = rows.column("id").combine_chunks()
+        own = pc.fill_null(pc.index_in(queries.column("id").combine_chunks(), value_set=ids), -1).to_numpy(zero_copy_only=False)
+        shuffled = np.random.default_rng(len(ids)).permutation(len(ids))  # what is scanned first must not hang on the ids
+        place = np.append(np.argsort(shuffled), -1)
+        qi, xi, near = scan(_matrix(queries.column("v"), d), _matrix(rows.column("v"), d)[shuffled], k,
+                            queries.column("bound").to_numpy(), place[own], shuffled)
+        return pa.table({"query_id": queries.column("id").take(pa.array(qi)), "vec_id": ids.take(pa.array(shuffled[xi])), "score": pa.array(near)})
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-           probes: float = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds on ``id``.
+def _visit(asked: DataFrame, listed: DataFrame, held: dict, d: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest found for each query in each cell of the lists it visits."""
+    spark = asked.sparkSession
+    wanted = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
+    cell = max(1, CELL // d)
+    cells = spark.createDataFrame([(i, -(-held[i] // cell), -(-n // QUERIES)) for i, n in wanted.items()],
+                                  "list int, parts int, turns int")  # at most MOST_LISTS rows
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    key = ["list", "part", "turn"]
+    left = asked.join(F.broadcast(cells), "list").withColumn("turn", part("turns")).withColumn("part", every("parts"))
+    right = listed.join(F.broadcast(cells), "list").withColumn("part", part("parts")).withColumn("turn", every("turns"))
+    left, right = left.select(*key, "id", "v", "bound"), right.select(*key, "id", "v")
+    kind = right.schema["id"].dataType.simpleString()
+    return (left.groupBy(*key).cogroup(right.groupBy(*key))
+            .applyInArrow(_search(d, k), f"query_id {kind}, vec_id {kind}, score double"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
-    ``probes``: the share of the lists that a query visits.
-    """
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds on ``id``."""
     spark = vectors.sparkSession
-    rows = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    rows = (vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("v"))
             .where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v")))
     rows = written(rows, "vectors")
+    kind, id_kind = rows.schema["v"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
     d, n = common["d"], common["n"]
     rows = rows.where(F.size("v") == d)
     some = rows.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(256, (1 << 23) // d)))
     sample = np.array([r["v"] for r in some.select("v").collect()], np.float64)  # bounded by the line above
     centre = centroids(sample, int(min(MOST_LISTS, max(1, n // LIST), max(1, len(sample) // 8))))
-    kind = rows.schema["v"].dataType.simpleString()
-    listed = written(rows.mapInArrow(_assign(centre), f"id long, v {kind}, list int"), "lists")
-    held = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
-    sizes = np.array([held.get(i, 0) for i in range(len(centre))])
-    asked = (rows.where(is_query).mapInArrow(_probe(centre, sizes, max(1, int(np.ceil(probes * len(centre)))), k), f"id long, v {kind}, lists array<int>")
-             .select("id", "v", F.explode("lists").alias("list")))
-    asked = written(asked, "queries")
-    wanted = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cells = spark.createDataFrame([(i, int(max(1, -(-held.get(i, 0) // CELL))), int(max(1, -(-wanted.get(i, 0) // QUERIES)))) for i in range(len(centre))],
-                                  "list int, parts int, turns int")  # at most MOST_LISTS rows
-    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asked.join(F.broadcast(cells), "list").withColumn("turn", part("turns")).withColumn("part", every("parts"))
-    right = listed.join(F.broadcast(cells), "list").withColumn("part", part("parts")).withColumn("turn", every("turns"))
-    right = right.where(F.col("list").isin(list(wanted))) if len(wanted) < len(centre) else right
-    key = ["list", "part", "turn"]
-    found = (left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key))
-             .applyInArrow(_search(d, k), "query_id long, vec_id long, score double"))
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    listed = written(rows.mapInArrow(_assign(centre), f"id {id_kind}, v {kind}, list int, away double"), "lists")
+    about = {r["list"]: r for r in listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}
+    held = {i: r["n"] for i, r in about.items()}  # a row per list
+    column = lambda c: np.array([about[i][c] if i in about else 0 for i in range(len(centre))])
+    sizes, low, high = column("n"), column("low"), column("high")
+
+    def asked(queries: DataFrame, first: bool) -> DataFrame:
+        lists = queries.mapInArrow(_visits(centre, sizes, low, high, k, first), f"id {id_kind}, v {kind}, bound double, lists array<int>")
+        return written(lists.select("id", "v", "bound", F.explode("lists").alias("list")), "queries")
+
+    queries = rows.where(is_query)
+    home = _visit(asked(queries.withColumn("bound", F.lit(float("inf"))), True), listed, held, d, k)
+    home = written(_best(home, k).select("query_id", "vec_id", "score", "rank"), "home")
+    bounds = home.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    others = _visit(asked(queries.join(bounds, "id").select("id", "v", "bound"), False), listed, held, d, k)
+    return _best(home.drop("rank").unionByName(others), k).select("query_id", "rank", "vec_id", "score")
