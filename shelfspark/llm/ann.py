@@ -157,9 +157,9 @@ def _homes(far: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
     return [o[:m] for o, m in zip(order, n, strict=True)]
 
 
-def leaning(n: int, d: int) -> float:
+def leaning(n: int, d: int, lean: float = LEAN) -> float:
     """The cosine with the query's direction that a test on a list allows, for n vectors of d dimensions."""
-    return min(1.0, LEAN * NormalDist().inv_cdf(1 - 1 / (n + 1)) / np.sqrt(d))
+    return min(1.0, lean * NormalDist().inv_cdf(1 - 1 / (n + 1)) / np.sqrt(d))
 
 
 def may_hold(far: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray, lean: float) -> np.ndarray:
@@ -170,10 +170,8 @@ def may_hold(far: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarr
     return far + r ** 2 - 2 * dist * r * lean <= (bound ** 2)[:, None] * (1 + 1e-9)
 
 
-def _visits(centre: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, first: bool):
+def _visits(centre: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, lean: float, k: int, first: bool):
     """Queries with the lists they visit: at first the home lists, then all others that may hold a nearer vector."""
-    lean = leaning(max(1, int(sizes.sum())), centre.shape[1])
-
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -229,8 +227,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds on ``id``."""
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
+           lean: float = LEAN) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds on ``id``.
+
+    ``lean``: more of it visits more lists; from the square root of the dimensions on the list test is the triangle inequality.
+    """
     spark = vectors.sparkSession
     rows = (vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("v"))
             .where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v")))
@@ -251,7 +253,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     sizes, low, high = column("n"), column("low"), column("high")
 
     def asked(queries: DataFrame, first: bool) -> DataFrame:
-        lists = queries.mapInArrow(_visits(centre, sizes, low, high, k, first), f"id {id_kind}, v {kind}, bound double, lists array<int>")
+        lists = queries.mapInArrow(_visits(centre, sizes, low, high, leaning(n, d, lean), k, first), f"id {id_kind}, v {kind}, bound double, lists array<int>")
         return written(lists.select("id", "v", "bound", F.explode("lists").alias("list")), "queries")
 
     queries = rows.where(is_query)

@@ -61,7 +61,7 @@ def test_search_with_ties_cells_and_unusable_rows(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(1000, None), (1100, []), (1200, [0.0] * 8), (1300, [float("nan")] * 8), (1400, [float("inf")] + [1.0] * 7),
            (1500, [None] + [1.0] * 7), (1600, [1.0] * 3), (None, [1.0] * 8), (100, rows[100][1])]
-    got = [tuple(r) for r in search(frame(spark, rows + bad), F.col("id") % 20 == 0, 10).collect()]
+    got = [tuple(r) for r in search(frame(spark, rows + bad), F.col("id") % 20 == 0, 10, lean=8.0).collect()]
     want = brute(x.astype(float), np.arange(400), range(0, 400, 20), 10)
     exact = {(q, r): (v, s) for q, r, v, s in want}
     assert len(got) == len(want)
