@@ -184,10 +184,13 @@ def blocks(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Texts to ids: the pattern's matches, each by the transducer. Finished words are remembered with their ids."""
+    """Texts to ids: the pattern's matches, each by the transducer. Finished words are remembered with their ids.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
+    ``words``: texts may be cut at single spaces and words remembered, which holds for public_tokenizers.PATTERN only.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: bool = False):
+        self.transducer, self.pattern, self.by_words = Transducer(ranks), regex.compile(pattern), words
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # the words before the last clearing: frequent ones come back from here
 
@@ -211,6 +214,10 @@ class Encoder:
 
     def encode(self, text: str) -> array:
         ids, words = array("I"), self.words
+        if not self.by_words:
+            for m in self.pattern.finditer(text):
+                ids.extend(self.transducer.encode(m[0].encode()))
+            return ids
         for block in blocks(text):
             first, *rest = BOUNDARY.split(block)
             ids.extend(self._pieces(first))
@@ -260,18 +267,22 @@ def decode(ids: Iterable[int], token: dict[int, bytes], chunk: int = CHUNK) -> I
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(data: bytes, pattern: str) -> Encoder:
+def _encoder(data: bytes, pattern: str, words: bool) -> Encoder:
     """One encoder for each worker process, so that its tables outlive a task."""
     key = (hashlib.sha256(data).digest(), pattern)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(read_ranks(data), pattern)
+        _ENCODERS[key] = Encoder(read_ranks(data), pattern, words)
     return _ENCODERS[key]
 
 
 def _runner(ranks, pattern: str, make):
+    from public_tokenizers import PATTERN  # on the driver only: workers get the answer
+
+    words = pattern == PATTERN
+
     def run(batches):
-        encoder = _encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, pattern, words)
         for batch in batches:
             yield from make(encoder, batch)
         encoder.words.clear()  # the trie and its moves stay with the worker; the words would only take memory from later stages

@@ -12,7 +12,7 @@ from shelfspark.llm.queries import PATTERN, RANKS
 @pytest.fixture(scope="module")
 def encoder():
     with open(RANKS, "rb") as f:
-        return bpe.Encoder(bpe.read_ranks(f.read()), PATTERN)
+        return bpe.Encoder(bpe.read_ranks(f.read()), PATTERN, words=True)
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,17 @@ def test_ids_match_library(encoder, library):
         assert list(encoder.encode(t)) == library.encode_ordinary(t)
 
 
+def test_other_patterns_take_no_shortcuts(encoder, spark):
+    odd = r"[^ ]+ ?| +"  # a space ends a piece here
+    own = tiktoken.Encoding("odd", pat_str=odd, mergeable_ranks=encoder.transducer.ranks, special_tokens={})
+    some = list(texts())[:400] + ["plain words, and more of them."]
+    plain = bpe.Encoder(encoder.transducer.ranks, odd)
+    assert all(list(plain.encode(t)) == own.encode_ordinary(t) for t in some)
+    rows = spark.createDataFrame(list(enumerate(some[-20:])), "doc_id long, text string")
+    got = {r.doc_id: [i % (1 << 32) for i in r.ids] for r in bpe.encode_rows(rows, RANKS, odd).collect()}
+    assert got == {i: own.encode_ordinary(t) for i, t in enumerate(some[-20:])}
+
+
 def test_built_and_simulated_moves_agree(encoder, monkeypatch):
     some = [t.encode() for t in texts()][:300]
     lazy = [encoder.transducer.encode(t) for t in some]
