@@ -56,19 +56,20 @@ def _features(data: np.ndarray, offs: np.ndarray):
     return n, dense, row, (mix(w.hash) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _bags(n, row, bucket) -> np.ndarray:
-    """How often each row has words of each bucket, over the root of its length."""
-    bags = np.bincount(row * BUCKETS + bucket, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS).astype(np.float32)
-    return bags / np.sqrt(np.maximum(n, 1), dtype=np.float32)[:, None]
-
-
-def _logits(model: Model, n, dense, row, bucket) -> np.ndarray:
-    z = dense @ model.weights[BUCKETS:]
+def _bags(n, row, bucket):
+    """In blocks of rows (from, to): how often each row has words of each bucket, over the root of its length."""
     words_of = np.searchsorted(row, np.arange(len(n) + 1))
     for a in range(0, len(n), ROWS):
         b = min(len(n), a + ROWS)
         at = slice(words_of[a], words_of[b])
-        z[a:b] += _bags(n[a:b], row[at] - a, bucket[at]) @ model.weights[:BUCKETS].astype(np.float32)
+        bags = np.bincount((row[at] - a) * BUCKETS + bucket[at], minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS).astype(np.float32)
+        yield a, b, bags / np.sqrt(np.maximum(n[a:b], 1), dtype=np.float32)[:, None]
+
+
+def _logits(model: Model, n, dense, row, bucket) -> np.ndarray:
+    z = dense @ model.weights[BUCKETS:]
+    for a, b, bags in _bags(n, row, bucket):
+        z[a:b] += bags @ model.weights[:BUCKETS].astype(np.float32)
     return z
 
 
@@ -81,17 +82,19 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     """Softmax regression by gradient descent with momentum estimates, on the rows given."""
     domains = sorted(set(labels))
     y = np.array([domains.index(x) for x in labels])
-    blocks = [_features(data, offs) for _, _, data, offs in row_chunks(pa.array(texts, pa.string()))]
-    n, dense = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
-    start = np.cumsum([0, *(len(b[0]) for b in blocks[:-1])])
-    row, bucket = np.concatenate([b[2] + s for b, s in zip(blocks, start, strict=True)]), np.concatenate([b[3] for b in blocks])
+    dense = np.zeros((len(texts), COUNTS + 1))
+    all_bags = np.zeros((len(texts), BUCKETS), np.float32)  # made once: at most SAMPLE rows; the words themselves go block by block
+    for first, last, data, offs in row_chunks(pa.array(texts, pa.string())):
+        n, dense[first:last], row, bucket = _features(data, offs)
+        for a, b, bags in _bags(n, row, bucket):
+            all_bags[first + a:first + b] = bags
     model = Model(domains, np.zeros((BUCKETS + COUNTS + 1, len(domains))))
     w, m, v = model.weights, np.zeros_like(model.weights), np.zeros_like(model.weights)
-    bags, hot = _bags(n, row, bucket), np.eye(len(domains))[y]  # made once: at most SAMPLE rows of BUCKETS numbers
+    hot = np.eye(len(domains))[y]
     for step in range(1, STEPS + 1):
-        z = dense @ w[BUCKETS:] + bags @ w[:BUCKETS].astype(np.float32)
+        z = dense @ w[BUCKETS:] + all_bags @ w[:BUCKETS].astype(np.float32)
         g = (_softmax(z) - hot) / len(y)
-        grad = np.concatenate([(g.T.astype(np.float32) @ bags).T, dense.T @ g]) + 1e-4 * w
+        grad = np.concatenate([(g.T.astype(np.float32) @ all_bags).T, dense.T @ g]) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
     return model
@@ -131,7 +134,7 @@ def learn(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         rows = (df.select(F.col(id_col).alias("id"), F.substring(text_or_empty(text_col), 1, TRAIN_CHARS).alias("t"))
                 .join(F.broadcast(picked), "id")
                 .groupBy("id", "y", "n").agg(F.min("t").alias("t")).select("t", "y", "n"))  # one row per id, so the bound holds for rows
-        got = sorted(rows.repartition(1).mapInArrow(_fit_rows, "domain string, weights binary").collect())
+        got = sorted(rows.repartition(1).mapInArrow(tidy(_fit_rows), "domain string, weights binary").collect())
     if not got:
         return Model(["all"], np.zeros((BUCKETS + COUNTS + 1, 1)))
     return Model([r["domain"] for r in got], np.stack([np.frombuffer(r["weights"]) for r in got], axis=1))

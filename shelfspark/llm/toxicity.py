@@ -184,7 +184,7 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     rows = (df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
             .where(F.char_length("t") <= TRAIN_CHARS).join(F.broadcast(picked), "id")
             .groupBy("id", "y", "n").agg(F.min("t").alias("t")).select("t", "y", "n"))  # one row per id, so the bound holds for rows
-    return {r["word"]: r["weight"] for r in rows.repartition(1).mapInArrow(_fit_rows, "word string, weight double").collect()}
+    return {r["word"]: r["weight"] for r in rows.repartition(1).mapInArrow(tidy(_fit_rows), "word string, weight double").collect()}
 
 
 def _scorer(model, spans: bool):
