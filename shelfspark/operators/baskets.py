@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.pairs import block_join
-from shelfspark.functions.ranking import rounded, top_k
+from shelfspark.functions.ranking import dense_positions, rounded, top_k
 from shelfspark.session import materialize
 from shelfspark.sources.tables import RetailTables
 
@@ -170,45 +170,63 @@ def fbt_apriori_confidence(tables: RetailTables, k: int = TOP_K, level: str = "p
     return fbt_apriori(tables, "confidence", k, level)
 
 
-def fpgrowth_pairs(tables: RetailTables, level: str = "product_id", min_count: int | None = None) -> DataFrame:
-    """The same frequent pairs mined by MLlib's parallel FP-Growth.
+SEGMENT = 256
 
-    FP-Growth takes each basket as one array row (its input contract), so a
-    basket must fit in a row; the Apriori path has no such bound. Its minimum
-    count is ceil(minSupport·n), so the support passed is (min_count − ½)/n to
-    land exactly on the integer rule. FP-Growth has no length limit: larger
-    itemsets are mined and dropped.
+
+def fpgrowth_pairs(tables: RetailTables, level: str = "product_id", min_count: int | None = None,
+                   items: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
+    """The same frequent pairs by pattern growth, stopped at itemsets of size 2.
+
+    Frequent items are numbered by falling count; a basket is its numbers in that order, and the prefix before an item is
+    that item's conditional basket, so every pair is counted once, under its rarer item. Equal baskets are merged with
+    their multiplicity before a prefix is unfolded. No longer itemset is grown.
+
+    A basket of more than ``segment`` frequent items is cut into segments by number, one row of at most ``segment`` numbers
+    each. Prefixes across two segments meet by an equi-join on (basket, later segment, earlier segment), so the
+    pairs of one basket spread over tasks and no basket is one row.
     """
-    from pyspark.ml.fpm import FPGrowth
-
-    items = basket_items(tables, level)
-    arrays = items.groupBy("transaction_id").agg(F.collect_set("item").alias("items"))
-    n = int(tables.transactions.where(F.col("transaction_id").isNotNull())
-            .select(F.count_distinct("transaction_id")).first()[0])
-    if n == 0:
-        return frequent_pairs(tables, level, min_count)
-    if min_count is None:
-        min_count = max(MIN_SUPPORT_BASKETS, (n + 99) // 100)
-    # FP-Growth counts support over the baskets it is given; baskets with no item are still counted in n.
-    n_arrays = arrays.count()
-    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / max(n_arrays, 1),
-                     minConfidence=0.0).fit(arrays)
-    fi = model.freqItemsets.where(F.size("items") <= 2)
-    singles = fi.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq").alias("n_item"))
-    doubles = fi.where(F.size("items") == 2).select(
-        F.least(F.col("items")[0], F.col("items")[1]).alias("item_a"),
-        F.greatest(F.col("items")[0], F.col("items")[1]).alias("item_b"),
-        F.col("freq").cast("bigint").alias("n_ab"))
-    fa = singles.select(F.col("item").alias("item_a"), F.col("n_item").cast("bigint").alias("n_a"))
-    fb = singles.select(F.col("item").alias("item_b"), F.col("n_item").cast("bigint").alias("n_b"))
-    return doubles.join(fa, "item_a").join(fb, "item_b").select(
-        "item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n).cast("bigint").alias("n"))
+    items = items if items is not None else materialize(basket_items(tables, level))
+    n = basket_count(tables)
+    freq = item_counts(items).where(_is_frequent(F.col("n_item"), n, min_count))
+    ranks = materialize(dense_positions(freq, [F.col("n_item").desc(), F.col("item").asc()], "rank"))
+    kept = items.join(ranks.select("item", "rank"), "item").select("transaction_id", "rank")
+    large = (kept.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > segment)
+             .select("transaction_id", F.lit(True).alias("_large")))
+    last = F.floor((ranks.select(F.max("rank")).scalar() - 1) / segment)
+    cut = F.when(F.col("_large"), F.floor((F.col("rank") - 1) / segment)).otherwise(0)
+    segments = materialize(
+        kept.join(large, "transaction_id", "left").withColumn("seg", cut.cast("long"))
+        .groupBy("transaction_id", "seg").agg(F.sort_array(F.collect_list("rank")).alias("own"),
+                                              F.first("_large").alias("_large")))
+
+    merged = segments.groupBy("own").agg(F.count(F.lit(1)).alias("m"))
+    inside = (merged.select("own", "m", F.posexplode("own").alias("i", "hi"))
+              .select("hi", "m", F.explode(F.slice("own", F.lit(1), F.col("i"))).alias("lo")))
+
+    cells = segments.where("_large")
+    later = cells.where(F.col("seg") > 0).select(
+        "transaction_id", F.col("seg").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seg") - 1)).alias("t"), "own")
+    earlier = cells.where(F.col("seg") < last).select(
+        "transaction_id", F.col("seg").alias("t"), F.explode(F.sequence(F.col("seg") + 1, last)).alias("s"), F.col("own").alias("before"))
+    across = (later.join(earlier, ["transaction_id", "s", "t"])
+              .select(F.explode("own").alias("hi"), "before").select("hi", F.lit(1).cast("bigint").alias("m"), F.explode("before").alias("lo")))
+
+    doubles = (inside.unionByName(across).groupBy("hi", "lo").agg(F.sum("m").cast("bigint").alias("n_ab"))
+               .where(_is_frequent(F.col("n_ab"), n, min_count)))
+    fa = ranks.select(F.col("rank").alias("hi"), F.col("item").alias("x"), F.col("n_item").alias("n_x"))
+    fb = ranks.select(F.col("rank").alias("lo"), F.col("item").alias("y"), F.col("n_item").alias("n_y"))
+    first = F.col("x") < F.col("y")
+    return doubles.join(fa, "hi").join(fb, "lo").select(
+        F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "n_ab",
+        F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
+        F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"), n.cast("bigint").alias("n"))
 
 
 def fbt_fpgrowth(tables: RetailTables, k: int = TOP_K, level: str = "product_id") -> DataFrame:
     """FP-Growth itemsets, lift ranking, co-occurrence fallback."""
-    rules = rules_from_pairs(fpgrowth_pairs(tables, level), "lift")
-    return fbt_from_rules(tables, rules, "lift", level, k)
+    items = materialize(basket_items(tables, level))
+    rules = rules_from_pairs(fpgrowth_pairs(tables, level, items=items), "lift")
+    return fbt_from_rules(tables, rules, "lift", level, k, items=items)
 
 
 def fbt_cooccurrence(tables: RetailTables, k: int = TOP_K, level: str = "product_id") -> DataFrame:

@@ -59,3 +59,22 @@ def test_no_local_checkpoint_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_pattern_growth_counts_the_same_pairs_and_spreads_a_large_basket(spark, m1):
+    import dataclasses
+    lines = spark.range(300).select(F.lit("big").alias("transaction_id"), F.concat(F.lit("i"), F.col("id")).alias("product_id")).unionByName(
+        spark.range(400).select(F.concat(F.lit("t"), F.col("id") % 60).alias("transaction_id"),
+                                F.concat(F.lit("i"), (F.col("id") * 7) % 41).alias("product_id"))).unionByName(
+        spark.range(30).select(F.concat(F.lit("c"), F.col("id") % 10).alias("transaction_id"),
+                               F.concat(F.lit("i"), F.floor(F.col("id") / 10)).alias("product_id")))
+    tables = dataclasses.replace(m1, transactions=lines)
+    for least in (1, 2, 3, None):
+        want = sorted(map(tuple, baskets.frequent_pairs(tables, min_count=least).collect()))
+        for segment in (16, 256):
+            got = baskets.fpgrowth_pairs(tables, min_count=least, segment=segment)
+            assert got.columns == ["item_a", "item_b", "n_ab", "n_a", "n_b", "n"]
+            assert sorted(map(tuple, got.collect())) == want
+    assert len(want) > 0
+    none = dataclasses.replace(m1, transactions=lines.where("false"))
+    assert baskets.fpgrowth_pairs(none).count() == 0
