@@ -8,44 +8,40 @@ weighted sum of the normalised vectors of the products they bought,
 normalised again; every product the customer does not own is ranked by cosine
 to the profile.
 
-No dense matrix and no customers × products product is built. Writing
-``A_c[level]`` for the profile weight of a one-hot level and ``W_c`` for its
-price weight, the cosine of product ``j`` is
+Writing ``A_c[level]`` for the profile weight of a one-hot level and ``W_c`` for its price weight, the cosine of product ``j`` is
 
     (A_c[category_j] + A_c[brand_j] + W_c · z_j) / (‖x_j‖ · ‖P_c‖),  ‖x_j‖ = √(#blocks + z_j²)
 
-so only two kinds of candidate exist:
-
-* products sharing a category or a brand with something the customer owns —
-  enumerated by equi-joins of the customer's (level, weight) rows with the
-  catalog on that level;
-* all other products, whose score ``W_c · z_j / (‖x_j‖‖P_c‖)`` is monotone in
-  ``z_j``. Their best ones are the first unshared products of one global list
-  ordered by z (or by id when ``W_c = 0``). The walk deepens by doubling and
-  only for customers still short of K, so each walks at most twice the depth
-  it needs; customers whose levels already reach the catalog skip it. List
-  positions come from a distributed sort and per-partition offsets; each walk
-  step is an equi-join on position.
+Products are sorted by (category, brand, z) and cut into blocks of ``ITEM_BLOCK``, customers into blocks of at most ``USER_BLOCK``; a cell
+gets the profiles of its customers, cut to the levels of its products, and the owned pairs that fall in it. Inside a cell the products of
+one (category, brand) lie in pieces of at most ``PIECE`` neighbours by z. In z the cosine rises up to z* = #blocks · W / A and falls after it, so
+a piece's largest value is the one at z* (or at its end next to z*) and its smallest is at an end. The pieces taken by falling smallest value
+until they hold K products not owned give a value that the K-th best reaches at least; pieces whose largest value
+stays below it are skipped, the others are scored. The cells' lists meet in one top-K per customer.
 
 Ranking is by the exact score, then product id (not the package's rounded
-rule: the prefix argument needs score order to equal z order).
+rule: the bounds hold for the score itself).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.ranking import rounded
-from shelfspark.operators.interactions import user_item_counts
+from shelfspark.functions.ranking import dense_positions, rounded
+from shelfspark.operators.interactions import int_ids, user_item_counts
 from shelfspark.sources.tables import RetailTables
-from shelfspark.session import materialize
+from shelfspark.session import stored
 
 # The level used for a missing one-hot value, and the std guard.
 MISSING_LEVEL = "__missing__"
 STD_EPS = 1e-9
 TOP_K = 10
 BLOCKS = ("category", "brand")
+#: Of a cell: products, customers (at most), products of a piece; (customer, product) pairs looked at in one go.
+ITEM_BLOCK, USER_BLOCK, PIECE, STRETCH = 32_768, 16_384, 64, 1 << 22
 
 
 def content_vectors(tables: RetailTables, check_unique: bool = True) -> tuple[DataFrame, list[str], bool]:
@@ -94,87 +90,92 @@ def _profile(owned: DataFrame, vec: DataFrame, blocks: list[str]):
     return level_w, w.join(pnorm, "customer_id")
 
 
-def _global_order(vec: DataFrame, order_cols: list) -> DataFrame:
-    """Products numbered 1..n in the given order: a range-partitioned sort, then
-    positions from per-partition offsets (one small count per partition), all JVM-side."""
-    from shelfspark.functions.ranking import dense_positions
-
-    return dense_positions(vec.select("product_id", "price_z", "norm",
-                                      *[c for c in vec.columns if c in BLOCKS]), order_cols, "pos")
-
-
-GROUP_BUCKETS = 64
-
-
-def _reachable_groups(vec: DataFrame, blocks: list[str], level_w, cust: DataFrame, owned: DataFrame):
-    """(customer, group) rows for every (category, brand) group sharing a level with the
-    customer's purchases, with the group weight a, W, ‖P‖ and owned-in-group count;
-    plus per-customer product counts over those groups. Bounded by customers × groups."""
-    groups = vec.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n_g"))
-    parts = [level_w[b].select("customer_id", b).join(groups.select(*blocks), b) for b in blocks]
-    cg = parts[0]
-    for p in parts[1:]:
-        cg = cg.unionByName(p)
-    cg = cg.distinct()
-    a = F.lit(0.0)
-    for b in blocks:
-        cg = cg.join(level_w[b], ["customer_id", b], "left")
-        a = a + F.coalesce(F.col(f"a_{b}"), F.lit(0.0))
-    own_g = (owned.join(vec.select("product_id", *blocks), "product_id")
-             .groupBy("customer_id", *blocks).agg(F.count(F.lit(1)).alias("o_g")))
-    cg = (cg.withColumn("a_g", a).join(cust.select("customer_id", "W", "pnorm"), "customer_id")
-          .join(own_g, ["customer_id", *blocks], "left").join(groups, blocks)
-          .select("customer_id", *blocks, "a_g", "W", "pnorm", F.coalesce("o_g", F.lit(0)).alias("o_g"), "n_g"))
-    cg = materialize(cg)
-    s1 = cg.groupBy("customer_id").agg(F.sum("n_g").alias("_s1"))
-    return cg, s1
-
-
-def _group_windows(vec: DataFrame, blocks: list[str], cg: DataFrame, k: int, has_price: bool) -> DataFrame:
-    """Score the z-window around each (customer, group) peak; exact for the top K + owned of each group.
+def reached_pieces(a: np.ndarray, w: np.ndarray, z_lo: np.ndarray, z_hi: np.ndarray, free: np.ndarray, k: int, nb: int):
+    """``(rows, pieces, least)``: the pieces that may hold one of a customer's k best, and a value that the k-th best reaches.
 
-    Positions order a group by (z, id). The peak position q (products with z ≤ z*) is
-    bracketed by a per-group bucket grid (cumulative counts, GROUP_BUCKETS + 1 rows per
-    group), the window is widened by the bracket, and its left end is moved to the start
-    of its run of equal z (equal z ties break by id, which the position order reverses
-    on the rising side).
+    ``a`` is customers x pieces of level weights, ``w`` the price weights, ``free`` how many products of a piece a customer does
+    not own. With fewer than k of them in all, ``least`` is minus infinity and every piece is reached.
     """
-    gw = Window.partitionBy(*blocks)
-    pg = (vec.withColumn("pos", F.row_number().over(gw.orderBy(F.col("price_z").asc(), F.col("product_id").asc())))
-          .withColumn("zmin", F.min("price_z").over(gw)).withColumn("zmax", F.max("price_z").over(gw))
-          .withColumn("run_start", F.min("pos").over(Window.partitionBy(*blocks, "price_z"))))
-    step = (F.col("zmax") - F.col("zmin")) / GROUP_BUCKETS
-    bucket = F.when(step > 0, F.least(F.greatest(F.floor((F.col("price_z") - F.col("zmin")) / step),
-                                                 F.lit(0)), F.lit(GROUP_BUCKETS - 1))).otherwise(F.lit(0))
-    pg = materialize(pg.withColumn("bucket", bucket.cast("int")))
-    stats = pg.groupBy(*blocks).agg(F.first("zmin").alias("zmin"), F.first("zmax").alias("zmax"))
-    per_b = pg.groupBy(*blocks, "bucket").agg(F.count(F.lit(1)).alias("nb_"))
-    grid = (stats.select(*blocks, F.explode(F.sequence(F.lit(0), F.lit(GROUP_BUCKETS))).alias("bucket"))
-            .join(per_b, [*blocks, "bucket"], "left")
-            .withColumn("cum", F.coalesce(F.sum("nb_").over(
-                Window.partitionBy(*blocks).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0)))
-            .select(*blocks, "bucket", "cum"))
-    nb = float(len(blocks))
-    zstar = F.col("W") * F.lit(nb) / F.col("a_g") if has_price else F.lit(0.0)
-    c = cg.join(stats, blocks).withColumn("_zs", zstar)
-    c = c.withColumn("_b", F.when(step > 0, F.least(F.greatest(F.floor((F.col("_zs") - F.col("zmin")) / step),
-                                                            F.lit(0)), F.lit(GROUP_BUCKETS - 1)))
-                     .otherwise(F.lit(0)).cast("int"))
-    lo = grid.select(*blocks, F.col("bucket").alias("_b"), F.col("cum").alias("_lo"))
-    hi = grid.select(*blocks, (F.col("bucket") - 1).alias("_b"), F.col("cum").alias("_hi"))
-    c = c.join(lo, [*blocks, "_b"]).join(hi, [*blocks, "_b"])
-    span = F.lit(k) + F.col("o_g")
-    c = (c.withColumn("_l", F.greatest(F.lit(1).cast("long"), (F.col("_lo") - span + 1).cast("long")))
-         .withColumn("_r", F.least(F.col("n_g").cast("long"), (F.col("_hi") + span).cast("long"))))
-    starts = pg.select(*blocks, F.col("pos").alias("_l"), F.col("run_start"))
-    c = c.join(starts, [*blocks, "_l"]).withColumn("_l", F.col("run_start").cast("long"))
-    win = c.select("customer_id", *blocks, "a_g", "W", "pnorm",
-                   F.explode(F.sequence(F.col("_l"), F.col("_r"))).alias("pos"))
-    got = win.join(pg.select(*blocks, F.col("pos").cast("long").alias("pos"), "product_id", "price_z", "norm"),
-                   [*blocks, "pos"])
-    score = (F.col("a_g") + F.col("W") * F.col("price_z")) / (F.col("norm") * F.col("pnorm"))
-    return got.select("customer_id", "product_id", F.coalesce(score, F.lit(0.0)).alias("score"))
+    w = w[:, None]
+    if not nb:  # the value is plus or minus w, whatever z: nothing to bound
+        rows, pieces = np.nonzero(np.ones(a.shape, bool))
+        return rows, pieces, np.full(len(a), -np.inf)
+    value = lambda z: (a + w * z) / np.sqrt(nb + z * z)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        peak = np.where(a > 0, nb * w / a, np.where(w > 0, np.inf, -np.inf))
+    most, least = value(np.clip(peak, z_lo, z_hi)), np.minimum(value(z_lo), value(z_hi))
+    order = np.argsort(-least, axis=1, kind="stable")
+    held = np.cumsum(np.take_along_axis(free, order, axis=1), axis=1)
+    row = np.arange(len(a))
+    kth = least[row, order[row, np.argmax(held >= k, axis=1)]]
+    # room for rounding, far below any difference that matters and far above an error of a few sums
+    kth = np.where(held[:, -1] >= k, kth - 1e-9 * (a.max(axis=1) + np.abs(w[:, 0])), -np.inf)
+    rows, pieces = np.nonzero(most >= kth[:, None])
+    return rows, pieces, kth
+
+
+def _best_of_cell(left: pa.Table, right: pa.Table, blocks: list[str], k: int, constant: bool) -> pa.Table:
+    """The k best un-owned products of each customer of a cell, by exact score, then id."""
+    out: list[tuple] = []
+    if len(left) and len(right):
+        col = lambda t, c: t[c].to_numpy()
+        iid, z, norm = (col(right, c) for c in ("product_id", "price_z", "norm"))
+        codes = [col(right, b) for b in blocks]
+        order = np.lexsort((iid, z, *codes[::-1]))
+        iid, z, norm, codes = iid[order], z[order], norm[order], [c[order] for c in codes]
+        n, place = len(iid), np.arange(len(iid))
+        new = np.r_[True, np.zeros(n - 1, bool)]
+        for c in codes:
+            new[1:] |= c[1:] != c[:-1]
+        start = np.flatnonzero((place - np.maximum.accumulate(np.where(new, place, 0))) % PIECE == 0)
+        size = np.diff(np.r_[start, n])
+        piece_of = np.repeat(np.arange(len(start)), size)
+
+        kind, who, num, x, y = (col(left, c) for c in ("kind", "uid", "num", "x", "y"))
+        of = {j: np.flatnonzero(kind == j) for j in range(-1, len(blocks) + 1)}
+        by = of[0][np.argsort(who[of[0]])]
+        uid, price_w, pnorm = who[by], x[by], y[by]
+        rowed = {}  # of each kind but the customers: rows in order of the customer, what they name, weight
+        for j in of:
+            if j:
+                row = np.searchsorted(uid, who[of[j]])
+                by = np.argsort(row, kind="stable")
+                rowed[j] = row[by], num[of[j]][by], x[of[j]][by]
+        by_iid = np.argsort(iid)
+        owned_row, owned_at = rowed[-1][0], by_iid[np.searchsorted(iid, rowed[-1][1], sorter=by_iid)]
+        levels = [np.unique(c, return_inverse=True) for c in codes]
+
+        step = max(1, STRETCH // n)
+        for c in range(0, len(uid), step):
+            d = min(len(uid), c + step)
+            a = np.zeros((d - c, len(start)))
+            for j, (level, at) in enumerate(levels, 1):
+                row, code, weight = rowed[j]
+                lo, hi = np.searchsorted(row, [c, d])
+                own = np.zeros((d - c, len(level)))
+                own[row[lo:hi] - c, np.searchsorted(level, code[lo:hi])] = weight[lo:hi]
+                a += own[:, at[start]]
+            lo, hi = np.searchsorted(owned_row, [c, d])
+            held_row, held_at = owned_row[lo:hi] - c, owned_at[lo:hi]
+            free = size - np.bincount(held_row * len(start) + piece_of[held_at], minlength=a.size).reshape(a.shape)
+            rows, pieces, kth = reached_pieces(a, price_w[c:d], z[start], z[start + size - 1], free, k, len(blocks))
+            m = size[pieces]
+            r, p = np.repeat(rows, m), np.repeat(start[pieces] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            number = np.repeat(a[rows, pieces], m) + price_w[c + r] * z[p]
+            held = np.zeros((d - c) * n, bool)
+            held[held_row * n + held_at] = True
+            value = np.divide(number, norm[p], out=np.zeros(len(p)), where=norm[p] != 0)
+            ok = ~held[r * n + p] & (value >= kth[r])
+            r, p, number = r[ok], p[ok], number[ok]
+            scale = norm[p] * pnorm[c + r]
+            score = np.ones(len(p)) if constant else np.divide(number, scale, out=np.zeros(len(p)), where=scale != 0)
+            order = np.lexsort((iid[p], -score, r))
+            r, p, score = r[order], p[order], score[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append((uid[c + r[best]], iid[p[best]], score[best]))
+    parts = list(zip(*out)) or [[], [], []]
+    flat = [np.concatenate(v) if len(v) else [] for v in parts]
+    return pa.table({"customer_id": pa.array(flat[0], pa.int32()), "product_id": pa.array(flat[1], pa.int32()), "score": pa.array(flat[2], pa.float64())})
 
 
 def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
@@ -184,92 +185,33 @@ def content_topk(tables: RetailTables, k: int = TOP_K) -> DataFrame:
     purchases get no rows (the serving layer falls back to popular items).
     """
     vec, blocks, has_price = content_vectors(tables)
-    vec = materialize(vec)
-    # the profile pieces are read by many branches below; store them once (small: per customer
-    # and level) so every branch reads the checkpoint instead of re-deriving them from the facts
-    owned = materialize(user_item_counts(tables.transactions))
-    level_w, cust = _profile(owned, vec, blocks)
-    level_w = {b: materialize(f) for b, f in level_w.items()}
-    cust = materialize(cust)
-
-    score_num = F.col("W") * F.col("price_z")
+    # ids and levels are numbered in their order, so that ties break alike; what several branches read is stored once
+    vec, items = int_ids(stored(vec, "vectors"), "product_id", "_iid")
     for b in blocks:
-        score_num = score_num + F.coalesce(F.col(f"a_{b}"), F.lit(0.0))
-    score = F.coalesce(F.try_divide(score_num, F.col("norm") * F.col("pnorm")), F.lit(0.0))
-    if not blocks and not has_price:
-        score = F.lit(1.0)
-
-    def scored(cand: DataFrame) -> DataFrame:
-        out = cand.join(cust.select("customer_id", "W", "pnorm"), "customer_id")
-        for b in blocks:
-            out = out.join(level_w[b], ["customer_id", b], "left")
-        return out.select("customer_id", "product_id", score.alias("score"))
-
-    # 1) products sharing a level with an owned product. Inside one (category, brand)
-    #    group the score (a + W z) / sqrt(nb + z^2) is unimodal in z with its peak at
-    #    z* = nb W / a, so a customer's best products of the group form a contiguous
-    #    run of the z-ordered group around z*: K + owned-in-group on each side suffice.
-    cands = []
-    s1_count = None
-    if blocks:
-        cg, s1_count = _reachable_groups(vec, blocks, level_w, cust, owned)
-        cands.append(_group_windows(vec, blocks, cg, k, has_price))
-
-    # 2) products sharing nothing: score monotone in z, so the best ones are the first
-    #    "sharing nothing" products of one global order (by z, or by id when W = 0).
-    #    The walk deepens by doubling, only for customers that still lack K of them, so
-    #    a customer walks at most twice the depth it needs (≤ log2(catalog / K) rounds).
-    cands.append(_walk_unshared(vec, blocks, has_price, level_w, cust, owned, s1_count, k, scored))
+        vec, _ = int_ids(vec, b, f"_{b}")
+    vec = vec.select(F.col("_iid").alias("product_id"), *[F.col(f"_{b}").alias(b) for b in blocks], "price_z", "norm")
+    vec = dense_positions(vec, [F.col(c).asc() for c in (*blocks, "price_z", "product_id")])
+    vec = stored(vec.withColumn("j", F.floor((F.col("pos") - 1) / ITEM_BLOCK).cast("int")).drop("pos"), "numbered")
+    owned, users = int_ids(stored(user_item_counts(tables.transactions), "counts"), "customer_id", "_uid")
+    owned = stored(owned.join(items, "product_id").select(F.col("_uid").alias("customer_id"), F.col("_iid").alias("product_id"), "cnt"), "owned")
+    level_w, cust = _profile(owned, vec, blocks)
 
-    allc = cands[0]
-    for c in cands[1:]:
-        allc = allc.unionByName(c)
-    allc = allc.join(owned.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
+    n_users, n_items = users.count(), vec.count()
+    spread = min(vec.sparkSession.sparkContext.defaultParallelism, -(-n_users // 512))
+    ub, jb = max(1, spread, -(-n_users // USER_BLOCK)), -(-max(1, n_items) // ITEM_BLOCK)
+    u = F.pmod("customer_id", F.lit(ub)).cast("int").alias("u")
+    every = lambda m, c: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)
+    row = lambda kind, num, x, y: [F.lit(kind).alias("kind"), F.col("customer_id").alias("uid"), num.alias("num"), x.alias("x"), y.alias("y")]
+    none = F.lit(0.0)
+    left = cust.select(u, every(jb, "j"), *row(0, F.lit(0), F.col("W"), F.col("pnorm")))
+    for i, b in enumerate(blocks, 1):
+        left = left.unionByName(level_w[b].join(vec.select(b, "j").distinct(), b).select(u, "j", *row(i, F.col(b), F.col(f"a_{b}"), none)))
+    left = left.unionByName(owned.join(vec.select("product_id", "j"), "product_id").select(u, "j", *row(-1, F.col("product_id"), none, none)))
+    right = vec.select(every(ub, "u"), "j", "product_id", *blocks, "price_z", "norm")
+    constant = not blocks and not has_price
+    found = left.groupBy("u", "j").cogroup(right.groupBy("u", "j")).applyInArrow(
+        lambda x, y: _best_of_cell(x, y, blocks, k, constant), "customer_id int, product_id int, score double")
     w = Window.partitionBy("customer_id").orderBy(F.col("score").desc(), F.col("product_id").asc())
-    ranked = allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("customer_id", F.col("rank").cast("int").alias("rank"), "product_id",
-                         rounded("score").alias("score"))
-
-
-def _walk_unshared(vec, blocks, has_price, level_w, cust, owned, s1_count, k, scored) -> DataFrame:
-    """Candidates sharing no level with the customer's purchases (see ``content_topk``)."""
-    n_products = vec.count()
-    plans = [([F.col("price_z").desc(), F.col("product_id").asc()], F.col("W") > 0),
-             ([F.col("price_z").asc(), F.col("product_id").asc()], F.col("W") < 0),
-             ([F.col("product_id").asc()], F.col("W") == 0)] if has_price else \
-        [([F.col("product_id").asc()], F.lit(True))]
-    lists = [(_global_order(vec, order), cond) for order, cond in plans]
-    remaining = cust.select("customer_id", "W")
-    if s1_count is not None:  # customers whose levels reach the whole catalog have nothing to walk
-        remaining = (remaining.join(s1_count, "customer_id", "left")
-                     .where(F.coalesce(F.col("_s1"), F.lit(0)) < n_products).select("customer_id", "W"))
-    remaining = materialize(remaining)
-    spark = vec.sparkSession
-    found = spark.createDataFrame([], "customer_id " + dict(cust.dtypes)["customer_id"] + ", n long")
-    parts, lo, hi = [], 0, 2 * k
-    while lo < n_products and not remaining.isEmpty():
-        hi = min(hi, n_products)
-        walk = remaining.select("customer_id", "W", F.explode(F.sequence(F.lit(lo + 1).cast("long"),
-                                                                           F.lit(hi).cast("long"))).alias("pos"))
-        segs = [walk.where(cond).join(lst.select("pos", "product_id", "price_z", "norm", *blocks), "pos")
-                for lst, cond in lists]
-        seg = segs[0]
-        for x in segs[1:]:
-            seg = seg.unionByName(x)
-        for b in blocks:
-            seg = seg.join(level_w[b].select("customer_id", b), ["customer_id", b], "left_anti")
-        if not blocks:  # without one-hot blocks every product is unshared, owned ones included
-            seg = seg.join(owned.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-        seg = materialize(seg.select("customer_id", "product_id", "price_z", "norm", *blocks))
-        parts.append(seg)
-        found = materialize(found.unionByName(seg.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")))
-                            .groupBy("customer_id").agg(F.sum("n").alias("n")))
-        remaining = materialize(remaining.join(found.where(F.col("n") >= k), "customer_id", "left_anti"))
-        lo, hi = hi, hi * 2
-    if not parts:
-        return spark.createDataFrame([], "customer_id " + dict(cust.dtypes)["customer_id"] + ", product_id "
-                                     + dict(vec.dtypes)["product_id"] + ", score double")
-    allp = parts[0]
-    for x in parts[1:]:
-        allp = allp.unionByName(x)
-    return scored(allp)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        F.col("customer_id").alias("_uid"), F.col("rank").cast("int").alias("rank"), F.col("product_id").alias("_iid"), rounded("score").alias("score"))
+    return ranked.join(users, "_uid").join(items, "_iid").select("customer_id", "rank", "product_id", "score")

@@ -6,6 +6,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from shelfspark.operators import content as C
 from shelfspark.sources.tables import RetailTables
@@ -39,7 +41,9 @@ def _brute(txn_rows, prod_rows, k):
     return out
 
 
-def test_content_matches_bruteforce(spark):
+@pytest.mark.parametrize("items_in_a_block", [16, C.ITEM_BLOCK])
+def test_content_matches_bruteforce(spark, monkeypatch, items_in_a_block):
+    monkeypatch.setattr(C, "ITEM_BLOCK", items_in_a_block)
     rnd = random.Random(11)
     prods = []
     for p in range(60):
@@ -67,3 +71,44 @@ def test_content_matches_bruteforce(spark):
         assert [s for _, s in g] == [s for _, s in lst], c
         assert all(math.isclose(a, b, abs_tol=1e-6) for (_, a), (_, b) in zip(g, lst))
         assert [p for p, _ in g] == [p for p, _ in lst], c
+
+
+def _cell(z, category, brand, profiles, owned):
+    """The two tables of one cell; ``profiles``: per customer (W, category weights, brand weights)."""
+    right = pa.table({"product_id": pa.array(range(len(z)), pa.int32()), "category": pa.array(category, pa.int32()), "brand": pa.array(brand, pa.int32()),
+                      "price_z": pa.array(z, pa.float64()), "norm": np.sqrt(2 + np.square(z))})
+    rows = [(0, c, 0, w, 1.0) for c, (w, _, _) in enumerate(profiles)]
+    rows += [(j, c, level, x, 0.0) for c, p in enumerate(profiles) for j in (1, 2) for level, x in p[j].items()]
+    rows += [(-1, c, i, 0.0, 0.0) for c, i in owned]
+    return pa.table(dict(zip(("kind", "uid", "num", "x", "y"), map(list, zip(*rows))))), right
+
+
+@pytest.mark.parametrize("prices", ["spread", "few", "constant"])
+def test_a_cell_gives_the_exact_best(monkeypatch, prices):
+    monkeypatch.setattr(C, "PIECE", 4)
+    rnd = np.random.default_rng(3)
+    n = 300
+    z = {"spread": rnd.normal(size=n), "few": rnd.integers(-1, 2, n) * 1.0, "constant": np.zeros(n)}[prices]
+    category, brand = rnd.integers(0, 6, n), rnd.integers(0, 5, n)
+    profiles = [(float(rnd.normal()) * (c % 3 > 0), {int(v): 1.5 for v in rnd.integers(0, 6, 2)}, {int(rnd.integers(0, 5)): 0.7}) for c in range(40)]
+    owned = [(c, int(i)) for c in range(39) for i in rnd.choice(n, 12, replace=False)] + [(39, i) for i in range(n - 3)]
+    monkeypatch.setattr(C, "STRETCH", 7 * n)
+    got = C._best_of_cell(*_cell(z, category, brand, profiles, owned), ["category", "brand"], 5, False).to_pylist()
+    for c, (w, cats, brands) in enumerate(profiles):
+        score = [(cats.get(int(category[i]), 0.0) + brands.get(int(brand[i]), 0.0) + w * z[i]) / np.sqrt(2 + z[i] ** 2) for i in range(n)]
+        want = sorted((-score[i], i) for i in range(n) if (c, i) not in set(owned))[:5]
+        assert [r["product_id"] for r in got if r["customer_id"] == c] == [i for _, i in want]
+
+
+def test_bounds_skip_most_pieces():
+    rnd = np.random.default_rng(5)
+    groups, pieces = 60, 10
+    lo = np.tile(np.linspace(-2, 1.6, pieces), groups)
+    own = (rnd.random((200, groups)) < 0.05) * rnd.uniform(0.5, 2, (200, groups))
+    own[:, 0] += 0.5
+    a, free = np.repeat(own, pieces, axis=1), np.full((200, groups * pieces), 64)
+    rows, _, least = C.reached_pieces(a, rnd.normal(size=200), lo, lo + 0.4, free, 10, 2)
+    assert np.isfinite(least).all() and len(rows) < 0.1 * a.size
+    same = np.zeros_like(lo)  # constant prices: only the customer's best group is left
+    rows, at, _ = C.reached_pieces(a, np.zeros(200), same, same, free, 10, 2)
+    assert len(rows) == 200 * pieces and (own[rows, at // pieces] == own.max(axis=1)[rows]).all()
