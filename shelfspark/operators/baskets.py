@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.pairs import block_join
 from shelfspark.functions.ranking import dense_positions, rounded, top_k
-from shelfspark.session import materialize
+from shelfspark.session import materialize, stored
 from shelfspark.sources.tables import RetailTables
 
 # Support floor (1 % of baskets, at least 2 baskets) and rule thresholds.
@@ -74,10 +74,10 @@ def frequent_pairs(tables: RetailTables, level: str = "product_id", min_count: i
 
     ``min_count`` replaces the default support rule (max(2/n, 0.01)) by a plain basket count.
     """
-    items = items if items is not None else basket_items(tables, level)
+    items = items if items is not None else stored(basket_items(tables, level), "basket-items")
     n = basket_count(tables)
     freq = item_counts(items).where(_is_frequent(F.col("n_item"), n, min_count))
-    kept = items.join(freq.select("item"), "item", "left_semi")
+    kept = stored(items.join(freq.select("item"), "item", "left_semi"), "frequent-items")
     pairs = (block_join(kept, kept, "transaction_id", "item").where(F.col("x.item") < F.col("y.item"))
              .groupBy(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"))
              .agg(F.count(F.lit(1)).cast("bigint").alias("n_ab"))
@@ -124,7 +124,7 @@ def cooccurrence(tables: RetailTables, level: str = "product_id", only: DataFram
     ``only`` (a frame with an ``item`` column) restricts the left item before
     the self-join, so pairs are produced just for those items.
     """
-    items = items if items is not None else basket_items(tables, level)
+    items = items if items is not None else stored(basket_items(tables, level), "basket-items")
     left = items if only is None else items.join(only.select("item"), "item", "left_semi")
     return (block_join(left, items, "transaction_id", "item").where(F.col("x.item") != F.col("y.item"))
             .groupBy(F.col("x.item").alias("item"), F.col("y.item").alias("other"))
