@@ -87,8 +87,9 @@ class KeyedTable:
         (cut.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", self.key, *[c for c in ("rank",) if c in rows.columns])
          .write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{self.key}", "true")
          .option(f"parquet.bloom.filter.expected.ndv#{self.key}", "100000").parquet(f"{self.path}/data/version={version}"))
-        filled = {r["bucket"] for r in self.spark.read.schema("bucket int").parquet(f"{self.path}/data/version={version}").select("bucket").distinct().collect()} \
-            if rows.take(1) else set()
+        # told from what was written: asking ``rows`` would compute them again
+        written = self.spark.read.schema("bucket int").parquet(f"{self.path}/data/version={version}")
+        filled = {r["bucket"] for r in written.select("bucket").distinct().collect()}
         number = getattr(self, "_number", -1) + 1
         told = [(b, number, version if b in filled else None) for b in sorted(touched | filled)]
         if told:
