@@ -11,9 +11,9 @@ so sets with few blocks and an empty one repeat this under other cuts. A second
 hash classes (1,024 at least), follows: its Hamming distance never exceeds the symmetric difference, so a candidate pair beyond r goes
 without its texts being read. What is left is verified on the texts.
 
-Sets with equal content are one node from the start. Of the nodes that share a key, each is paired with the smallest
-first; the pairs that verify give components. Keys that still hold several components pair each node with HUBS others drawn by
-hash, and what components remain in a key after that pair across, all
+Sets with equal content are one node from the start. Of all the nodes that it shares a key with, each is paired with the smallest
+first; the pairs that verify give components. Keys that still hold several components pair each node with HUBS others, those whose own
+hashes are smallest, so that keys with the same holders draw the same pairs; and what components remain in a key after that pair across, all
 of them, in tiles of at most TILE nodes. Only components are computed: pairs inside one are not verified, and neither linked pairs
 nor numbers of links come out. So copies cost no quadratic work and no link between different components is
 lost.
@@ -225,7 +225,7 @@ class NgramJoin:
         bins = bin_count(text_bytes(self.df, "t"))
         keys = self.df.select("t").mapInArrow(tidy(_keys(self.n, self.bands, bins)), PACKED)
         shared = written(by_bin(keys, KEY, _shared, "key long, node long, hub long"), "shared-keys")
-        star = shared.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        star = shared.where("hub <> node").groupBy(F.col("node").alias("v")).agg(F.min("hub").alias("u")).select("u", "v")
         nodes = written(shared.select("node").distinct().join(
             self.rows.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("sketch").alias("sketch")),
             "node"), "nodes")
@@ -264,9 +264,11 @@ class NgramJoin:
         """Every holder of a key with HUBS others drawn by hash, where components differ. What links in a family of near
         copies mostly shows up here, so that few pairs are left for the exact round."""
         drawn = held.groupBy("key").agg(F.array(*[
-            F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp")))
-            for k in range(HUBS)]).alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("x")).select("key", "x.hub", "x.hub_comp")
-        return (held.select("key", "node", "comp").join(drawn, "key").where("comp <> hub_comp")
+            F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"),
+                           F.col("n").alias("hub_n")))
+            for k in range(HUBS)]).alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("x")).select("key", "x.hub", "x.hub_comp", "x.hub_n")
+        sizes = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.bands.percent
+        return (held.select("key", "node", "comp", "n").join(drawn, "key").where((F.col("comp") != F.col("hub_comp")) & sizes)
                 .select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct())
 
     def _tiled(self, held: DataFrame) -> DataFrame:

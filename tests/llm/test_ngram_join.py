@@ -122,3 +122,24 @@ def test_words_over_blocks(monkeypatch):
     assert (whole.hash[:2] == whole.hash[whole.first[5]:whole.first[6]]).all()
     one = [w.hash[w.first[0]:w.first[1]] for i, j, d, o in row_chunks(pa.array(texts), 1) for w in [words(d, o)]]
     assert (np.concatenate(one) == whole.hash).all()
+
+
+def test_keys_with_the_same_holders_draw_the_same_pairs(spark):
+    join = ngram_join.NgramJoin.__new__(ngram_join.NgramJoin)
+    join.bands = ngram_join.Bands(80)
+    held = spark.range(10).withColumnRenamed("id", "key").crossJoin(
+        spark.range(40).selectExpr("id node", "id comp", "if(id < 30, 10L, 100L) n"))
+    drawn = join._hubs(held).collect()
+    # two hubs for the family, whatever number of keys it shares; no pair of sizes that cannot link
+    assert 0 < len(drawn) <= ngram_join.HUBS * 39
+    assert all((r.u < 30) == (r.v < 30) for r in drawn)
+
+
+def test_first_each_set_meets_one_other(spark, monkeypatch):
+    seen, sketched = [], ngram_join.NgramJoin._sketched
+    monkeypatch.setattr(ngram_join.NgramJoin, "_sketched", lambda self, pairs, nodes: seen.append(pairs.count()) or sketched(self, pairs, nodes))
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*base[:at], f"x{d}", *base[at + 1:]]) for d, at in enumerate(range(0, 40, 2))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(df, 3, 60).collect()}
+    assert set(got.values()) == {0} and seen[0] < len(texts)
