@@ -112,3 +112,77 @@ def test_bounds_skip_most_pieces():
     same = np.zeros_like(lo)  # constant prices: only the customer's best group is left
     rows, at, _ = C.reached_pieces(a, np.zeros(200), same, same, free, 10, 2)
     assert len(rows) == 200 * pieces and (own[rows, at // pieces] == own.max(axis=1)[rows]).all()
+
+
+@pytest.mark.parametrize("prices", ["spread", "few", "constant"])
+@pytest.mark.parametrize("owns_most", [False, True])
+def test_customers_go_to_the_few_blocks_that_matter(prices, owns_most):
+    """However many blocks the products make, a customer is sent to those that may hold one of the best, with all that the exact best need."""
+    rnd = np.random.default_rng(8)
+    n, k, span, in_block, of, number = 6000, 5, 4, 16, 3, 1
+    z = {"spread": rnd.normal(size=n), "few": rnd.integers(-1, 2, n) * 1.0, "constant": np.zeros(n)}[prices]
+    category, brand, iid = rnd.integers(0, 4, n), rnd.integers(0, 5, n), rnd.permutation(n)
+    by = np.lexsort((iid, z, brand, category))
+    z, category, brand, iid = z[by], category[by], brand[by], iid[by]
+    ints = lambda v: pa.array(np.asarray(v).astype(np.int32), pa.int32())
+    cut = np.arange(n) // span
+    first = np.flatnonzero(np.r_[True, (np.diff(cut) != 0) | (np.diff(category) != 0) | (np.diff(brand) != 0)])
+    size = np.diff(np.r_[first, n])
+    ends = pa.table({"j": ints(cut[first] // in_block), "category": ints(category[first]), "brand": ints(brand[first]), "first": ints(first),
+                     "size": ints(size), "z_lo": z[first], "z_hi": z[first + size - 1]})
+    names = [f"c{i:02d}" for i in range(30)]
+    own = {c: rnd.choice(n, 12, replace=False) for c in names}
+    if owns_most:
+        own["c07"] = rnd.choice(n, n - 3, replace=False)
+    pairs = [(c, int(p), int(rnd.integers(1, 4))) for c in names for p in own[c]]
+    who, pos, cnt = (np.array(v) for v in zip(*pairs))
+    owned = pa.table({"customer_id": pa.chunked_array([pa.array(who.tolist(), pa.string())]), "pos": ints(pos), "category": ints(category[pos]),
+                      "brand": ints(brand[pos]), "price_z": z[pos], "cnt": pa.array(cnt.astype(np.int64))})
+    blocks = ["category", "brand"]
+    sent = C._blocks_reached(number, of, owned, ends, blocks, k)
+    heads = sent.filter(pa.array(sent["kind"].to_numpy() == 0))
+    n_blocks = int(cut[-1]) // in_block + 1
+    assert n_blocks > 90 and set(heads["uid"].to_pylist()) == {i * of + number for i in range(len(names))}
+    often = np.array([r["customer_id"] for r in heads.to_pylist()])
+    assert sum(often != "c07") <= 4 * (len(names) - 1)
+    products = pa.table({"pos": ints(np.arange(n)), "iid": ints(iid), "product_id": pa.array([f"p{i:04d}" for i in iid]), "category": ints(category),
+                         "brand": ints(brand), "price_z": z, "norm": np.sqrt(2 + z * z)})
+    got = []
+    for j in sorted(set(heads["j"].to_pylist())):
+        here = products.filter(pa.array(cut // in_block == j))
+        got += C._best_of_block(sent.filter(pa.array(sent["j"].to_numpy() == j)), here, blocks, k, False).to_pylist()
+    x = np.zeros((n, 10))
+    x[np.arange(n), category] = 1
+    x[np.arange(n), 4 + brand] = 1
+    x[:, 9] = z
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for c in names:
+        mine = [(p, w) for d, p, w in pairs if d == c]
+        profile = sum(w * x[p] for p, w in mine)
+        score = x @ profile / np.linalg.norm(profile)
+        free = np.setdiff1d(np.arange(n), [p for p, _ in mine])
+        want = sorted((-round(score[p], 9), f"p{iid[p]:04d}") for p in free)[:k]
+        best = sorted((-round(r["score"], 9), r["product_id"]) for r in got if r["customer_id"] == c)[:k]
+        assert best == want, c
+
+
+def test_content_without_levels_matches_bruteforce(spark, monkeypatch):
+    """A price alone: the cosine is the product of two signs, ties go to the smaller id, and no customer needs every product."""
+    monkeypatch.setattr(C, "ITEM_BLOCK", 4)
+    prods = [(p, float(p % 7)) for p in range(40)]
+    txn = [(t, t % 6, (t * 11) % 40, 1.0, 5.0, dt.datetime(2025, 1, 1)) for t in range(80)]
+    t = RetailTables(
+        spark.createDataFrame(txn, "transaction_id long, customer_id long, product_id long, quantity double, price double, timestamp timestamp"),
+        spark.createDataFrame([(c, "s") for c in range(6)], "customer_id long, segment string"),
+        spark.createDataFrame(prods, "product_id long, price double"))
+    sold = sorted({r[2] for r in txn})
+    price = np.array([float(p % 7) for p in sold])
+    sign = dict(zip(sold, np.sign((price - price.mean()) / (price.std() + 1e-9))))
+    got = {}
+    for r in sorted(C.content_topk(t, k=4).collect(), key=lambda r: (r["customer_id"], r["rank"])):
+        got.setdefault(r["customer_id"], []).append((r["product_id"], r["score"]))
+    for c in range(6):
+        bought = [r[2] for r in txn if r[1] == c]
+        side = np.sign(sum(sign[p] for p in bought))
+        want = sorted((-side * sign[p], p) for p in sold if p not in bought)[:4]
+        assert got[c] == [(p, -s) for s, p in want]
