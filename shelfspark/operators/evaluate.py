@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators.popular import train_quantity_top
 from shelfspark.sources.tables import RetailTables
-from shelfspark.session import materialize
+from shelfspark.session import stored
 
 # Metric cut-offs, hold-out share and minimum history.
 TOP_K_VALUES = (5, 10)
@@ -29,8 +29,8 @@ TEST_FRACTION = 0.2
 MIN_DISTINCT_PRODUCTS = 2
 
 
-def holdout_split(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V1: ``(train_facts, test_pairs)``; test pairs are ``(customer_id, product_id)``.
+def held_out(txn: DataFrame) -> DataFrame:
+    """V1: the held-out pairs ``(customer_id, product_id)``.
 
     The per-customer ordering runs on (customer, product) aggregates, so a
     customer's window holds at most one row per distinct product.
@@ -44,10 +44,19 @@ def holdout_split(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
               .withColumn("n", F.count(F.lit(1)).over(by_cust)))
     # round(0.2·n) for integer n never falls on .5, so it equals floor((2n + 5) / 10)
     n_test = F.least(F.greatest(F.lit(1), F.floor((F.col("n") * 2 + 5) / 10)), F.col("n") - 1)
-    test = (ranked.where((F.col("n") >= MIN_DISTINCT_PRODUCTS) & (F.col("pos") > F.col("n") - n_test))
+    return (ranked.where((F.col("n") >= MIN_DISTINCT_PRODUCTS) & (F.col("pos") > F.col("n") - n_test))
             .select("customer_id", "product_id"))
-    train = facts.join(test, ["customer_id", "product_id"], "left_anti")
-    return train, test
+
+
+def train_facts(txn: DataFrame, test: DataFrame) -> DataFrame:
+    """V1: the facts of known customers without those of the held-out pairs."""
+    return txn.where(F.col("customer_id").isNotNull()).join(test, ["customer_id", "product_id"], "left_anti")
+
+
+def holdout_split(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V1: ``(train_facts, test_pairs)``; test pairs are ``(customer_id, product_id)``."""
+    test = held_out(txn)
+    return train_facts(txn, test), test
 
 
 def _metrics(hit: DataFrame, test: DataFrame, ks: Sequence[int]) -> DataFrame:
@@ -90,9 +99,12 @@ def evaluate(tables: RetailTables, recommender: Callable[[RetailTables], DataFra
     Returns ``(list, k, precision, recall, hit_rate, n_customers)``; no rows
     when nobody has a held-out item.
     """
-    train, test = holdout_split(tables.transactions)
     if checkpoint_split:
-        train, test = materialize(train), materialize(test)
+        # stored one after the other, so that the split is made once: train reads the held-out pairs where they were written
+        test = stored(held_out(tables.transactions), "test")
+        train = stored(train_facts(tables.transactions, test), "train")
+    else:
+        train, test = holdout_split(tables.transactions)
     recs = recommender(tables.with_transactions(train))
     model = ranked_metrics(recs, test, ks).withColumn("list", F.lit("model"))
     base = baseline_metrics(train, test, ks).withColumn("list", F.lit("popularity_baseline"))

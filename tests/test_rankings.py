@@ -91,3 +91,19 @@ def test_result_tables_dynamic_overwrite(spark, tmp_path, m1):
     R.write_result(pop.where(F.col("rank") <= 2), base, "popular", "r1")
     assert R.read_result(spark, base, "popular", "r1").count() == 2
     assert R.read_result(spark, base, "popular", "r2").count() == 1
+
+
+def test_evaluation_makes_the_split_once(spark, m1):
+    """The facts are read for the held-out pairs and for the train facts, not once more for each of them."""
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(_):
+        read.add(1)
+        return True
+    facts = m1.transactions.where(F.udf(seen, "boolean")("transaction_id"))
+    got = V.evaluate(m1.with_transactions(facts), lambda t: C.content_topk(t))
+    assert read.value <= 2 * m1.transactions.count()
+    want = V.evaluate(m1, lambda t: C.content_topk(t), checkpoint_split=False)
+    assert rows(got, *got.columns) == rows(want, *got.columns)
